@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -49,3 +49,10 @@ def without_runs(units: Column, starts: Column, length: int) -> Column:
         return F.flatten(F.transform(F.concat(s, F.array(F.size(units))), piece))
 
     return let(F.sort_array(starts), between)
+
+
+def exploded(df: DataFrame, array: Column | str, name: str) -> DataFrame:
+    """A row per element, as column ``name``.  The outer form keeps the optimizer from inferring a
+    filter on the array's size, for which it would work the whole array out twice more."""
+    others = [c for c in df.columns if c != array]
+    return df.select(*others, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())

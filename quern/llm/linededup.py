@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.exprs import SPACE, let, without_runs
+from quern.llm.exprs import SPACE, exploded, let, without_runs
 from quern.llm.spans import later_starts, marked, order_key, packed, runs
 
 RUN = 2
@@ -43,11 +43,15 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     """Per document (k, check) the first lines of its later runs."""
     text = F.coalesce("text", F.lit(""))
     lines = lines_of(text)
-    seeds = docs.select(F.explode(F.array_distinct(minima(lines, run))).alias("f")).select("f.h")
+    seeds = exploded(docs.select(F.array_distinct(minima(lines, run)).alias("f")), "f", "f").select("f.h")
     live = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     solid = lambda i, u: F.exists(F.slice(u, i + 1, run), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    extended = docs.select(order_key(F.col("doc_id")).alias("k"), text.alias("text"), minima(lines, run).alias("m"), F.explode(marked(runs(lines, run, "\n", solid))).alias("r"))
-    extended = extended.select(F.get("m", F.col("r.at"))["h"].alias("h"), "r.a", "r.b", "k", packed(F.col("r.at"), F.col("r.again"), F.col("text")).alias("loc"))
+    # all that is said of a whole text is worked out before its runs become rows
+    whole = docs.select(order_key(F.col("doc_id")).alias("k"), F.crc32(text.cast("binary")).alias("check"), minima(lines, run).alias("m"), marked(runs(lines, run, "\n", solid)).alias("r"))
+    one = lambda m, x: F.struct(F.get(m, x["at"])["h"].alias("h"), x["a"].alias("a"), x["b"].alias("b"), packed(x["at"], x["again"]).alias("loc"))
+    seeded = let(F.col("m"), lambda m: F.transform("r", lambda x: one(m, x)))
+    extended = exploded(whole.select("k", "check", seeded.alias("r")), "r", "r")
+    extended = extended.select("r.h", "r.a", "r.b", "k", (F.col("r.loc") + F.col("check")).alias("loc"))
     return later_starts(extended.join(live, "h").drop("h"))
 
 

@@ -62,9 +62,11 @@ def mixed(docs: DataFrame, share: float = SHARE, seed: str = SEED, bucket_rows:
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     rows = targets(sizes, share).withColumn("buckets", F.ceil(F.col("n") / bucket_rows))
     held = rows.limit(MOST_LOCAL + 1).collect()
-    plan = spark.createDataFrame(held, rows.schema) if len(held) <= MOST_LOCAL else rows
+    few = len(held) <= MOST_LOCAL
+    plan = spark.createDataFrame(held, rows.schema) if few else rows
     name = lambda c: F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), c))  # noqa: E731  never null, to join on
     plan = plan.select(name(F.col("source")).alias("_s"), "source_size", "target", "buckets")
+    plan = F.broadcast(plan) if few else plan
     bucket = F.pmod(_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("buckets"))
     counts = docs.select("doc_id", name(F.col("source")).alias("_s")).join(plan, "_s").groupBy("_s", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("m"))
     earlier = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

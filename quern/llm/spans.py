@@ -50,9 +50,10 @@ def marked(found: Column) -> Column:
     return let(F.sort_array(found), mark)
 
 
-def packed(at: Column, again: Column, text: Column) -> Column:
-    """Position, repeat mark and a 32-bit check of the text in one number, to keep rows short."""
-    return F.shiftleft(at.cast("long"), 33) + F.when(again, F.lit(1 << 32)).otherwise(F.lit(0)) + F.crc32(text.cast("binary"))
+def packed(at: Column, again: Column) -> Column:
+    """Position and repeat mark in the upper 31 bits, to which a 32-bit check of the text is added:
+    one number keeps the rows short."""
+    return F.shiftleft(at.cast("long"), 33) + F.when(again, F.lit(1 << 32)).otherwise(F.lit(0))
 
 
 def later_starts(runs_of: DataFrame) -> DataFrame:

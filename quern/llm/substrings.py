@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.exprs import SPACE, lower_ascii, without_runs
+from quern.llm.exprs import SPACE, exploded, lower_ascii, without_runs
 from quern.llm.spans import later_starts, marked, order_key, packed, runs
 
 SPAN = 3
@@ -33,8 +33,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Per document (k, check) the first sentences of its later spans."""
     text = F.coalesce("text", F.lit(""))
     found = marked(runs(F.transform(sentences(text), folded), span, "\n"))
-    rows = docs.select(order_key(F.col("doc_id")).alias("k"), text.alias("text"), F.explode(found).alias("r"))
-    return later_starts(rows.select("r.a", "r.b", "k", packed(F.col("r.at"), F.col("r.again"), F.col("text")).alias("loc")))
+    whole = docs.select(order_key(F.col("doc_id")).alias("k"), F.crc32(text.cast("binary")).alias("check"), found.alias("r"))
+    rows = exploded(whole, "r", "r")
+    return later_starts(rows.select("r.a", "r.b", "k", (packed(F.col("r.at"), F.col("r.again")) + F.col("check")).alias("loc")))
 
 
 def dedup_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
