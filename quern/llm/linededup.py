@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.exprs import SPACE, exploded, let, without_runs
 from quern.llm.spans import later_starts, marked, order_key, packed, runs
+from quern.llm.store import staged
 
 RUN = 2
 
@@ -44,7 +45,7 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     lines = lines_of(text)
     seeds = exploded(docs.select(F.array_distinct(minima(lines, run)).alias("f")), "f", "f").select("f.h")
-    live = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    live = staged(seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "fingerprints")
     solid = lambda i, u: F.exists(F.slice(u, i + 1, run), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     # all that is said of a whole text is worked out before its runs become rows
     whole = docs.select(order_key(F.col("doc_id")).alias("k"), F.crc32(text.cast("binary")).alias("check"), minima(lines, run).alias("m"), marked(runs(lines, run, "\n", solid)).alias("r"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.exprs import let
+from quern.llm.store import staged
 
 LOWEST = -(2**63)
 
@@ -60,8 +61,10 @@ def later_starts(runs_of: DataFrame) -> DataFrame:
     """Per document (k, check) the starts of its later runs, from rows (a, b, k, loc).
 
     The first occurrence of each run is aggregated on the map side first.  The join back has one
-    row per run on the other side, so partitions of very frequent runs can be split."""
+    row per run on the other side; as that side is a table of its own, Spark can split partitions
+    that hold a very frequent run."""
     first = runs_of.groupBy("a", "b").agg(F.min("k").alias("first_k"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = staged(first, "first")
     hits = runs_of.join(first, ["a", "b"])
     again = F.shiftright("loc", 32).bitwiseAND(F.lit(1)) == 1
     later = hits.where((F.col("k") > F.col("first_k")) | again)
