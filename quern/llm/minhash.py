@@ -13,7 +13,8 @@ thousands of exact copies cost one row.  In a bucket nothing is paired with ever
    each document is confirmed on the full sets, then those of its others that still join two
    components;
 2. where a bucket still holds several components, its members outside the bucket's largest one are
-   paired with the members of the other components, so no link is lost to the choice of pivots.
+   paired with the members of the other components, so no link is lost to the choice of pivots;
+   near a common text, only pairs that share rare differences from it (``beside``).
 
 All links are confirmed by intersecting full sets of 64-bit shingle hashes.
 
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
@@ -192,24 +193,61 @@ class _Search:
         if not more.isEmpty():
             links = links.union(more)
             found = components(links)
-        strays = staged(self.across(members, found).join(tried, ["x", "y"], "left_anti"), "strays")
-        if not strays.isEmpty():
-            more = self.confirmed(strays, self.sets(strays))
-            if not more.isEmpty():
-                found = components(links.union(more))
-        return found
-
-    def across(self, members: DataFrame, found: DataFrame) -> DataFrame:
-        """Candidate pairs between the components that share a bucket: its members outside its
-        largest component, with the members of all others."""
+        return self.across(members, tried, links, found)
+
+    def across(self, members: DataFrame, tried: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
+        """Links between the components that still share a bucket, and the components with them.
+
+        A bucket's strays are its members outside its largest component; that component's smallest
+        id is the bucket's head.  Pairs of a stray and a member of another component are candidates
+        by size and bits, unless both are near the head (see ``beside``)."""
         placed = _rooted(members.select("key", F.col("doc").alias("x")), "x", found)
-        sizes = placed.groupBy("key", "x_root").agg(F.count(F.lit(1)).alias("c"))
-        split = sizes.groupBy("key").agg(F.max_by("x_root", F.struct("c", "x_root")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        mixed = placed.join(split.select("key", "most"), "key").join(self.named("x"), "x")
-        y = mixed.select("key", *(F.col(f"x{c}").alias(f"y{c}") for c in ("", "_n", "_bits", "_root")))
-        apart = F.col("x_root") != F.col("y_root")
+        parts = placed.groupBy("key", "x_root").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("least"))
+        split = parts.groupBy("key").agg(F.max(F.struct("c", "x_root", "least")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        split = split.select("key", F.col("top.x_root").alias("most"), F.col("top.least").alias("y"))
+        mixed = placed.join(split, "key").join(self.named("x"), "x").join(self.named("y"), "y")
+        mixed = mixed.select("key", "x", "x_n", "x_bits", "x_root", "most", F.col("y").alias("head"), _possible(self.percent).alias("x_near"), (F.col("x_root") != F.col("most")).alias("stray"))
+        mixed = staged(mixed, "mixed")
+        y = mixed.select("key", *(F.col(f"x{c}").alias(f"y{c}") for c in ("", "_n", "_bits", "_root", "_near")))
+        apart = (F.col("x_root") != F.col("y_root")) & ~(F.col("x_near") & F.col("y_near"))
         once = (F.col("y_root") == F.col("most")) | (F.col("x") < F.col("y"))
-        return mixed.where("x_root <> most").join(y, "key").where(apart & once & _possible(self.percent)).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+        far = mixed.where("stray").join(y, "key").where(apart & once & _possible(self.percent)).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+        far = staged(far.join(tried, ["x", "y"], "left_anti"), "far")
+        near = mixed.where("x_near").groupBy("head", "x").agg(F.first("x_root").alias("x_root"), F.max("stray").alias("stray"))
+        open_ = near.where("stray").select("head").distinct()
+        near = staged(near.join(open_, "head").select(F.col("head").alias("y"), "x", "x_root", "stray"), "near")
+        sets = self.sets(far.union(near.select("x", "y")))
+        more = self.confirmed(far, sets).union(self.beside(near, sets))
+        return found if more.isEmpty() else components(links.union(more))
+
+    def beside(self, near: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links of strays with other members near the same head, without pairing them all.
+
+        With D(x) the symmetric difference of x and the head h, |x ^ y| = |D(x)| + |D(y)| -
+        2 |D(x) & D(y)|, and a similarity of p % means |x ^ y| <= r (|x| + |y|), r = (100 - p) /
+        (100 + p).  A stray that isn't linked with h has |D(x)| > r (|x| + |h|), so it is linked
+        with y only if the two share at least (|D(y)| + r (|h| - |y|)) / 2 differences, at least
+        one of them among the rarest |D(y)| + 1 - that many of D(y).  Strays and members are
+        joined on those: edits of their own, which copies of one text seldom share."""
+        x, h = sets.select(F.col("doc").alias("x"), F.col("s").alias("xs")), sets.select(F.col("doc").alias("y"), F.col("s").alias("hs"))
+        apart = near.where("x <> y").join(x, "x").join(h, "y").select("x", "y", "x_root", "stray", F.size("xs").alias("n"), F.size("hs").alias("hn"), F.concat(F.array_except("xs", "hs"), F.array_except("hs", "xs")).alias("d"))
+        apart = staged(apart.withColumn("nd", F.size("d")), "differences")
+        linked = F.col("nd") * (100 + self.percent) <= (F.col("n") + F.col("hn")) * (100 - self.percent)
+        direct = apart.where(F.col("stray") & linked).select(F.col("x").alias("u"), F.col("y").alias("v"))
+        rows = apart.select("x", "y", "x_root", "stray", "n", "hn", "nd", F.explode("d").alias("e"))
+        often = rows.groupBy("y", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        # a difference that one member alone has joins nothing; it only takes its place in the rank
+        ranked = rows.join(often, ["y", "e"], "left").withColumn("i", F.row_number().over(Window.partitionBy("y", "x").orderBy(F.coalesce("df", F.lit(1)), "e")))
+        share = F.ceil((F.col("nd") * (100 + self.percent) + (F.col("hn") - F.col("n")) * (100 - self.percent)) / F.lit(2 * (100 + self.percent)))
+        prefix = ranked.where(F.col("df").isNotNull() & (F.col("i") <= F.col("nd") + 1 - F.greatest(share, F.lit(1)))).select("y", "e", "x")
+        named = apart.select("y", *(F.col(c).alias(f"z{c}") for c in ("x", "x_root", "n", "nd", "d")))
+        prefix = prefix.join(named.withColumn("x", F.col("zx")), ["y", "x"]).drop("x")
+        asked = apart.where("stray").where(~linked).select("y", "x", "x_root", "n", "nd", "d", F.explode("d").alias("e"))
+        # the overlap of the differences gives the similarity of the full sets exactly
+        differ = F.col("nd") + F.col("znd") - F.size(F.array_intersect("d", "zd")) * 2
+        enough = differ * (100 + self.percent) <= (F.col("n") + F.col("zn")) * (100 - self.percent)
+        met = asked.join(prefix, ["y", "e"]).where((F.col("x_root") != F.col("zx_root")) & enough)
+        return direct.union(met.select(F.col("x").alias("u"), F.col("zx").alias("v")).distinct())
 
 
 def _rooted(df: DataFrame, side: str, found: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql.types import _parse_datatype_string
 from quern.llm import textblocks as tb
 
 #: Expected sample documents per label, and the most features kept.
-PER_CLASS, FEATURES = 4000, 3000
+PER_CLASS, FEATURES = 1500, 3000
 PREFIXES = (4, 5)
 MIN_DOCS = 3
 _BLOCK = 1 << 21
