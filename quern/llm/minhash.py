@@ -43,6 +43,7 @@ WORDS, PERCENT = 5, 80
 #: Most differing bits of 256 that a candidate may have: at similarity s about 128 * (1 - s).
 MOST_BITS = 57
 _CHUNK = 1 << 22
+_WORDS = 8
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -240,14 +241,20 @@ class _Search:
         ranked = rows.join(often, ["y", "e"], "left").withColumn("i", F.row_number().over(Window.partitionBy("y", "x").orderBy(F.coalesce("df", F.lit(1)), "e")))
         share = F.ceil((F.col("nd") * (100 + self.percent) + (F.col("hn") - F.col("n")) * (100 - self.percent)) / F.lit(2 * (100 + self.percent)))
         prefix = ranked.where(F.col("df").isNotNull() & (F.col("i") <= F.col("nd") + 1 - F.greatest(share, F.lit(1)))).select("y", "e", "x")
-        named = apart.select("y", *(F.col(c).alias(f"z{c}") for c in ("x", "x_root", "n", "nd", "d")))
-        prefix = prefix.join(named.withColumn("x", F.col("zx")), ["y", "x"]).drop("x")
-        asked = apart.where("stray").where(~linked).select("y", "x", "x_root", "n", "nd", "d", F.explode("d").alias("e"))
-        # the overlap of the differences gives the similarity of the full sets exactly
-        differ = F.col("nd") + F.col("znd") - F.size(F.array_intersect("d", "zd")) * 2
+        asked = apart.where("stray").where(~linked).select("y", "x", F.explode("d").alias("e"))
+        prefix = staged(prefix.join(asked.select("y", "e").distinct(), ["y", "e"], "left_semi"), "prefix")
+        asked = asked.join(prefix.select("y", "e").distinct(), ["y", "e"], "left_semi")
+        # the overlap is at most the common bits of two bitmaps and the elements lost in one of them
+        bitmap = F.transform(F.sequence(F.lit(0), F.lit(_WORDS - 1)), lambda w: F.aggregate(F.filter("d", lambda e: F.shiftright(e, 6).bitwiseAND(F.lit(_WORDS - 1)) == w), F.lit(0).cast("long"), lambda m, e: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), e.bitwiseAND(F.lit(63)).cast("int")))))
+        marks = staged(apart.select("y", "x", "x_root", "n", "nd", bitmap.alias("m")), "marks")
+        other = marks.select("y", "x", *(F.col(c).alias(f"z{c}") for c in ("x", "x_root", "n", "nd", "m")))
+        asked, prefix = asked.join(marks, ["y", "x"]), prefix.join(other, ["y", "x"]).drop("x")
+        common = sum((F.bit_count(F.get("m", F.lit(i)).bitwiseAND(F.get("zm", F.lit(i)))) for i in range(_WORDS)), F.lit(0))
+        lost = F.col("nd") - sum((F.bit_count(F.get("m", F.lit(i))) for i in range(_WORDS)), F.lit(0))
+        differ = F.col("nd") + F.col("znd") - (common + lost) * 2
         enough = differ * (100 + self.percent) <= (F.col("n") + F.col("zn")) * (100 - self.percent)
-        met = asked.join(prefix, ["y", "e"]).where((F.col("x_root") != F.col("zx_root")) & enough)
-        return direct.union(met.select(F.col("x").alias("u"), F.col("zx").alias("v")).distinct())
+        met = asked.join(prefix, ["y", "e"]).where((F.col("x_root") != F.col("zx_root")) & enough).select("x", F.col("zx").alias("y")).distinct()
+        return direct.union(self.confirmed(staged(met, "beside"), sets))
 
 
 def _rooted(df: DataFrame, side: str, found: DataFrame) -> DataFrame:
