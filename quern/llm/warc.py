@@ -79,11 +79,13 @@ def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     """Writes one record per row (page_id, url, html), payloads once."""
     heads = headers(pages)
     total = heads.agg(F.sum("payload_bytes")).first()[0] or 0
-    files = max(pages.sparkSession.sparkContext.defaultParallelism, -(-total // file_bytes))
-    kinds = resolve(heads).withColumnsRenamed({"page_id": "_id", "payload_digest": "_digest"})
-    spread = [files, "page_id", "payload_digest"]
-    rows = heads.repartition(*spread)
-    joined = rows.join(kinds, rows["page_id"].eqNullSafe(kinds["_id"]) & (rows["payload_digest"] == kinds["_digest"]))
+    spark = pages.sparkSession
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    kinds = resolve(heads).select(key.alias("_key"), "payload_digest", "record_type", "refers_to")
+    # dealt by id and digest once: the join and the files keep that partitioning
+    rows = heads.withColumn("_key", key).repartition(files, "_key", "payload_digest")
+    joined = rows.join(kinds, ["_key", "payload_digest"])
     joined.select(record(F.col("url")).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
