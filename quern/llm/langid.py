@@ -27,7 +27,7 @@ DIMENSIONS = 1024
 #: Expected number of sample texts of each language that the prototypes are learned from.
 SAMPLE = 2000
 UNKNOWN = "und"
-_BLOCK, _COLUMNS = 1 << 21, 8192
+_BLOCK, _COLUMNS = 1 << 19, 4096
 _LETTERS: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -106,7 +106,7 @@ def prototypes(labelled: DataFrame, per_language: int = SAMPLE, dims: int = DIME
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in tb.slices(batches):
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for at, some in tb.blocks(texts, _BLOCK):
@@ -131,7 +131,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             preds, scores = [], []
             for _, some in tb.blocks(texts, _BLOCK):

@@ -33,7 +33,7 @@ from quern.llm import textblocks as tb
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-_BLOCK, _CACHE = 1 << 21, 1 << 20
+_BLOCK, _CACHE = 1 << 19, 1 << 19
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 
@@ -397,7 +397,7 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
-        for batch in batches:
+        for batch in tb.slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for at, some in tb.blocks(texts, _BLOCK):
                 ids, counts = encoder.encode(some)
@@ -415,13 +415,11 @@ def decoded(tokens: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(_encoder(model).v)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                lists = part.column("ids")
-                counts = np.diff(lists.offsets.to_numpy())
-                texts = decoder.decode(lists.flatten().to_numpy(zero_copy_only=False), counts)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=[*names, "decoded"])
+        for batch in tb.slices(batches):
+            lists = batch.column("ids")
+            counts = np.diff(lists.offsets.to_numpy())
+            texts = decoder.decode(lists.flatten().to_numpy(zero_copy_only=False), counts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=[*names, "decoded"])
 
     return tokens.mapInArrow(run, schema)
 

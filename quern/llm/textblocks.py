@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 SIZE = 0x110000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -30,6 +31,15 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in small parts; what the allocator holds beyond them goes back at once, as
+    two workers share an executor's memory with its JVM."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def blocks(texts: Iterable[str], most: int) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts, about ``most`` code points together (a longer text stands alone)."""
     at, held, n = 0, [], 0

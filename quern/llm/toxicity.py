@@ -29,7 +29,7 @@ from quern.llm import textblocks as tb
 PER_CLASS, FEATURES = 1500, 3000
 PREFIXES = (4, 5)
 MIN_DOCS = 3
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 _ENDS = np.array([ord(c) for c in ".!?\n"], dtype=np.uint32)
 
 
@@ -147,16 +147,16 @@ def sentence_scores(texts: list[str], model: Model) -> tuple[np.ndarray, ...]:
     return s_doc, s_from, s_to, z
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns but ``text``, with score, predicted and ``offending``: the bounds (code points)
+def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """All columns (``text`` only if asked for), with score, predicted and ``offending``: the bounds (code points)
     and probabilities of the sentences that offend."""
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if keep_text or c != "text"]
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
     schema = docs.select(*kept).schema.add("score", "double").add("predicted", "integer")
     schema = schema.add("offending", _parse_datatype_string("array<struct<begin:int,end:int,p:double>>"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             scores, where = np.zeros(len(texts)), [[] for _ in texts]
             for at, some in tb.blocks(texts, _BLOCK):
@@ -168,4 +168,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             columns = [batch.column(c) for c in kept] + [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(where, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score", "predicted", "offending"])
 
-    return docs.select(*kept, "text").mapInArrow(predict, schema)
+    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(predict, schema)
