@@ -14,8 +14,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learned from those of ``docs`` with labels, doesn't reject."""
     names = docs.columns
     model = toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = toxicity.score(docs.withColumn("_text", F.col("text")), model).where("predicted = 0")
-    return kept.withColumnRenamed("_text", "text").select(*names)
+    return toxicity.score(docs, model, keep_text=True).where("predicted = 0").select(*names)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
