@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from html.parser import HTMLParser
 
@@ -24,6 +24,11 @@ def _any(tests: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, which is worked out once however often ``body`` mentions it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def contains_any(text: Column, needles: Sequence[str]) -> Column:
     return _any([F.contains(text, F.lit(n)) for n in needles])
 
@@ -36,8 +41,8 @@ def fix_encoding(text: Column) -> Column:
     """Windows-1251 text that was read as Latin-1, when every character could come from that."""
     high = [i for i in range(0x80, 0x100) if i != 0x98]
     wrong, right = "".join(map(chr, high)), bytes(high).decode("cp1251")
-    sure = text.rlike(f"[{fixed.MOJIBAKE}]") & ~text.rlike(r"[^\x{00}-\x{FF}]|\x{98}")
-    return F.when(sure, F.translate(text, wrong, right)).otherwise(_or_empty(text))
+    sure = lambda t: t.rlike(f"[{fixed.MOJIBAKE}]") & ~t.rlike(r"[^\x{00}-\x{FF}]|\x{98}")
+    return let(_or_empty(text), lambda t: F.when(sure(t), F.translate(t, wrong, right)).otherwise(t))
 
 
 class _Plain(HTMLParser):
@@ -90,8 +95,8 @@ def tidy(text: Column) -> Column:
 
 
 def upper_ratio(text: Column) -> Column:
-    letters = F.regexp_replace(text, r"[^\p{L}]", "")
-    return F.when(F.length(letters) > 0, F.length(F.regexp_replace(letters, r"[^\p{Lu}]", "")) / F.length(letters))
+    upper = lambda x: F.length(F.regexp_replace(x, r"[^\p{Lu}]", ""))
+    return let(F.regexp_replace(text, r"[^\p{L}]", ""), lambda x: F.when(F.length(x) > 0, upper(x) / F.length(x)))
 
 
 def normalize_title(title: Column, source: Column | None = None, clean=clean_text) -> Column:
@@ -99,12 +104,12 @@ def normalize_title(title: Column, source: Column | None = None, clean=clean_tex
     t = F.regexp_replace(F.regexp_replace(t, r"(?iu)^Заголовок:\s*", ""), r"^\d{2}\.\d{2}\.\d{4}\s*[-–—]\s*", "")
     t = F.regexp_replace(t, rf"(?iuU)\b({'|'.join(fixed.TITLE_SERVICE)})\b", "")
     t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), r"^[ —-]+|[ —-]+$", "")
-    t = F.when(F.length(t) > 180, squeezed(split_sentences(t)[0])).otherwise(t)
+    t = let(t, lambda x: F.when(F.length(x) > 180, squeezed(split_sentences(x)[0])).otherwise(x))
     if source is not None:
-        marked = source.isin(fixed.IMPORTANT_SOURCES) & t.startswith("Важное ")
-        t = F.when(marked, squeezed(F.substring(t, 8, 1 << 30))).otherwise(t)
-    shouted = F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 1 << 30)))
-    return squeezed(F.when(F.coalesce(upper_ratio(t), F.lit(0.0)) > 0.8, shouted).otherwise(t))
+        marked = lambda x: source.isin(fixed.IMPORTANT_SOURCES) & F.startswith(x, F.lit("Важное "))
+        t = let(t, lambda x: F.when(marked(x), squeezed(F.substring(x, 8, 1 << 30))).otherwise(x))
+    shouted = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30)))
+    return squeezed(let(t, lambda x: F.when(F.coalesce(upper_ratio(x), F.lit(0.0)) > 0.8, shouted(x)).otherwise(x)))
 
 
 def remove_dateline(text: Column) -> Column:
@@ -113,9 +118,14 @@ def remove_dateline(text: Column) -> Column:
 
 def cut_at(text: Column, phrases: Sequence[str]) -> Column:
     """The text before the earliest of the phrases, whatever their case."""
-    low = F.lower(text)
-    first = F.least(*[F.nullif(F.locate(p.lower(), low), F.lit(0)) for p in phrases], F.lit(None).cast("int"))
-    return F.when(first.isNotNull(), F.substr(text, F.lit(1), first - 1)).otherwise(text)
+
+    def first(low: Column) -> Column:
+        return F.least(*[F.nullif(F.locate(p.lower(), low), F.lit(0)) for p in phrases], F.lit(None).cast("int"))
+
+    def cut(t: Column) -> Column:
+        return let(let(F.lower(t), first), lambda n: F.when(n.isNotNull(), F.substr(t, F.lit(1), n - 1)).otherwise(t))
+
+    return let(text, cut)
 
 
 def remove_boilerplate(text: Column, phrases: Sequence[str] = fixed.STOP_PHRASES) -> Column:
@@ -134,10 +144,14 @@ def remove_repeated_title(text: Column, title: Column | None = None) -> Column:
     t = F.regexp_replace(F.regexp_replace(_or_empty(text), r"(?iuU)^(Заголовок:\s*)+", ""), r"(?U)^\s+|\s+$", "")
     if title is None:
         return t
-    head = normalize_title(title)
-    n = F.length(head)
-    again = F.startswith(F.lower(t), F.lower(head)) & F.substr(t, n + 1, F.lit(1)).rlike(r"(?U)\s")
-    return F.when(again, F.regexp_replace(F.substr(t, n + 1), r"(?U)^\s+|\s+$", "")).otherwise(t)
+
+
+    def without(v: Column) -> Column:
+        n = F.length(v["head"])
+        again = F.startswith(F.lower(v["t"]), F.lower(v["head"])) & F.rlike(F.substr(v["t"], n + 1, F.lit(1)), F.lit(r"(?U)\s"))
+        return F.when(again, F.regexp_replace(F.substr(v["t"], n + 1), r"(?U)^\s+|\s+$", "")).otherwise(v["t"])
+
+    return let(F.struct(t.alias("t"), normalize_title(title).alias("head")), without)
 
 
 def split_sentences(text: Column) -> Column:
@@ -169,9 +183,12 @@ def normalize_article_text(text: Column, title: Column | None = None) -> Column:
 
 
 def is_bad_paragraph(text: Column, phrases: Sequence[str] = fixed.BAD_PARAGRAPHS) -> Column:
-    t = _or_empty(text)
-    n_words = F.size(F.split(squeezed(t), " "))
-    return (F.length(t) < 35) | contains_any(F.lower(t), phrases) | (n_words < 5) | t.contains("@") | t.contains("www.") | (F.length(F.regexp_replace(t, r"[^|]", "")) >= 2)
+    def bad(t: Column) -> Column:
+        few = F.size(F.split(squeezed(t), " ")) < 5
+        named = let(F.lower(t), lambda low: contains_any(low, phrases))
+        return (F.length(t) < 35) | named | few | t.contains("@") | t.contains("www.") | (F.length(F.regexp_replace(t, r"[^|]", "")) >= 2)
+
+    return let(_or_empty(text), bad)
 
 
 def filter_paragraphs(paragraphs: Column) -> Column:
@@ -186,16 +203,31 @@ def is_title_fragment(text: Column, title: Column) -> Column:
     return (F.length(text) > 0) & (F.length(title) > 0) & (inside(a, b) | inside(bare(a), bare(b)))
 
 
+def remove_title_prefix(text: Column, title: Column) -> Column:
+    """The text without a leading title: the whole of it, it without quotes, or its last ten to four
+    words (of 20 characters or more)."""
+    w = F.split(squeezed(title), " ")
+    tails = [F.array_join(F.slice(w, F.size(w) - (k - 1), k), " ") for k in range(10, 3, -1)]
+    tries = [title, F.regexp_replace(title, "[«»\"]", "")] + [F.when(F.size(w) >= k, t) for k, t in zip(range(10, 3, -1), tails, strict=True)]
+
+    def cut(t: Column) -> Column:
+        fits = lambda i, x: (F.length(x) > 0) & ((F.length(x) >= 20) | F.lit(i < 2)) & F.startswith(F.lower(t), F.lower(x))
+        rest = [F.when(fits(i, x), F.regexp_replace(F.substr(t, F.length(x) + 1), r"(?U)^[\s.,:;—–-]+", "")) for i, x in enumerate(tries)]
+        return F.coalesce(*rest, t)
+
+    return let(_or_empty(text), cut)
+
+
 def sentence_key(text: Column) -> Column:
     return squeezed(F.regexp_replace(F.translate(F.lower(text), "ё", "е"), "[^а-яa-z0-9 ]", ""))
 
 
 def starts_badly(sentence: Column, starts: Sequence[str] = fixed.BAD_STARTS) -> Column:
-    return _any([F.startswith(sentence_key(sentence), F.lit(s)) for s in starts])
+    return let(sentence_key(sentence), lambda k: _any([F.startswith(k, F.lit(s)) for s in starts]))
 
 
 def is_bad_summary_sentence(sentence: Column) -> Column:
-    return starts_badly(sentence) | contains_any(F.lower(sentence), fixed.BAD_CONTEXT) | _any([F.startswith(sentence_key(sentence), F.lit(s)) for s in fixed.PRONOUNS])
+    return starts_badly(sentence, fixed.BAD_STARTS + fixed.PRONOUNS) | let(F.lower(sentence), lambda low: contains_any(low, fixed.BAD_CONTEXT))
 
 
 def sentence_words(sentence: Column) -> Column:
@@ -203,12 +235,18 @@ def sentence_words(sentence: Column) -> Column:
 
 
 def too_similar(a: Column, b: Column) -> Column:
-    ka, kb, wa, wb = sentence_key(a), sentence_key(b), sentence_words(a), sentence_words(b)
-    both = F.array_intersect(wa, wb)
-    share = F.size(both) / F.least(F.size(wa), F.size(wb))
-    long_ = F.size(F.filter(both, lambda w: F.length(w) >= 6)) >= 5
-    words = (F.size(wa) > 0) & (F.size(wb) > 0) & ((F.size(both) / F.size(F.array_union(wa, wb)) >= 0.55) | (share >= 0.7) | (long_ & (share >= 0.55)))
-    return (ka != "") & (kb != "") & (F.contains(kb, ka) | F.contains(ka, kb) | words)
+    """Sentences of equal or contained keys, or of mostly the same words."""
+
+    def compared(v: Column) -> Column:
+        ka, kb, wa, wb, both = (v[c] for c in ("ka", "kb", "wa", "wb", "both"))
+        share = F.size(both) / F.least(F.size(wa), F.size(wb))
+        long_ = F.size(F.filter(both, lambda w: F.length(w) >= 6)) >= 5
+        alike = (F.size(both) / F.size(F.array_union(wa, wb)) >= 0.55) | (share >= 0.7) | (long_ & (share >= 0.55))
+        words = F.when((F.size(wa) > 0) & (F.size(wb) > 0), alike).otherwise(False)
+        return (ka != "") & (kb != "") & (F.contains(kb, ka) | F.contains(ka, kb) | words)
+
+    parts = F.struct(sentence_key(a).alias("ka"), sentence_key(b).alias("kb"), sentence_words(a).alias("wa"), sentence_words(b).alias("wb"), F.array_intersect(sentence_words(a), sentence_words(b)).alias("both"))
+    return let(parts, compared)
 
 
 def cut_text(text: Column, most: int) -> Column:

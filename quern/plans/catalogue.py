@@ -5,7 +5,7 @@ covered by the tests."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -20,7 +20,10 @@ from quern.plans.views import CLUSTERS_SQL, EPOCH, NEWS_SQL, clusters, news, tab
 from quern.sources import html as H
 
 TITLES, URLS, CONTENT = ["anesle", "der "], ["/es/"], ["token =", "worthless"]
-VALID = A.is_valid(TITLES, URLS, CONTENT)
+
+
+def valid() -> Column:
+    return A.is_valid(TITLES, URLS, CONTENT)
 
 
 def _contains(col: str, needles: list[str]) -> str:
@@ -45,12 +48,12 @@ def query(sql: str | None = None):
 
 @query(f"WITH {NEWS_SQL} SELECT id, source FROM news WHERE {VALID_SQL}")
 def news_filter_valid(spark: SparkSession, d: str) -> DataFrame:
-    return news(spark, d).where(VALID).select("id", "source")
+    return news(spark, d).where(valid()).select("id", "source")
 
 
 @query(f"WITH {NEWS_SQL} SELECT source, count(*) AS collected, count(*) FILTER ({VALID_SQL}) AS kept, count(*) FILTER (NOT {VALID_SQL}) AS removed FROM news GROUP BY source")
 def news_filter_report(spark: SparkSession, d: str) -> DataFrame:
-    return A.filter_report(news(spark, d), VALID)
+    return A.filter_report(news(spark, d), valid())
 
 
 @query(f"WITH {NEWS_SQL} SELECT id, source, title FROM (SELECT *, row_number() OVER (PARTITION BY {KEY_SQL} ORDER BY collected_at, id) AS rn FROM news) WHERE rn = 1")
@@ -61,7 +64,7 @@ def title_key_dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {NEWS_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY {KEY_SQL} ORDER BY collected_at, id) AS rn FROM news WHERE {VALID_SQL})
 SELECT source, count(*) AS articles, min(id) AS first_id, max(length(text)) AS longest FROM f WHERE rn = 1 GROUP BY source""")
 def news_ingest_report(spark: SparkSession, d: str) -> DataFrame:
-    kept = A.first_wins(news(spark, d).where(VALID), T.key_of(F.col("text")), [F.col("collected_at"), F.col("id")])
+    kept = A.first_wins(news(spark, d).where(valid()), T.key_of(F.col("text")), [F.col("collected_at"), F.col("id")])
     return kept.groupBy("source").agg(F.count(F.lit(1)).alias("articles"), F.min("id").alias("first_id"), F.max(F.length("text")).alias("longest"))
 
 
@@ -229,11 +232,11 @@ def textrank_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 TAGS = [("trade", [1.0, 0.0], ["tion", "ment", "tion"], ["der"]), ("power", [0.6, 0.8], ["heit", "keit", "th"], ["que"]), ("metal", [0.0, 1.0], ["que", "eau", "los", "de"], ["the "])]
-_VECTOR = [F.lit(0.8), F.lit(0.6)]
+_VECTOR = (0.8, 0.6)
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = news(spark, d).select("id", T.lemmatized(F.col("text")).alias("text"), F.array(*_VECTOR).alias("vector"))
+    rows = news(spark, d).select("id", T.lemmatized(F.col("text")).alias("text"), F.array(*map(F.lit, _VECTOR)).alias("vector"))
     return G.scored(rows, [dict(tag=t, vector=v, positive=p, negative=n) for t, v, p, n in TAGS], "id")
 
 
