@@ -52,8 +52,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
-    rows = docs.select("doc_id", "text").join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
-    return toxicity.train(rows.where(F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) != 0))
+    return toxicity.train(docs, labels.where(F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) != 0))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

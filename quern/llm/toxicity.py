@@ -120,15 +120,19 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, features: int
     return Model(keys[chosen], w, float(b))
 
 
-def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """From rows (doc_id, text, toxic) with toxic 0 or 1.  Only the drawn texts come to the
-    driver: about 2 x ``per_class`` of them, whatever the corpus."""
-    counts = {int(r["toxic"]): r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """From documents (doc_id, text) and labels (doc_id, toxic) with toxic 0 or 1.
+
+    The sample is drawn from the labels alone: about 2 x ``per_class`` of them whatever the corpus,
+    by a hash of the id.  So few rows are broadcast to the documents, and no text but theirs moves."""
+    labels = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return fit([], np.zeros(0), np.zeros(0))
     limit = {k: min(1.0, per_class / n) for k, n in counts.items()}
     drawn = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < F.when(F.col("toxic") == 1, limit[1]).otherwise(limit[0])
-    rows = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", int(r["toxic"])) for r in labelled.where(drawn).select("doc_id", "text", "toxic").toLocalIterator())
+    sample = docs.select("doc_id", "text").join(F.broadcast(labels.where(drawn)), "doc_id")
+    rows = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", r["toxic"]) for r in sample.toLocalIterator())
     labels = np.array([r[3] for r in rows], dtype=np.float64)
     return fit([r[2] for r in rows], labels, np.where(labels == 1, 1 / limit[1], 1 / limit[0]))
 

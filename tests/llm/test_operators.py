@@ -28,7 +28,7 @@ OPS = {
     "media": lambda d: mpegts.from_media(mpegts.to_media(d)),
     "pieces": lambda d: pieces.decoded(pieces.encoded(d, pieces.load(d.sparkSession)), pieces.load(d.sparkSession)),
     "language": lambda d: langid.identify(d, langid.prototypes(d.where("lang is not null").select("doc_id", "text", "lang"))),
-    "toxicity": lambda d: toxicity.score(d, toxicity.train(d.select("doc_id", "text", F.lit(None).cast("int").alias("toxic")).where("toxic is not null"))),
+    "toxicity": lambda d: toxicity.score(d, toxicity.train(d, d.select("doc_id", F.lit(None).cast("int").alias("toxic")))),
 }
 
 
