@@ -33,7 +33,7 @@ from quern.llm import textblocks as tb
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-_BLOCK, _CACHE = 1 << 19, 1 << 19
+_BLOCK, _CACHE = 1 << 20, 1 << 19
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 
@@ -164,7 +164,8 @@ class Vocabulary:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ranks of the pieces with these hashes, -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        at = self.keys.searchsorted(hashes)
+        at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == hashes, self.rank_at[at], -1)
 
     def agree(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -201,10 +202,11 @@ class Vocabulary:
         best[0] = 0.0
         token = np.full((size + 1, n), -1, dtype=np.int64)
         back = np.zeros((size + 1, n), dtype=np.int64)
+        every = np.arange(n)
         for j in range(1, size + 1):
+            open_ = every
             for k in range(min(self.longest, j), 0, -1):
                 i = j - k
-                open_ = np.flatnonzero(np.isneginf(best[j])) if self.kind == BPE else np.arange(n)
                 if not len(open_):
                     break
                 rank = self.find(flat.of(base[open_] + i, base[open_] + j))
@@ -224,6 +226,8 @@ class Vocabulary:
                 better = value > best[j][open_]
                 hit = open_[better]
                 best[j][hit], token[j][hit], back[j][hit] = value[better], rank[better], i
+                if self.kind == BPE:  # one way is the only one
+                    open_ = open_[~better]
             stuck = np.flatnonzero(np.isneginf(best[j]))
             if len(stuck):  # a character in no piece
                 best[j][stuck] = best[j - 1][stuck] - 1e4
@@ -397,7 +401,7 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
-        for batch in tb.slices(batches):
+        for batch in tb.slices(batches, 1024):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for at, some in tb.blocks(texts, _BLOCK):
                 ids, counts = encoder.encode(some)
