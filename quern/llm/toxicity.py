@@ -26,7 +26,7 @@ from pyspark.sql.types import _parse_datatype_string
 from quern.llm import textblocks as tb
 
 #: Expected sample documents per label, and the most features kept.
-PER_CLASS, FEATURES = 1500, 3000
+PER_CLASS, FEATURES = 800, 3000
 PREFIXES = (4, 5)
 MIN_DOCS = 3
 _BLOCK = 1 << 19
@@ -81,7 +81,9 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, features: int
         d_list.append(s_doc + at)
         n_sent += len(s_doc)
     feats, sents, docs = np.concatenate(f_list), np.concatenate(s_list), np.concatenate(d_list)
+    del f_list, s_list, d_list
     keys, f = np.unique(feats, return_inverse=True)
+    del feats
     if not len(keys):
         return empty
     pair = np.unique(f.astype(np.int64) * len(texts) + docs[sents])
@@ -134,7 +136,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     sample = docs.select("doc_id", "text").join(F.broadcast(labels.where(drawn)), "doc_id")
     rows = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", r["toxic"]) for r in sample.toLocalIterator())
     labels = np.array([r[3] for r in rows], dtype=np.float64)
-    return fit([r[2] for r in rows], labels, np.where(labels == 1, 1 / limit[1], 1 / limit[0]))
+    texts = [r[2] for r in rows]
+    del rows
+    return fit(texts, labels, np.where(labels == 1, 1 / limit[1], 1 / limit[0]))
 
 
 def sentence_scores(texts: list[str], model: Model) -> tuple[np.ndarray, ...]:
