@@ -59,37 +59,66 @@ def to_cluster(news: DataFrame, as_of, hours: int) -> DataFrame:
     return recent(news.where("cluster_id is null"), as_of, hours)
 
 
-def nearest(rows: DataFrame, centers: DataFrame, threshold: float, id_: str, vector: str = "embedding") -> DataFrame:
+#: Bytes of centres that are broadcast at most, and centres in one block beyond that.
+BROADCAST_BYTES, BLOCK = 32 << 20, 1024
+
+
+def totals(rows: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """(key, total): the sum of the non-null vectors, combined on the map side per dimension."""
+    parts = rows.where(F.col(vector).isNotNull()).select(key, F.posexplode(vector).alias("i", "x"))
+    sums = parts.groupBy(key, "i").agg(F.sum(F.col("x").cast("double")).alias("m"))
+    return sums.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("total"))
+
+
+def nearest(rows: DataFrame, centers: DataFrame, threshold: float, id_: str, vector: str = "embedding", most_bytes: int = BROADCAST_BYTES, block: int = BLOCK) -> DataFrame:
     """(id, center, score): each row's centre of largest cosine above 0, the first of equal ones;
     null where that is below the threshold.
 
-    The centres travel as one array column, made by an aggregation; the search is a fold over it."""
-    held = centers.agg(F.sort_array(F.collect_list(F.struct(F.col("ord"), F.col("center"), F.col("centroid")))).alias("c"))
+    Centres of up to ``most_bytes`` travel as one broadcast array and the search is a fold over it.
+    More of them are cut into blocks of about ``block``; every row meets every block by an
+    equi-join on the block's number, dealt over several salts, and its best per block is combined
+    on the map side.  Ids must be unique."""
+    size = centers.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("dims")).first()
+    n = size["n"]
+    small = n * (8 * (size["dims"] or 0) + 64) <= most_bytes
+    blocks = 1 if small else -(-n // block)
+    salts = 1 if small else max(1, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    held = centers.groupBy(F.pmod(F.xxhash64("ord", "center"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct(F.col("ord"), F.col("center"), F.col("centroid"))).alias("c"))
     scores = F.transform("c", lambda c: F.struct(cosine(F.col(vector), c["centroid"]).alias("s"), (-c["ord"]).alias("o"), c["center"].alias("center")))
-    best = rows.crossJoin(F.broadcast(held)).select(id_, F.array_max(scores).alias("b"))
+    asked = rows.select(id_, vector)
+    if small:
+        met = asked.withColumn("_block", F.lit(0).cast("long")).join(F.broadcast(held), "_block", "left")
+        best = met.select(id_, F.array_max(scores).alias("b"))
+    else:
+        dealt = asked.withColumn("_salt", F.pmod(F.xxhash64(vector), F.lit(salts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        held = held.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        best = dealt.join(held, ["_block", "_salt"]).select(id_, F.array_max(scores).alias("b")).groupBy(id_).agg(F.max("b").alias("b"))
     good = (F.col("b.s") > 0) & (F.col("b.s") >= threshold)
     return best.select(id_, F.when(good, F.col("b.center")).alias("center"), F.col("b.s").alias("score"))
 
 
-def leader_clusters(rows: DataFrame, threshold: float, order: str, id_: str, block: str, vector: str = "embedding") -> DataFrame:
+def leader_clusters(rows: DataFrame, threshold: float, order: str, id_: str, block: str, vector: str = "embedding", existing: DataFrame | None = None) -> DataFrame:
     """(block, id, leader, score): online leader clustering in ``order`` within each block.
 
     Each row joins the cluster whose centroid (unit mean of its members so far) has the largest
     cosine above 0, the earliest of equal ones, if that reaches the threshold; otherwise it founds
     a cluster.  The result depends on the order, so a block is one sequence: its rows stream
-    through one task in order and only the centroids are held.  Blocks run side by side."""
+    through one task in order and only the centroids are held.  Blocks run side by side.
+
+    ``existing``: clusters (block, leader, total) of earlier runs, ``total`` the sum of their
+    members' vectors; they come before all new ones, by leader."""
     schema = rows.select(block, id_).schema.add("leader", "long").add("score", "double")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, used, sums, units, leaders = None, 0, None, None, []
         for pdf in batches:
             out = []
-            for b, i, v in zip(pdf[block], pdf[id_], pdf[vector], strict=True):
-                if used == 0 or b != at:
+            for b, i, v, new in zip(pdf[block], pdf[id_], pdf[vector], pdf["_new"], strict=True):
+                if used == 0 or not (b == at or (pd.isna(b) and pd.isna(at))):
                     at, used, leaders = b, 0, []
                 x = np.zeros(0) if v is None else np.asarray(v, dtype=float)
                 size = np.linalg.norm(x)
-                if used and size > 0:
+                if new and used and size > 0:
                     s = units[:used] @ x / size
                     best = int(np.argmax(s))
                     score = float(s[best])
@@ -110,7 +139,13 @@ def leader_clusters(rows: DataFrame, threshold: float, order: str, id_: str, blo
                         leaders.append(i)
                         best = used - 1
                     score = max(score, 0.0)
-                out.append((b, i, leaders[best] if size > 0 else i, score))
+                if new:
+                    out.append((b, i, leaders[best] if size > 0 else i, score))
             yield pd.DataFrame(out, columns=[block, id_, "leader", "score"])
 
-    return rows.select(block, id_, order, vector).repartition(block).sortWithinPartitions(block, order, id_).select(*dict.fromkeys([block, id_, vector])).mapInPandas(run, schema)
+    asked = rows.select(F.col(block), F.col(id_), F.col(order).alias("_order"), F.col(vector).cast("array<double>").alias(vector), F.lit(True).alias("_new"))
+    if existing is not None:
+        kinds = dict(asked.dtypes)
+        seeds = existing.select(F.col(block).cast(kinds[block]).alias(block), F.col("leader").cast(kinds[id_]).alias(id_), F.lit(None).cast(kinds["_order"]).alias("_order"), F.col("total").alias(vector), F.lit(False).alias("_new"))
+        asked = asked.union(seeds)
+    return asked.repartition(block).sortWithinPartitions(block, "_new", "_order", id_).select(block, id_, vector, "_new").mapInPandas(run, schema)

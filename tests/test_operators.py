@@ -105,3 +105,46 @@ def test_stream_stores_each_url_once(spark, tmp_path):
         spark.createDataFrame([("t", "u1", "x" * 300, 1), ("t", f"v{k}", "x" * 300, 2), ("t", "w", "short", 3)], schema).write.mode("append").parquet(src)
         ingest(spark.readStream.schema(schema).parquet(src), table, str(tmp_path / "c"), every=None).awaitTermination()
     assert sorted(r["url"] for r in spark.read.parquet(table).collect()) == ["u1", "v0", "v1"]
+
+
+def test_nearest_is_the_same_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 5)))] + [(60, None), (61, [0.0] * 5)], "id long, embedding array<double>")
+    centers = spark.createDataFrame([(k, f"c{k}", x.tolist()) for k, x in enumerate(rng.normal(size=(23, 5)))], "ord int, center string, centroid array<double>")
+    one, many = (sorted(map(tuple, C.nearest(rows, centers, 0.5, "id", **how).collect())) for how in ({}, {"most_bytes": 0, "block": 4}))
+    assert one == many and len(one) == 62 and one[60][1] is None
+
+
+def test_leader_clusters_go_on_from_earlier_ones(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(160, 6))
+    df = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(v)], "b int, id long, embedding array<double>").withColumn("at", F.col("id"))
+    first = C.leader_clusters(df.where("id < 100"), 0.7, "at", "id", "b")
+    known = C.totals(df.join(first.select("id", "leader"), "id"), "leader").withColumn("b", F.lit(0))
+    second = C.leader_clusters(df.where("id >= 100"), 0.7, "at", "id", "b", existing=known)
+    got = {r["id"]: r["leader"] for r in first.union(second).collect()}
+    assert [got[i] for i in range(160)] == brute_leaders(v, 0.7)
+
+
+def test_periodic_run(spark, tmp_path):
+    from quern.functions.vectors import encoder
+    from quern.plans import periodic as P
+
+    at = dt.datetime(2024, 1, 3)
+    body = "The new plant number {0} makes steel tubes for the northern pipeline since {0} days now. Its second line will open in the year {0} after long repairs of the main hall. " * 2 + "Engineers of plant {0} said that tests of all machines went on for several weeks without a fault."
+    rows = [(i, "s", f"Plant {i // 2} opens", f"u{i}", body.format(1000 + i // 2) + (" again" if i % 2 else ""), None, at - dt.timedelta(hours=1, minutes=-i), i) for i in range(6)]
+    rows += [(6, "?", "Plant", "u6", body.format(9), None, at, 6), (7, "s", "Thin", "u7", "short", None, at, 7), (8, "s", "Again", "u0", body.format(8), None, at, 8)]
+    articles = spark.createDataFrame(rows, "id long, source string, title string, url string, text string, published_at timestamp, collected_at timestamp, ord int")
+    sources = spark.createDataFrame([(1, "s")], "id int, name string")
+    vector = spark.createDataFrame([("steel tubes plant pipeline",)], "t string").select(encoder()(F.col("t")).alias("v")).first()["v"]
+    rules = P.Rules(tags=[dict(tag="steel", vector=vector, positive=["steel", "tubes"], negative=[]), dict(tag="art", vector=[0.0] * 256, positive=["opera"], negative=[])], threshold=0.97, least_score=0.05, valid=dict(titles=[], urls=[], content=[]))
+    none = [spark.createDataFrame([], s) for s in (P.NEWS, P.CLUSTERS)]
+    news, clusters, posts = P.run(*none, articles, sources, at, str(tmp_path / "a"), rules)
+    assert sorted((r["id"], r["cluster_id"], r["is_primary"]) for r in news.collect()) == [(i, i - i % 2, i % 2 == 0) for i in range(6)]
+    assert sorted((r["cluster_id"], r["status"], r["tags"], r["cluster_size"]) for r in clusters.collect()) == [(i, "ready", "steel", 2) for i in (0, 2, 4)]
+    assert all(len(r["summary_text"]) > 45 for r in clusters.collect()) and posts.count() == 3
+    sent = L.published(clusters, posts)
+    more = articles.where("id = 5").withColumns({"id": F.lit(9).cast("long"), "url": F.lit("u9")}).union(articles.where("id = 0"))
+    news, clusters, posts = P.run(news, sent, more, sources, at, str(tmp_path / "b"), rules)
+    assert news.count() == 7 and news.where("cluster_id = 4").count() == 3 and posts.count() == 0
+    assert {r["cluster_id"]: (r["cluster_size"], r["status"]) for r in clusters.collect()} == {0: (2, "published"), 2: (2, "published"), 4: (3, "published")}
