@@ -16,6 +16,8 @@ from quern.operators import clusters as C
 from quern.operators import lifecycle as L
 from quern.operators import summaries as S
 from quern.operators import tags as G
+from quern.plans import periodic
+from quern.plans.shared import new_path
 from quern.plans.views import CLUSTERS_SQL, EPOCH, NEWS_SQL, clusters, news, table
 from quern.sources import html as H
 
@@ -314,3 +316,20 @@ def encoded_texts(spark: SparkSession, d: str) -> DataFrame:
     encode = V.encoder(dims=32)
     n = news(spark, d).select("id", encode(F.concat_ws(". ", "title", "text")).alias("v"))
     return n.select("id", F.round(V.norm(F.col("v")), 6).alias("norm"), F.size("v").alias("dims"))
+
+
+@query()
+def periodic_run(spark: SparkSession, d: str) -> DataFrame:
+    """The whole run over all documents as newly collected articles, clustered within their source."""
+    n = news(spark, d).withColumns({"ord": F.col("id"), "source": F.coalesce("source", F.lit("?"))})
+    sources = n.select(F.col("source").alias("name")).distinct().withColumn("id", F.crc32(F.col("name").cast("binary")))
+    as_of = n.agg(F.max("collected_at")).first()[0]
+    encode = V.encoder(dims=32)
+    unit = [1.0] + [0.0] * 31
+    rules = periodic.Rules(
+        tags=[dict(tag=t, vector=unit, positive=p, negative=q) for t, _, p, q in TAGS], foreign=FOREIGN, home=HOME, banned=BANNED, threshold=0.6, least_score=0.05,
+        valid=dict(titles=TITLES, urls=URLS, content=CONTENT), encode=encode,
+    )
+    none = [spark.createDataFrame([], s) for s in (periodic.NEWS, periodic.CLUSTERS)]
+    _, found, _ = periodic.run(*none, n, sources, as_of, new_path(spark, "run"), rules, hours=24 * 365 * 100, block="source")
+    return found.select("cluster_id", "status", "tags", "cluster_size")

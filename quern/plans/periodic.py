@@ -56,18 +56,26 @@ def stored(news: DataFrame, articles: DataFrame, sources: DataFrame, rules: Rule
     return news.unionByName(_shaped(fresh.withColumn("embedding", F.lit(None)), NEWS))
 
 
-def assigned(news: DataFrame, clusters: DataFrame, as_of, hours: int, rules: Rules, block: str | None = None) -> DataFrame:
-    """(id, vector, leader) of recent articles without a cluster.  A cluster's id is that of the
-    article that founded it.  ``block`` names a column of news within which articles are
-    clustered; without one all are a single sequence, as the result depends on their order."""
-    at = F.lit(0) if block is None else F.col(block)
+def encoded(news: DataFrame, as_of, hours: int, rules: Rules, block: str | None = None) -> DataFrame:
+    """(id, at, block, vector) of recent articles without a cluster; vectors that are there stay."""
     encode = rules.encode or V.encoder()
-    due = C.to_cluster(news, as_of, hours).withColumns({"_block": at, "vector": F.coalesce("embedding", encode(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("text", F.lit("")))))})
+    made = encode(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("text", F.lit(""))))
+    return C.to_cluster(news, as_of, hours).select("id", F.col("collected_at").alias("at"), _block(block).alias("block"), F.coalesce("embedding", made).alias("vector"))
+
+
+def _block(name: str | None) -> Column:
+    return F.lit(0) if name is None else F.col(name)
+
+
+def assigned(due: DataFrame, news: DataFrame, clusters: DataFrame, as_of, hours: int, rules: Rules, block: str | None = None) -> DataFrame:
+    """(id, vector, leader) of the articles ``encoded``.  A cluster's id is that of the article that
+    founded it.  ``block`` names a column of news within which articles are clustered; without
+    one all are a single sequence, as the result depends on their order."""
     live = C.recent(clusters, as_of, hours, "updated_at").select("cluster_id")
-    members = news.where("cluster_id is not null").withColumn("_block", at).join(live, "cluster_id", "left_semi")
-    where = members.groupBy("cluster_id").agg(F.min("_block").alias("_block"))
+    members = news.where("cluster_id is not null").withColumn("block", _block(block)).join(live, "cluster_id", "left_semi")
+    where = members.groupBy("cluster_id").agg(F.min("block").alias("block"))
     existing = C.totals(members, "cluster_id").join(where, "cluster_id").withColumnRenamed("cluster_id", "leader")
-    found = C.leader_clusters(due, rules.threshold, "collected_at", "id", "_block", "vector", existing)
+    found = C.leader_clusters(due, rules.threshold, "at", "id", "block", "vector", existing)
     return due.select("id", "vector").join(found.select("id", "leader"), "id")
 
 
@@ -133,7 +141,8 @@ def run(news: DataFrame, clusters: DataFrame, articles: DataFrame, sources: Data
     caller applies ``lifecycle.published``."""
     kept = _written(stored(_shaped(news, NEWS), articles, sources, rules), f"{folder}/stored")
     clusters = _shaped(clusters, CLUSTERS)
-    found = _written(assigned(kept, clusters, as_of, hours, rules, block), f"{folder}/assigned")
+    due = _written(encoded(kept, as_of, hours, rules, block), f"{folder}/encoded")
+    found = _written(assigned(due, kept, clusters, as_of, hours, rules, block), f"{folder}/assigned")
     news = _written(attached(kept, found), f"{folder}/news")
     step = _written(grown(clusters, news, found, as_of), f"{folder}/grown")
     step = _written(summarised(step, news, as_of, rules), f"{folder}/summarised")
