@@ -266,12 +266,37 @@ def lemmatized(text: Column, lemmas: dict[str, str] | None = None) -> Column:
     return F.array_join(F.transform(F.split(t, " "), lambda w: F.coalesce(F.element_at(table, w), w)), " ")
 
 
-def marker_matches(text: Column, markers: Sequence[str]) -> Column:
-    """The markers (prepared: normalised, distinct, longest first) that the text contains."""
-    ready = sorted(set(markers), key=lambda m: (-len(m), m))
+def prepared_markers(markers: Sequence[str], lemmas: dict[str, str] | None = None) -> list[str]:
+    """Markers treated like the texts they are looked for in (``lemmatized``), distinct, longest
+    first; blank ones go."""
+    out = set()
+    for m in markers:
+        words = re.sub(r"[^а-яa-z0-9\-. ]", " ", m.lower().replace("ё", "е")).split()
+        out.add(" ".join((lemmas or {}).get(w, w) for w in words))
+    return sorted(out - {""}, key=lambda m: (-len(m), m))
+
+
+def marker_matches(text: Column, markers: Sequence[str], lemmas: dict[str, str] | None = None) -> Column:
+    """The markers, prepared, that the lemmatised text contains, longest first."""
+    ready = prepared_markers(markers, lemmas)
     return F.filter(F.array(*map(F.lit, ready)).cast("array<string>"), lambda m: F.contains(text, m))
 
 
+def contains_marker(text: Column, markers: Sequence[str], lemmas: dict[str, str] | None = None) -> Column:
+    return contains_any(text, prepared_markers(markers, lemmas))
+
+
+def is_foreign_title(title: Column, foreign: Sequence[str], home: Sequence[str], lemmas: dict[str, str] | None = None) -> Column:
+    """The title names another country and not the home one."""
+    t = lemmatized(title, lemmas)
+    return contains_marker(t, foreign, lemmas) & ~contains_marker(t, home, lemmas)
+
+
+def normalize_for_keywords(text: Column) -> Column:
+    """Like ``normalize_filter_text``, without dots."""
+    return squeezed(F.translate(normalize_filter_text(text), ".", " "))
+
+
 def hashtags(tags: Column) -> Column:
     parts = F.filter(F.transform(F.split(_or_empty(tags), ","), lambda t: F.btrim(t)), lambda t: t != "")
     return F.array_join(F.transform(parts, lambda t: F.concat(F.lit("#"), F.translate(t, " -", "__"))), " ")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.vectors import cosine
+from quern.functions.vectors import cosine, dot, unit
 
 
 def centroids(rows: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
@@ -97,6 +97,31 @@ def nearest(rows: DataFrame, centers: DataFrame, threshold: float, id_: str, vec
     return best.select(id_, F.when(good, F.col("b.center")).alias("center"), F.col("b.s").alias("score"))
 
 
+def most_similar(rows: DataFrame, queries: DataFrame, k: int, id_: str, vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(query, id, score, rn): for each query the ``k`` rows of largest cosine but itself, the smaller
+    id first of equal ones.
+
+    Queries are cut into blocks of about ``block`` and every row meets every block, dealt over
+    several salts; each task keeps its own ``k`` of a query before the shuffle (the rank filter
+    is pushed below it).  Vectors that are null or zero have cosine 0 with all."""
+    blocks = max(1, -(-queries.count() // block))
+    salts = max(1, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    ones = F.struct(F.col(id_).alias("q"), unit(F.col(vector)).alias("v"))
+    held = queries.groupBy(F.pmod(F.xxhash64(id_), F.lit(blocks)).alias("_block")).agg(F.collect_list(ones).alias("_c")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asked = rows.select(F.col(id_).alias("id"), unit(F.col(vector)).alias("_v"), F.pmod(F.xxhash64(id_), F.lit(salts)).cast("int").alias("_salt"))
+    asked = asked.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    scores = F.transform("_c", lambda c: F.struct(c["q"].alias("query"), F.round(F.coalesce(dot(F.col("_v"), c["v"]), F.lit(0.0)), 9).alias("score")))
+    pairs = asked.join(held, ["_block", "_salt"]).select("id", F.explode(scores).alias("p")).select("p.query", "id", "p.score").where("query <> id")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return pairs.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
+
+
+def with_source(news: DataFrame, sources: DataFrame, default: str = "") -> DataFrame:
+    """Articles with their source's name for display, ``default`` where it isn't known."""
+    names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
+    return news.join(names, "source_id", "left").withColumn("source_name", F.coalesce("source_name", F.lit(default)))
+
+
 def leader_clusters(rows: DataFrame, threshold: float, order: str, id_: str, block: str, vector: str = "embedding", existing: DataFrame | None = None) -> DataFrame:
     """(block, id, leader, score): online leader clustering in ``order`` within each block.
 

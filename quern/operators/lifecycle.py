@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,33 @@ def html_escaped(c: Column) -> Column:
     return c
 
 
+def escaped_posts(clusters: DataFrame, news: DataFrame) -> DataFrame:
+    """(cluster_id, post): title in bold and body as one HTML-escaped text."""
+    p = posts(clusters, news)
+    parts = F.concat(F.lit("<b>"), html_escaped(F.col("post_title")), F.lit("</b>\n\n"), html_escaped(F.col("body")))
+    return p.select("cluster_id", F.btrim(parts, F.lit(" \n\t\r")).alias("post"))
+
+
+def delivered(due: DataFrame, send: Callable[[str, str], None]) -> DataFrame:
+    """(cluster_id, error) of every post after ``send(title, body)``, which workers call; a post that
+    fails holds its error and stops no other.  Write the result before use: reading it twice
+    sends twice.  ``published(clusters, delivered.where("error is null"))`` is the next snapshot."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            errors = []
+            for title, body in zip(pdf["post_title"], pdf["body"], strict=True):
+                try:
+                    send(title, body)
+                    errors.append(None)
+                except Exception as e:  # the sender is the caller's: whatever it raises is that post's result
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pd.DataFrame({"cluster_id": pdf["cluster_id"], "error": pd.Series(errors, dtype=object)})
+
+    kind = dict(due.dtypes)["cluster_id"]
+    return due.select("cluster_id", "post_title", "body").mapInPandas(run, f"cluster_id {kind}, error string")
+
+
 def published(clusters: DataFrame, sent: DataFrame) -> DataFrame:
     """The snapshot after sending: clusters that were sent change state, the others stay."""
     done = sent.select("cluster_id", F.lit(True).alias("_sent")).distinct()
@@ -66,6 +96,11 @@ def sizes(news: DataFrame) -> DataFrame:
     return news.where("cluster_id is not null").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members"))
 
 
+def newest(clusters: DataFrame, limit: int = 20) -> DataFrame:
+    """The last clusters by time of founding, oldest of them first."""
+    return clusters.orderBy(F.desc("created_at"), F.desc("cluster_id")).limit(limit).orderBy("created_at", "cluster_id")
+
+
 def latest(clusters: DataFrame, news: DataFrame, limit: int = 20) -> DataFrame:
     """The last clusters by id, with their sizes, 0 for those without members."""
     return clusters.orderBy(F.desc("cluster_id")).limit(limit).join(sizes(news), "cluster_id", "left").withColumn("members", F.coalesce("members", F.lit(0)))

@@ -20,6 +20,7 @@ from quern.plans import periodic
 from quern.plans.shared import new_path
 from quern.plans.views import CLUSTERS_SQL, EPOCH, NEWS_SQL, clusters, news, table
 from quern.sources import html as H
+from quern.sources import tables
 
 TITLES, URLS, CONTENT = ["anesle", "der "], ["/es/"], ["token =", "worthless"]
 
@@ -194,6 +195,14 @@ def nearest_centroid_assign(spark: SparkSession, d: str) -> DataFrame:
     return C.nearest(e, centers, 0.3, "vec_id").select("vec_id", "center", F.round("score", 6).alias("score"))
 
 
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(e.v, q.v), 9) AS score FROM e JOIN e q ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id)
+SELECT query, id, rn, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rn FROM s) WHERE rn <= 5""")
+def pairwise_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of all vectors for each stated query: every vector whose id is divisible by 100."""
+    e = table(spark, d, "embeddings")
+    return C.most_similar(e, e.where("vec_id % 100 = 0"), 5, "vec_id").select("query", "id", "rn", F.round("score", 6).alias("score"))
+
+
 def _leaders(spark: SparkSession, d: str, threshold: float) -> DataFrame:
     rows = table(spark, d, "embeddings").withColumn("at", F.col("vec_id"))
     return C.leader_clusters(rows, threshold, "at", "vec_id", "label").withColumn("score", F.round("score", 6))
@@ -223,6 +232,15 @@ def tfidf_top_terms(spark: SparkSession, d: str) -> DataFrame:
     return top.select("lang", "doc_id", "term", "rn", F.round("weight", 6).alias("weight"))
 
 
+@query(f"""WITH {NEWS_SQL}, c AS (SELECT cluster_id AS lang, id AS doc_id, text FROM news), {_TFIDF.replace('FROM documents', 'FROM c')},
+u AS (SELECT lang, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY lang, doc_id)) AS weight FROM w)
+SELECT a.lang AS cluster_id, a.doc_id AS a, b.doc_id AS b, round(sum(a.weight * b.weight), 6) AS cosine FROM u a JOIN u b ON a.lang = b.lang AND a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.weight * b.weight) > 0""")
+def member_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """How alike the (five) members of each cluster are, by TF-IDF within the cluster."""
+    weights = S.tfidf(news(spark, d), "cluster_id", "id")
+    return S.similar_units(weights, "cluster_id", "id").where("cosine > 0").select("cluster_id", "a", "b", F.round("cosine", 6).alias("cosine"))
+
+
 def _summaries(spark: SparkSession, d: str) -> DataFrame:
     rows = news(spark, d).select("id", "title", S.summary_sentences(T.remove_duplicate_sentences(F.col("text"))).alias("sentences"))
     return S.summaries(rows, "id")
@@ -262,7 +280,7 @@ def tag_select_gap(spark: SparkSession, d: str) -> DataFrame:
     return G.selected(scores, "id").select("id", F.array_join("tags", ", ").alias("tags"))
 
 
-FOREIGN, HOME, BANNED = ["worthless", "idiot"], ["the ", "und"], ["token"]
+FOREIGN, HOME, BANNED = ["worthless", "idiot"], ["the", "und"], ["token"]
 
 
 @query(f"""WITH {NEWS_SQL}, {CLUSTERS_SQL}, m AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY {ORDER_SQL}) AS rn FROM news),
@@ -284,6 +302,31 @@ def post_render(spark: SparkSession, d: str) -> DataFrame:
     return L.posts(clusters(spark, d), news(spark, d))
 
 
+@query(f"WITH {NEWS_SQL} SELECT id, CASE WHEN source LIKE '%1' THEN source ELSE 'unknown' END AS source_name FROM news")
+def source_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Articles with the names of active sources, the others with a default."""
+    active = tables.active(_sources(spark, d))
+    return C.with_source(news(spark, d).withColumn("source_id", F.crc32(F.col("source").cast("binary"))), active, "unknown").select("id", "source_name")
+
+
+@query(f"""WITH {NEWS_SQL}, m AS (SELECT id, list_filter(['worthless', 'the token', 'und', 'the ', 'idiot'], lambda k: contains({_N}, trim(k))) AS hits FROM news)
+SELECT id, array_to_string(list_sort(hits), '|') AS markers FROM (SELECT id, list_transform(hits, lambda k: trim(k)) AS hits FROM m) WHERE len(hits) > 0""")
+def marker_matches(spark: SparkSession, d: str) -> DataFrame:
+    hits = T.marker_matches(T.lemmatized(F.col("text")), ["worthless", "the token", "und", "the ", "idiot"])
+    return news(spark, d).select("id", F.array_sort(hits).alias("hits")).where("size(hits) > 0").select("id", F.array_join("hits", "|").alias("markers"))
+
+
+@query(f"""WITH {NEWS_SQL}, t AS (SELECT id, {_N.replace('text', 'title')} AS t FROM news)
+SELECT id FROM t WHERE ({' OR '.join(f"contains(t, '{k}')" for k in FOREIGN)}) AND NOT ({' OR '.join(f"contains(t, '{k}')" for k in HOME)})""")
+def foreign_titles(spark: SparkSession, d: str) -> DataFrame:
+    return news(spark, d).where(T.is_foreign_title(F.col("title"), FOREIGN, HOME)).select("id")
+
+
+@query(f"WITH {NEWS_SQL}, {CLUSTERS_SQL} SELECT cluster_id, status FROM clusters ORDER BY created_at DESC, cluster_id DESC LIMIT 20")
+def newest_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return L.newest(clusters(spark, d)).select("cluster_id", "status")
+
+
 @query(f"WITH {NEWS_SQL}, {CLUSTERS_SQL} SELECT cluster_id, created_at FROM clusters WHERE status = 'ready' AND summary_text IS NOT NULL ORDER BY created_at, cluster_id LIMIT 30")
 def ready_topk(spark: SparkSession, d: str) -> DataFrame:
     return L.ready(clusters(spark, d)).select("cluster_id", "created_at")

@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -123,6 +123,28 @@ class Rule:
     least: int = 250
     any_paragraph: int | None = None  # least length of the page's paragraphs together, if they may serve
     title: tuple[str, ...] = ("h1",)
+    #: blocks dropped beforehand, and containers of which the first on the page is searched (else all of it)
+    drop: tuple[str, ...] = ()
+    container: tuple[str, ...] = ()
+    #: blocks go if shorter, if they hold one of the (lower-case) phrases, match a pattern or repeat the title
+    least_block: int = 0
+    unwanted: tuple[str, ...] = ()
+    unwanted_pattern: str | None = None
+    without_title: bool = False
+    #: the text is the title and the blocks as they are, each once
+    plain: bool = False
+    skip_titles: tuple[str, ...] = ()
+
+    def wanted(self, block: str, title: str) -> bool:
+        low = block.lower()
+        if len(block) < self.least_block or any(p in low for p in self.unwanted) or (self.without_title and low == title.lower()):
+            return False
+        return not (self.unwanted_pattern and re.search(self.unwanted_pattern, block))
+
+    def blocks(self, root: Node, selector: str, title: str) -> list[str]:
+        found = (" ".join(b.text().split()) for b in select(root, selector))
+        kept = [b for b in found if self.wanted(b, title)]
+        return list(dict.fromkeys([title, *kept] if self.plain and title else kept)) if self.plain or self.container else kept
 
 
 GENERIC = Rule()
@@ -131,7 +153,7 @@ GENERIC = Rule()
 def extract(pages: DataFrame, rules: tuple[Rule, ...] = (GENERIC,)) -> DataFrame:
     """(page_id, url, title, candidates): texts of the blocks of every selector of the page's rule,
     in the rule's order with its least length; the last may be all paragraphs."""
-    kind = pa.list_(pa.struct([("least", pa.int32()), ("blocks", pa.list_(pa.string()))]))
+    kind = pa.list_(pa.struct([("least", pa.int32()), ("plain", pa.bool_()), ("blocks", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,14 +161,19 @@ def extract(pages: DataFrame, rules: tuple[Rule, ...] = (GENERIC,)) -> DataFrame
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 rule = next((r for r in rules if r.domain in (url or "")), GENERIC)
                 root = parse(html)
-                heads = (h.text() for s in rule.title for h in select(root, s))
-                titles.append(next((h for h in heads if h), ""))
+                heads = (h.attrs.get("content") or h.text() for s in rule.title for h in select(root, s))
+                title = next((h for h in heads if h and h.strip().lower() not in rule.skip_titles), "")
+                titles.append(title)
                 root.drop(fixed.CHROME)
+                for s in rule.drop:
+                    for n in select(root, s):
+                        n.up.children = [c for c in n.up.children if c is not n]
+                root = next((n for s in rule.container for n in select(root, s)), root)
                 tries = [(rule.least, s) for s in rule.selectors] + ([(rule.any_paragraph, "p")] if rule.any_paragraph else [])
-                found.append([{"least": n, "blocks": [b.text() for b in select(root, s)]} for n, s in tries])
+                found.append([{"least": n, "plain": rule.plain, "blocks": rule.blocks(root, s, title)} for n, s in tries])
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(titles, pa.string()), pa.array(found, kind)], names=["page_id", "url", "title", "candidates"])
 
-    schema = "page_id long, url string, title string, candidates array<struct<least:int,blocks:array<string>>>"
+    schema = "page_id long, url string, title string, candidates array<struct<least:int,plain:boolean,blocks:array<string>>>"
     return pages.select("page_id", "url", "html").mapInArrow(run, schema)
 
 
@@ -158,7 +185,7 @@ def articles(pages: DataFrame, rules: tuple[Rule, ...] = (GENERIC,), fallback: C
         parts = F.transform(blocks, lambda b: T.remove_duplicate_sentences(T.remove_contacts(T.remove_dateline(T.remove_boilerplate(T.tidy(b))))))
         return T.cut_related(T.tidy(T.remove_duplicate_sentences(F.array_join(T.filter_paragraphs(parts), " "))))
 
-    done = extract(pages, rules).withColumn("texts", F.transform("candidates", lambda c: F.struct(c["least"].alias("least"), cleaned(c["blocks"]).alias("t"))))
+    done = extract(pages, rules).withColumn("texts", F.transform("candidates", lambda c: F.struct(c["least"].alias("least"), F.when(c["plain"], T.tidy(F.array_join(c["blocks"], "\n"))).otherwise(cleaned(c["blocks"])).alias("t"))))
     first = F.get(F.filter("texts", lambda c: F.length(c["t"]) >= c["least"]), F.lit(0))["t"]
     feed = F.coalesce(fallback if fallback is not None else F.lit(""), F.lit(""))
     text = F.coalesce(first, F.nullif(feed, F.lit("")), F.lit(""))
@@ -166,15 +193,44 @@ def articles(pages: DataFrame, rules: tuple[Rule, ...] = (GENERIC,), fallback: C
     return done.select("page_id", "url", T.normalize_title(F.col("title"), clean=lambda c: T.tidy(T.fix_encoding(c))).alias("title"), text.alias("text"), source.alias("text_source"))
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """A row per anchor: (page_id, page_url, pos, url, title), URLs absolute."""
+@dataclass(frozen=True)
+class Section:
+    """The part of a page below a heading that holds ``phrase``: the nearest of the ``climb`` blocks
+    around it that has ``least`` links to the page's own site with paths like ``pattern``."""
+
+    phrase: str
+    pattern: str = r"/\d{4}/\d{2}/\d{2}/[^/]+/?"
+    climb: int = 6
+    least: int = 2
+
+    def anchors(self, root: Node, url: str) -> list[Node]:
+        head = next((h for h in root.walk() if h.tag in ("h1", "h2", "h3", "h4") and self.phrase in h.text()), None)
+        at, found = head, []
+        for _ in range(self.climb if head else 0):
+            if at.up is None:
+                break
+            at = at.up
+            found = [a for a in select(at, "a[href]") if self.fits(urljoin(url, a.attrs["href"]), url)]
+            if len(found) >= self.least:
+                break
+        return found
+
+    def fits(self, target: str, url: str) -> bool:
+        host = lambda u: urlsplit(u).netloc.replace("www.", "").lower()
+        return host(target) == host(url) and re.fullmatch(self.pattern, urlsplit(target).path) is not None
+
+
+def links(pages: DataFrame, section: Section | None = None) -> DataFrame:
+    """A row per anchor: (page_id, page_url, pos, url, title), URLs absolute; with ``section`` only
+    that part's."""
     names = ["page_id", "page_url", "pos", "url", "title"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                for i, a in enumerate(select(parse(html), "a[href]")):
+                root = parse(html)
+                for i, a in enumerate(section.anchors(root, url or "") if section else select(root, "a[href]")):
                     if a.attrs["href"]:
                         heads = [h.text() for t in ("h1", "h2", "h3", "h4", "h5") for h in select(a, t)]
                         title = next((h for h in heads if len(h) >= 10), "") or a.attrs.get("title", "") or a.text()
@@ -185,7 +241,7 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, page_url string, pos int, url string, title string")
 
 
-def previews(anchors: DataFrame, limit: int = 10, prefix: str | None = None, exclude: str | None = None, any_part: list[str] | None = None, least_title: int = 15) -> DataFrame:
+def previews(anchors: DataFrame, limit: int = 10, prefix: str | None = None, exclude: str | None = None, any_part: list[str] | None = None, all_parts: list[str] | None = None, least_title: int = 15) -> DataFrame:
     """Link candidates of listing pages: same domain, the wanted paths, a real title; the first
     anchor of each URL that passes, and the first ``limit`` URLs of each page."""
     url = U.without_fragment(F.col("url"))
@@ -196,6 +252,8 @@ def previews(anchors: DataFrame, limit: int = 10, prefix: str | None = None, exc
         df = df.where(U.path(F.col("url")) != exclude.rstrip("/"))
     if any_part is not None:
         df = df.where(T.contains_any(F.lower("url"), any_part))
+    for part in all_parts or []:
+        df = df.where(F.contains(F.lower("url"), F.lit(part)))
     df = df.where((F.length("title") >= least_title) & ~F.lower("title").isin(fixed.STOP_TITLES))
     once = df.withColumn("n", F.row_number().over(Window.partitionBy("page_id", "url").orderBy("pos"))).where("n = 1")
     return once.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("n") <= limit).select("page_id", "n", "url", "title")

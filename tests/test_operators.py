@@ -148,3 +148,81 @@ def test_periodic_run(spark, tmp_path):
     news, clusters, posts = P.run(news, sent, more, sources, at, str(tmp_path / "b"), rules)
     assert news.count() == 7 and news.where("cluster_id = 4").count() == 3 and posts.count() == 0
     assert {r["cluster_id"]: (r["cluster_size"], r["status"]) for r in clusters.collect()} == {0: (2, "published"), 2: (2, "published"), 4: (3, "published")}
+
+
+def test_most_similar_is_the_same_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(40, 4))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(40, None), (41, [0.0] * 4)], "id long, embedding array<double>")
+    got = {b: sorted(map(tuple, C.most_similar(rows, rows.where("id % 4 = 0"), 3, "id", block=b).select("query", "rn", "id").collect())) for b in (3, 1024)}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = np.zeros((42, 42))
+    cos[:40, :40] = u @ u.T
+    want = sorted((q, n + 1, i) for q in range(0, 42, 4) for n, i in enumerate(sorted((i for i in range(42) if i != q), key=lambda i: (-round(cos[q, i], 9), i))[:3]))
+    assert got[3] == got[1024] == want
+
+
+def test_posts_that_fail_stay_ready(spark, tmp_path):
+    due = spark.createDataFrame([(1, "a", "x"), (2, "bad", "y")], "cluster_id long, post_title string, body string")
+
+    def send(title, body):
+        if title == "bad":
+            raise OSError("no route")
+
+    sent = L.delivered(due, send)
+    sent.write.parquet(str(tmp_path / "sent"))
+    sent = spark.read.parquet(str(tmp_path / "sent"))
+    assert {r["cluster_id"]: r["error"] for r in sent.collect()} == {1: None, 2: "OSError: no route"}
+    clusters = spark.createDataFrame([(1, "ready"), (2, "ready")], "cluster_id long, status string")
+    assert {r["cluster_id"]: r["status"] for r in L.published(clusters, sent.where("error is null")).collect()} == {1: "published", 2: "ready"}
+
+
+def test_classifier(spark, tmp_path):
+    from quern.functions.vectors import encoder
+    from quern.operators import classify
+
+    rows = spark.createDataFrame([(f"steel tubes {i}", "metal") for i in range(8)] + [(f"opera song {i}", "art") for i in range(8)] + [("x", None)], "text string, label string")
+    encode = encoder(dims=64)
+    classify.save(classify.train(rows, encode), str(tmp_path / "c"))
+    c = classify.load(str(tmp_path / "c"), encode)
+    asked = spark.createDataFrame([(1, "new steel tubes"), (2, "an opera"), (3, " "), (4, None)], "id long, text string")
+    got = {r["id"]: r for r in c.scored(asked).select("id", "scores", classify.best(F.col("scores")).alias("b")).collect()}
+    assert got[1]["b"]["label"] == "metal" and got[2]["b"]["label"] == "art" and abs(sum(got[1]["scores"].values()) - 1) < 1e-9
+    assert got[3]["scores"] == got[4]["scores"] == {} and got[3]["b"]["label"] is None
+
+
+def test_rules_of_single_sites(spark):
+    long = "A paragraph that is surely longer than forty characters, number {}."
+    body = f"<h1>Head line</h1><div class='gallery'><p>{long.format(0)}</p></div><main><p>{long.format(1)}</p><p>{long.format(1)}</p><p>Short.</p><p>{long.format(2)} Share it</p></main><p>{long.format(3)}</p>"
+    pages = spark.createDataFrame([(1, "https://a.com/1", body), (2, "https://b.com/2", body)], "page_id long, url string, html string")
+    common = dict(selectors=("p",), least=10, least_block=40, unwanted=("share",))
+    rules = (html.Rule("a.com", plain=True, **common), html.Rule("b.com", drop=(".gallery",), container=("main",), without_title=True, **common))
+    got = {r["page_id"]: r["text"] for r in html.articles(pages, rules).collect()}
+    assert got[1] == " ".join(["Head line", *(long.format(i) for i in (0, 1, 3))])
+    assert got[2] == long.format(1)
+
+
+def test_links_below_a_heading(spark):
+    dated = "".join(f"<a href='/2024/01/0{i}/slug'>A title that is long enough {i}</a>" for i in (1, 2))
+    page = f"<div><a href='/2024/01/09/x'>Another title that is long enough</a><section><div><h2>Fresh news</h2></div>{dated}<a href='/about'>A page about all of this</a></section></div>"
+    pages = spark.createDataFrame([(1, "https://e.com/", page), (2, "https://e.com/", "<p>none</p>")], "page_id long, url string, html string")
+    assert sorted(r["url"] for r in html.previews(html.links(pages, html.Section("Fresh news"))).collect()) == [f"https://e.com/2024/01/0{i}/slug" for i in (1, 2)]
+    assert html.previews(html.links(pages), all_parts=["/2024/", "/09/"]).count() == 1
+
+
+def test_fetch_gives_nothing_for_what_cannot_be_had(spark):
+    from quern.sources import fetch
+
+    urls = spark.createDataFrame([(1, "http://127.0.0.1:9/"), (2, None), (3, "no url")], "page_id long, url string")
+    assert [r["html"] for r in fetch.pages(urls, timeout=2).collect()] == ["", "", ""]
+    assert fetch.decoded("Завод".encode("cp1251"), "ISO-8859-1") == "Завод" and fetch.decoded("Завод".encode(), None) == "Завод"
+
+
+def test_own_tables(spark, tmp_path):
+    from quern.sources import tables
+
+    for name, schema in tables.SCHEMAS.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert tables.scan(spark, "news", str(tmp_path)).columns[0] == "id"
+    news = spark.createDataFrame([("u",), (None,)], "url string")
+    assert tables.with_url(news, "u").count() == 1 and tables.with_url(news, "").count() == 0

@@ -87,3 +87,10 @@ def test_summary_cases():
     assert S.summarize([long], most=100).endswith("...")
     s = [f"Предприятие номер {w} запустило производство {w} в регионе {w}{w}." for w in ("альфа", "бета", "гамма", "дельта", "омега")]
     assert S.summarize(s, count=2).count(".") <= 2
+
+
+def test_markers_are_prepared_like_the_text(spark):
+    assert T.prepared_markers([" США ", "Ёлки", "", "сша", "заводы"], {"заводы": "завод"}) == ["завод", "елки", "сша"]
+    df = spark.createDataFrame([("Ёлки из США",)], "t string")
+    assert df.select(T.marker_matches(T.lemmatized(F.col("t")), ["сша", "ЁЛКИ", "нет"])).first()[0] == ["елки", "сша"]
+    assert df.select(T.is_foreign_title(F.col("t"), ["США"], ["Россия"]), T.normalize_for_keywords(F.lit("А.Б"))).first() == (True, "а б")
