@@ -226,3 +226,29 @@ def test_own_tables(spark, tmp_path):
     assert tables.scan(spark, "news", str(tmp_path)).columns[0] == "id"
     news = spark.createDataFrame([("u",), (None,)], "url string")
     assert tables.with_url(news, "u").count() == 1 and tables.with_url(news, "").count() == 0
+
+
+def test_fetch_from_a_server(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from quern.sources import fetch
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path == "/a" else 403)
+            self.send_header("Content-Type", "text/html; charset=ISO-8859-1")
+            self.end_headers()
+            self.wfile.write("<p>Завод</p>".encode("cp1251"))
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{server.server_port}"
+        urls = spark.createDataFrame([(1, f"{at}/a"), (2, f"{at}/b")], "page_id long, url string")
+        assert [r["html"] for r in fetch.pages(urls, timeout=5).orderBy("page_id").collect()] == ["<p>Завод</p>", ""]
+    finally:
+        server.shutdown()
