@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeated runs of lines; a text of which nothing is left goes."""
-    out = linededup.dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines")
+    """Texts without lines and runs of lines that occur earlier; a text of which nothing is left goes."""
+    out = linededup.dedup_lines(docs, single=True).where("n_removed = 0 or n_removed < n_lines")
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", changed).select(*docs.columns)
 

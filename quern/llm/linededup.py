@@ -9,8 +9,11 @@ both ways over all windows that chose it, and a window that equals an earlier on
 repeated runs go as a whole.  The result is exact: a line goes if and only if it lies in a run
 of at least ``run`` lines, not all blank, that occurs earlier.
 
-Defined cases: a null text stays null; texts of fewer lines than ``run`` stay as they are; rows
-that share a doc_id count as one document.  Only DataFrame functions are used.
+With ``single`` a line that isn't blank also goes by itself if it occurs earlier, whatever stands
+around it.  A window of one line is its own fingerprint, so single lines need no winnowing.
+
+Defined cases: a null text stays null; without ``single``, texts of fewer lines than ``run`` stay
+as they are; rows that share a doc_id count as one document.  Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.exprs import SPACE, exploded, let, without_runs
-from quern.llm.spans import later_starts, marked, order_key, packed, runs
+from quern.llm.spans import later_starts, marked, order_key, packed, runs, spread
 from quern.llm.store import staged
 
 RUN = 2
@@ -56,11 +59,24 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     return later_starts(extended.join(live, "h").drop("h"))
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def repeated_singles(docs: DataFrame) -> DataFrame:
+    """Per document (k, check) its lines that occur earlier, blank ones aside."""
+    text = F.coalesce("text", F.lit(""))
+    solid = lambda i, u: F.btrim(F.get(u, i), F.lit(SPACE)) != ""
+    whole = docs.select(order_key(F.col("doc_id")).alias("k"), F.crc32(text.cast("binary")).alias("check"), marked(runs(lines_of(text), 1, "\n", solid)).alias("r"))
+    rows = exploded(whole, "r", "r")
+    return later_starts(rows.select("r.a", "r.b", "k", (packed(F.col("r.at"), F.col("r.again")) + F.col("check")).alias("loc")))
+
+
+def dedup_lines(docs: DataFrame, run: int = RUN, single: bool = False) -> DataFrame:
     """The documents, with ``text`` less its later runs, n_lines and n_removed; other columns stay."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumns({"_k": order_key(F.col("doc_id")), "_check": F.crc32(text.cast("binary"))})
-    starts = repeated_runs(docs, run).withColumnsRenamed({"k": "_k", "check": "_check", "starts": "_starts"})
+    starts = repeated_runs(docs, run)
+    if single:
+        both = starts.withColumn("starts", spread(F.col("starts"), run)).union(repeated_singles(docs))
+        starts, run = both.groupBy("k", "check").agg(F.flatten(F.collect_list("starts")).alias("starts")), 1
+    starts = starts.withColumnsRenamed({"k": "_k", "check": "_check", "starts": "_starts"})
     out = keyed.join(starts, ["_k", "_check"], "left").drop("_k", "_check")
     out = out.withColumn("_lines", lines_of(F.col("text")))
     out = out.withColumn("_left", F.when(F.col("_starts").isNotNull(), without_runs(F.col("_lines"), F.col("_starts"), run)))

@@ -57,6 +57,20 @@ SELECT doc_id, coalesce(len(u), 0)::BIGINT AS n_lines, coalesce(len(u) - len(kep
 """
 )
 
+#: Of OP2's rule, and for single lines.
+OP2_LINES = f"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS u FROM documents),
+r AS (SELECT doc_id, u, unnest(range(1, len(u) + 1)) AS i FROM d),
+h AS (SELECT doc_id, i, n, array_to_string(u[i:i + n - 1], chr(10)) AS h FROM r, (VALUES (1), ({RUN})) t(n)
+  WHERE i + n - 1 <= len(u) AND len(list_filter(u[i:i + n - 1], lambda x: trim(x, {_BLANKS}) <> '')) > 0),
+later AS (SELECT doc_id, i, n FROM (SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, h ORDER BY doc_id, i) AS rn FROM h) WHERE rn > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM later),
+g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+o AS (SELECT d.doc_id, u, CASE WHEN gone IS NULL THEN u ELSE list_filter(u, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, coalesce(len(u), 0)::BIGINT AS n_lines, coalesce(len(u) - len(kept), 0)::BIGINT AS n_removed, length(array_to_string(kept, chr(10)))::BIGINT AS n_chars_left,
+  sha256(array_to_string(kept, chr(10))) AS text_sha256 FROM o
+"""
+
 _FOLD = f"trim(regexp_replace({_LOW.format('x')}, '{_WS}', ' ', 'g'), {_BLANKS})"
 OP10 = (
     _runs(SPAN, r"regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+')", f"array_to_string(list_transform(u[i:i + {SPAN - 1}], lambda x: {_FOLD}), chr(10))", "true")
@@ -118,4 +132,4 @@ mixed AS (SELECT *, least(floor(u + i * c) - floor(u + (i - 1) * c), {MOST})::BI
 
 OP8 = f"WITH {mix_sql()} SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM mixed"
 
-ORACLES = {"op1_fingerprints": OP1, "op2_line_dedup": OP2, "op4_warc": OP4, "op7_minhash": OP7, "op8_mixing": OP8, "op10_substrings": OP10}
+ORACLES = {"op1_fingerprints": OP1, "op2_line_dedup": OP2, "op4_warc": OP4, "op7_minhash": OP7, "op8_mixing": OP8, "op10_substrings": OP10, "op2_repeated_lines": OP2_LINES}

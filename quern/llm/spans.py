@@ -57,6 +57,11 @@ def packed(at: Column, again: Column) -> Column:
     return F.shiftleft(at.cast("long"), 33) + F.when(again, F.lit(1 << 32)).otherwise(F.lit(0))
 
 
+def spread(starts: Column, length: int) -> Column:
+    """The positions of all units of the runs of ``length`` that begin at ``starts``."""
+    return F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (length - 1))))
+
+
 def later_starts(runs_of: DataFrame) -> DataFrame:
     """Per document (k, check) the starts of its later runs, from rows (a, b, k, loc).
 

@@ -140,6 +140,17 @@ def test_media_digests(spark):
     assert (r[1]["n_bytes"], r[1]["payload_sha256"]) == (0, hashlib.sha256(bytes(64)).hexdigest())
 
 
+def test_single_lines_between_different_neighbours(spark):
+    from corpus_pipeline import drop_repeated_lines
+
+    texts = ["a\nlong passage\n\nb", "c\nlong passage\nd\n\nd", "long passage", "x\n\ny", None]
+    docs = table(spark, texts).fillna(0, "n_chars")
+    left = {r["text"] for r in drop_repeated_lines(spark, docs, "").collect()}
+    assert left == {texts[0], "c\nd\n", texts[3], None}
+    removed = {r["text"]: r["n_removed"] for r in linededup.dedup_lines(docs).collect()}
+    assert removed == dict.fromkeys(texts, 0)
+
+
 def test_archives(spark, tmp_path):
     html = ["<p>a</p>", "<p>a</p>", "", None, "x\r\n\r\nWARC/1.1\r\n\r\n", "é" * 1000, "<p>a</p>"]
     pages = spark.createDataFrame([(i, f"http://e/{i} ", h) for i, h in enumerate(html)], "page_id long, url string, html string")
