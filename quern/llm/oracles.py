@@ -5,7 +5,7 @@ from __future__ import annotations
 from quern.llm.fingerprints import DIGITS, K, WORDS
 from quern.llm.linededup import RUN
 from quern.llm.mixing import BUCKET_ROWS, MOST, SEED, SHARE
-from quern.llm.substrings import SPAN
+from quern.llm.substrings import CLAUSES, SPAN, SPAN_WORDS, STOPS, WORD, ended_by
 
 _WS = r"[\x20\x09-\x0D]+"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -82,6 +82,24 @@ SELECT doc_id, len(u)::BIGINT AS n_sentences, (len(u) - len(kept))::BIGINT AS n_
 """
 )
 
+_COUNT = f"len(regexp_extract_all({{}}, '{WORD}'))"
+#: Spans of SPAN units, and of one or two with SPAN_WORDS words.
+OP10_PASSAGES = f"""
+WITH s AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{ended_by(STOPS)}') AS s FROM documents),
+d AS (SELECT doc_id, text, flatten(list_transform(s, lambda x: CASE WHEN {_COUNT.format('x')} > {SPAN_WORDS} THEN regexp_extract_all(x, '{ended_by(CLAUSES)}') ELSE [x] END)) AS u FROM s),
+w AS (SELECT doc_id, list_transform(u, lambda x: {_FOLD}) AS u, list_transform(u, lambda x: {_COUNT.format('x')}) AS c FROM d),
+r AS (SELECT doc_id, u, c, unnest(range(1, len(u) + 1)) AS i FROM w),
+h AS (SELECT doc_id, i, n, array_to_string(u[i:i + n - 1], chr(10)) AS h FROM r, (VALUES (1), (2), ({SPAN})) t(n)
+  WHERE i + n - 1 <= len(u) AND (n = {SPAN} OR list_sum(c[i:i + n - 1]) >= {SPAN_WORDS})),
+later AS (SELECT doc_id, i, n FROM (SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, h ORDER BY doc_id, i) AS rn FROM h) WHERE rn > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM later),
+g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+o AS (SELECT d.doc_id, d.text, u, CASE WHEN gone IS NULL THEN u ELSE list_filter(u, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, len(u)::BIGINT AS n_sentences, (len(u) - len(kept))::BIGINT AS n_removed,
+  CASE WHEN text IS NOT NULL THEN length(array_to_string(kept, ''))::BIGINT END AS n_chars_left,
+  CASE WHEN text IS NOT NULL THEN sha256(array_to_string(kept, '')) END AS text_sha256 FROM o
+"""
+
 _B32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {s}) & 31)::INTEGER + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
 OP4 = f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
@@ -132,4 +150,4 @@ mixed AS (SELECT *, least(floor(u + i * c) - floor(u + (i - 1) * c), {MOST})::BI
 
 OP8 = f"WITH {mix_sql()} SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM mixed"
 
-ORACLES = {"op1_fingerprints": OP1, "op2_line_dedup": OP2, "op4_warc": OP4, "op7_minhash": OP7, "op8_mixing": OP8, "op10_substrings": OP10, "op2_repeated_lines": OP2_LINES}
+ORACLES = {"op1_fingerprints": OP1, "op2_line_dedup": OP2, "op4_warc": OP4, "op7_minhash": OP7, "op8_mixing": OP8, "op10_substrings": OP10, "op2_repeated_lines": OP2_LINES, "op10_passages": OP10_PASSAGES}

@@ -92,7 +92,13 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_sentences", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without repeated spans of sentences, or of one or two long ones, of any script."""
+    out = substrings.dedup_spans(documents(spark, sf_dir), words=substrings.SPAN_WORDS)
+    return out.select("doc_id", "n_sentences", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_line_dedup, op3_sentencepiece, op4_warc, op5_langid, op6_toxicity, op7_minhash, op8_mixing, op9_mpegts, op10_substrings, op2_repeated_lines)
+    for f in (op1_fingerprints, op2_line_dedup, op3_sentencepiece, op4_warc, op5_langid, op6_toxicity, op7_minhash, op8_mixing, op9_mpegts, op10_substrings, op2_repeated_lines, op10_passages)
 }

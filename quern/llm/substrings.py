@@ -5,6 +5,11 @@ A text is cut into sentences without losing a character: each ends behind a run
 hashed (letters of A-Z in lower case, white space as single blanks), runs are joined over the
 corpus, and sentences covered by any run that is not the first of its kind are cut out.
 
+With ``words`` a text is cut finer: sentences also end at the marks of other scripts, and those of
+more than ``words`` words at clause marks too.  One or two units in a row that have ``words`` words
+together are then runs as well.  In scripts without blanks each letter counts as a word.  What
+stays is a repeated passage whose whole units are fewer than ``span`` and have fewer words.
+
 Defined cases: null texts stay null; texts of fewer sentences than ``span`` stay; rows that share
 a doc_id count as one document.  The method fits DataFrame functions, so those are used.
 """
@@ -14,17 +19,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.exprs import SPACE, exploded, lower_ascii, without_runs
+from quern.llm.exprs import SPACE, exploded, let, lower_ascii, without_runs
 from quern.llm.spans import later_starts, marked, order_key, packed, runs
 
 SPAN = 3
 SENTENCE = r"[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+"
+#: Words that make one or two units a span.
+SPAN_WORDS = 20
+STOPS = r".!?\n。．｡！？…।॥؟۔։።፧။។៕"
+CLAUSES = r",;:、，；：،؛"
+#: Thai, Lao, Burmese, Khmer, Kana and Han; script names would be looked up letter by letter.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
+
+
+def ended_by(marks: str) -> str:
+    return rf"[^{marks}]*[{marks}]+[\x20\x09-\x0D]*|[^{marks}]+"
 
 
 def sentences(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
 
 
+def counted(unit: Column) -> Column:
+    return F.regexp_count(unit, F.lit(WORD))
+
+
+def units(text: Column, words: int) -> Column:
+    """Sentences of any script, long ones cut at clause marks."""
+    clauses = lambda s: F.when(counted(s) > words, F.regexp_extract_all(s, F.lit(ended_by(CLAUSES)), F.lit(0))).otherwise(F.array(s))
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(ended_by(STOPS)), F.lit(0)), clauses))
+
+
 def folded(sentence: Column) -> Column:
     return F.btrim(F.regexp_replace(lower_ascii(sentence), r"[\x20\x09-\x0D]+", " "), F.lit(SPACE))
 
@@ -38,14 +64,38 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return later_starts(rows.select("r.a", "r.b", "k", (packed(F.col("r.at"), F.col("r.again")) + F.col("check")).alias("loc")))
 
 
-def dedup_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """The documents, with ``text`` less its repeated spans, n_sentences and n_removed."""
+def repeated_units(docs: DataFrame, span: int, words: int) -> DataFrame:
+    """Per document (k, check) the positions of the units in its later spans, of ``span`` units or
+    of one or two with enough words."""
+    text = F.coalesce("text", F.lit(""))
+
+    def of_length(u: Column, w: Column, n: int) -> Column:
+        enough = lambda i, _: sum((F.get(w, i + j) for j in range(n)), F.lit(0)) >= words
+        found = runs(F.transform(u, folded), n, "\n", enough if n < span else None)
+        # no array has 2^28 texts, so the length fits beside the position
+        return F.transform(found, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), (x["at"] * 4 + (n - 1)).alias("at")))
+
+    lengths = [*range(1, min(span, 3)), span]
+    found = let(units(text, words), lambda u: let(F.transform(u, counted), lambda w: F.concat(*(of_length(u, w, n) for n in lengths))))
+    whole = docs.select(order_key(F.col("doc_id")).alias("k"), F.crc32(text.cast("binary")).alias("check"), marked(found).alias("r"))
+    rows = exploded(whole, "r", "r")
+    later = later_starts(rows.select("r.a", "r.b", "k", (packed(F.col("r.at"), F.col("r.again")) + F.col("check")).alias("loc")))
+    at = lambda s: F.sequence(F.shiftright(s, 2), F.shiftright(s, 2) + s.bitwiseAND(F.lit(3)))
+    return later.withColumn("starts", F.flatten(F.transform("starts", at)))
+
+
+def dedup_spans(docs: DataFrame, span: int = SPAN, words: int | None = None) -> DataFrame:
+    """The documents, with ``text`` less its repeated spans, n_sentences (or units) and n_removed."""
+    if words is not None and span > 4:
+        raise ValueError("with words, span is at most 4")
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumns({"_k": order_key(F.col("doc_id")), "_check": F.crc32(text.cast("binary"))})
-    starts = repeated_spans(docs, span).withColumnsRenamed({"k": "_k", "check": "_check", "starts": "_starts"})
+    starts = repeated_spans(docs, span) if words is None else repeated_units(docs, span, words)
+    starts = starts.withColumnsRenamed({"k": "_k", "check": "_check", "starts": "_starts"})
     out = keyed.join(starts, ["_k", "_check"], "left").drop("_k", "_check")
-    out = out.withColumn("_units", sentences(F.coalesce("text", F.lit(""))))
-    out = out.withColumn("_left", F.when(F.col("_starts").isNotNull(), without_runs(F.col("_units"), F.col("_starts"), span)))
+    whole = F.coalesce("text", F.lit(""))
+    out = out.withColumn("_units", sentences(whole) if words is None else units(whole, words))
+    out = out.withColumn("_left", F.when(F.col("_starts").isNotNull(), without_runs(F.col("_units"), F.col("_starts"), span if words is None else 1)))
     n = F.size("_units")
     left = F.when(F.col("_left").isNull(), n).otherwise(F.size("_left"))
     out = out.withColumns({"n_sentences": n.cast("long"), "n_removed": (n - left).cast("long"), "text": F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join("_left", ""))})

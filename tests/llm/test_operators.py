@@ -151,6 +151,17 @@ def test_single_lines_between_different_neighbours(spark):
     assert removed == dict.fromkeys(texts, 0)
 
 
+def test_passages_of_one_or_two_long_sentences(spark):
+    one = " ".join(f"w{i}" for i in range(25)) + ". "
+    two = " ".join(f"x{i}" for i in range(12)) + "! " + " ".join(f"y{i}" for i in range(12)) + "? "
+    clauses = " ".join(f"z{i}" + "," * (i % 10 == 9) for i in range(40)) + ", "
+    han = "这是一个很长的句子用来检查没有空格的文字里重复的段落。" + "短句。"
+    texts = ["Start here. " + one + "End a.", "Other start. " + one + "End b.", "Go. " + two + "On.", "Stop. " + two + "Off.", clauses + "tail one.", "Head. " + clauses + "tail two.", "甲。" + han + "乙。", "丙。" + han + "丁。", "Short one. Bye.", "Short one. Hello."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in substrings.dedup_spans(docs, words=20).collect()}
+    assert left == dict(enumerate(texts)) | {1: "Other start. End b.", 3: "Stop. Off.", 5: "Head. tail two.", 7: "丙。丁。"}
+
+
 def test_archives(spark, tmp_path):
     html = ["<p>a</p>", "<p>a</p>", "", None, "x\r\n\r\nWARC/1.1\r\n\r\n", "é" * 1000, "<p>a</p>"]
     pages = spark.createDataFrame([(i, f"http://e/{i} ", h) for i, h in enumerate(html)], "page_id long, url string, html string")
