@@ -2,9 +2,9 @@
 
 In every window of ``run`` consecutive lines the line with the smallest hash (the last of equal
 ones) is the window's fingerprint.  Two equal runs of ``run`` lines choose the same one, so a
-run that occurs twice is guaranteed to share a fingerprint with its other occurrence.  Positions
-are joined on fingerprints; each position whose fingerprint occurs elsewhere is then extended
-both ways over all windows that chose it, and a window that equals an earlier one in the corpus
+run that occurs twice is guaranteed to share a fingerprint with its other occurrence.  Fingerprints
+only prefilter: of all windows, those whose fingerprint occurs elsewhere are kept, nothing is
+extended from a match, and a window that equals an earlier one in the corpus
 (smallest doc_id, then position) has its lines deleted.  Adjacent windows join up, so longer
 repeated runs go as a whole.  The result is exact: a line goes if and only if it lies in a run
 of at least ``run`` lines, not all blank, that occurs earlier.
