@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from quern.llm.fingerprints import DIGITS, K, WORDS
-from quern.llm.linededup import RUN
+from quern.llm.linededup import DIGITS as LINE_DIGITS
+from quern.llm.linededup import WINDOW
 from quern.llm.mixing import BUCKET_ROWS, MOST, SEED, SHARE
-from quern.llm.substrings import CLAUSES, SPAN, SPAN_WORDS, STOPS, WORD, ended_by
+from quern.llm.substrings import CUT, SPAN_WORDS, STOPS, UNIT, UNSPACED
 
 _WS = r"[\x20\x09-\x0D]+"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -36,68 +37,49 @@ SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
 """
 
 
-def _runs(length: int, units: str, joined: str, wanted: str) -> str:
-    """Common table expressions from d(doc_id, text) to gone(doc_id, i): units to delete, 1-based."""
-    return f"""
-WITH d AS (SELECT doc_id, text, {units} AS u FROM documents),
-r AS (SELECT doc_id, u, unnest(range(1, len(u) - {length - 2})) AS i FROM d WHERE len(u) >= {length}),
-h AS (SELECT doc_id, i, {joined} AS h FROM r WHERE {wanted}),
-later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS rn FROM h) WHERE rn > 1),
-gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, range({length}) t(k)),
-g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
-"""
-
-
-OP2 = (
-    _runs(RUN, "string_split(text, chr(10))", f"array_to_string(u[i:i + {RUN - 1}], chr(10))", f"len(list_filter(u[i:i + {RUN - 1}], lambda x: trim(x, {_BLANKS}) <> '')) > 0")
-    + """
-o AS (SELECT d.doc_id, d.text, u, CASE WHEN gone IS NULL THEN u ELSE list_filter(u, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN g USING (doc_id))
-SELECT doc_id, coalesce(len(u), 0)::BIGINT AS n_lines, coalesce(len(u) - len(kept), 0)::BIGINT AS n_removed, length(array_to_string(kept, chr(10)))::BIGINT AS n_chars_left,
-  sha256(array_to_string(kept, chr(10))) AS text_sha256 FROM o
-"""
-)
-
-#: Of OP2's rule, and for single lines.
-OP2_LINES = f"""
+#: Rows (doc_id, i, x, m, z): the lines of each text, their MD5 and their characters.
+OP2 = f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS u FROM documents),
-r AS (SELECT doc_id, u, unnest(range(1, len(u) + 1)) AS i FROM d),
-h AS (SELECT doc_id, i, n, array_to_string(u[i:i + n - 1], chr(10)) AS h FROM r, (VALUES (1), ({RUN})) t(n)
-  WHERE i + n - 1 <= len(u) AND len(list_filter(u[i:i + n - 1], lambda x: trim(x, {_BLANKS}) <> '')) > 0),
-later AS (SELECT doc_id, i, n FROM (SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, h ORDER BY doc_id, i) AS rn FROM h) WHERE rn > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM later),
-g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM d),
+h AS (SELECT doc_id, i, md5(x) AS m, length(trim(x, {_BLANKS})) AS z FROM l),
+s AS (SELECT *, sum(z) OVER (PARTITION BY doc_id ORDER BY i) - z AS c, sum(z) OVER (PARTITION BY doc_id) AS total FROM h WHERE z > 0),
+w AS (SELECT doc_id, min(substr(m, 1, {LINE_DIGITS}) || printf('%09d', 999999999 - i)) OVER (PARTITION BY doc_id ORDER BY c RANGE BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS best, c, total FROM s),
+p AS (SELECT DISTINCT doc_id, 999999999 - substr(best, {LINE_DIGITS + 1})::INTEGER AS i FROM w WHERE c + {WINDOW} <= total),
+f AS (SELECT p.doc_id, p.i, m, coalesce(lag(p.i) OVER v, 1) AS lo, coalesce(lead(p.i) OVER v, (SELECT max(i) FROM l WHERE l.doc_id = p.doc_id)) AS hi FROM p JOIN h ON h.doc_id = p.doc_id AND h.i = p.i WINDOW v AS (PARTITION BY p.doc_id ORDER BY p.i)),
+r AS (SELECT *, first_value(struct_pack(d := doc_id, i := i, lo := lo, hi := hi)) OVER (PARTITION BY m ORDER BY doc_id NULLS FIRST, i) AS o FROM f),
+later AS (SELECT * FROM r WHERE o.d IS DISTINCT FROM doc_id OR o.i <> i),
+-- lines around a fingerprint beside those around its first occurrence; the nearest unequal ones bound the match
+e AS (SELECT later.doc_id, later.i AS p, a.i, a.m IS NOT DISTINCT FROM b.m AS same FROM later JOIN h a ON a.doc_id = later.doc_id AND a.i BETWEEN later.lo AND later.hi
+  LEFT JOIN h b ON b.doc_id = later.o.d AND b.i = a.i - later.i + later.o.i AND b.i BETWEEN later.o.lo AND later.o.hi),
+x AS (SELECT doc_id, p, coalesce(max(i) FILTER (NOT same AND i < p), 0) AS lo, coalesce(min(i) FILTER (NOT same AND i > p), 1000000000) AS hi FROM e GROUP BY doc_id, p),
+hit AS (SELECT DISTINCT e.doc_id, e.i FROM e JOIN x ON x.doc_id = e.doc_id AND x.p = e.p AND e.i > x.lo AND e.i < x.hi),
+n AS (SELECT hit.doc_id, hit.i, z, hit.i - row_number() OVER (PARTITION BY hit.doc_id ORDER BY hit.i) AS stretch FROM hit JOIN h ON h.doc_id = hit.doc_id AND h.i = hit.i),
+g AS (SELECT doc_id, list(i) AS gone FROM (SELECT doc_id, i, sum(z) OVER (PARTITION BY doc_id, stretch) AS size FROM n) WHERE size >= {WINDOW} GROUP BY doc_id),
 o AS (SELECT d.doc_id, u, CASE WHEN gone IS NULL THEN u ELSE list_filter(u, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN g USING (doc_id))
 SELECT doc_id, coalesce(len(u), 0)::BIGINT AS n_lines, coalesce(len(u) - len(kept), 0)::BIGINT AS n_removed, length(array_to_string(kept, chr(10)))::BIGINT AS n_chars_left,
   sha256(array_to_string(kept, chr(10))) AS text_sha256 FROM o
 """
 
-_FOLD = f"trim(regexp_replace({_LOW.format('x')}, '{_WS}', ' ', 'g'), {_BLANKS})"
-OP10 = (
-    _runs(SPAN, r"regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+')", f"array_to_string(list_transform(u[i:i + {SPAN - 1}], lambda x: {_FOLD}), chr(10))", "true")
-    + """
-o AS (SELECT d.doc_id, d.text, u, CASE WHEN gone IS NULL THEN u ELSE list_filter(u, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN g USING (doc_id))
-SELECT doc_id, len(u)::BIGINT AS n_sentences, (len(u) - len(kept))::BIGINT AS n_removed,
-  CASE WHEN text IS NOT NULL THEN length(array_to_string(kept, ''))::BIGINT END AS n_chars_left,
-  CASE WHEN text IS NOT NULL THEN sha256(array_to_string(kept, '')) END AS text_sha256 FROM o
-"""
-)
-
-_COUNT = f"len(regexp_extract_all({{}}, '{WORD}'))"
-#: Spans of SPAN units, and of one or two with SPAN_WORDS words.
-OP10_PASSAGES = f"""
-WITH s AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{ended_by(STOPS)}') AS s FROM documents),
-d AS (SELECT doc_id, text, flatten(list_transform(s, lambda x: CASE WHEN {_COUNT.format('x')} > {SPAN_WORDS} THEN regexp_extract_all(x, '{ended_by(CLAUSES)}') ELSE [x] END)) AS u FROM s),
-w AS (SELECT doc_id, list_transform(u, lambda x: {_FOLD}) AS u, list_transform(u, lambda x: {_COUNT.format('x')}) AS c FROM d),
-r AS (SELECT doc_id, u, c, unnest(range(1, len(u) + 1)) AS i FROM w),
-h AS (SELECT doc_id, i, n, array_to_string(u[i:i + n - 1], chr(10)) AS h FROM r, (VALUES (1), (2), ({SPAN})) t(n)
-  WHERE i + n - 1 <= len(u) AND (n = {SPAN} OR list_sum(c[i:i + n - 1]) >= {SPAN_WORDS})),
-later AS (SELECT doc_id, i, n FROM (SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, h ORDER BY doc_id, i) AS rn FROM h) WHERE rn > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM later),
-g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
-o AS (SELECT d.doc_id, d.text, u, CASE WHEN gone IS NULL THEN u ELSE list_filter(u, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN g USING (doc_id))
-SELECT doc_id, len(u)::BIGINT AS n_sentences, (len(u) - len(kept))::BIGINT AS n_removed,
-  CASE WHEN text IS NOT NULL THEN length(array_to_string(kept, ''))::BIGINT END AS n_chars_left,
-  CASE WHEN text IS NOT NULL THEN sha256(array_to_string(kept, '')) END AS text_sha256 FROM o
+_ALONE = "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi in UNSPACED)
+_TOKEN = rf"(?:[{_ALONE}]|[^\x20\x09-\x0D{_ALONE}]+)[\x20\x09-\x0D]*"
+#: Words (doc_id, i, x with the white space behind it, w folded), sentences (doc_id, s, x, w, n words), spans.
+OP10 = f"""
+WITH t AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') AS u, regexp_extract(coalesce(text, ''), '^{_WS}') AS lead FROM documents),
+k AS (SELECT doc_id, lead, unnest(u) AS x, generate_subscripts(u, 1) AS i, len(u) AS n FROM t),
+w AS (SELECT doc_id, i, CASE WHEN i = 1 THEN lead || x ELSE x END AS x, {_LOW.format(f"rtrim(x, {_BLANKS})")} AS w, i = n AS ends FROM k),
+c AS (SELECT *, ends OR contains('{STOPS}', right(w, 1)) OR (31 * unicode(right(rtrim(x, {_BLANKS}), 1)) + 17 * length(w)) % {CUT} = 0 AS cut FROM w),
+g AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM c),
+q AS (SELECT *, cut OR row_number() OVER (PARTITION BY doc_id, g ORDER BY i) % {UNIT} = 0 AS last FROM g),
+s AS (SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM q),
+u AS (SELECT doc_id, s, string_agg(x, '' ORDER BY i) AS x, string_agg(w, ' ' ORDER BY i) AS w, count(*) AS n, min(i) - 1 AS before FROM s GROUP BY doc_id, s),
+v AS (SELECT doc_id, s, before, count(*) OVER (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND {SPAN_WORDS - 1} FOLLOWING) AS m, sum(n) OVER (PARTITION BY doc_id) AS total FROM u),
+lists AS (SELECT doc_id, list(w ORDER BY s) AS ws FROM u GROUP BY doc_id),
+r AS (SELECT v.doc_id, v.s, v.m, array_to_string(ws[v.s + 1:v.s + m], ' ') AS h FROM v JOIN lists ON lists.doc_id = v.doc_id WHERE before + {SPAN_WORDS} <= total),
+later AS (SELECT doc_id, s, m FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS FIRST, s) AS rn FROM r) WHERE rn > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s::BIGINT, (s + m)::BIGINT)) AS s FROM later),
+o AS (SELECT u.doc_id, count(*) AS n, count(gone.s) AS removed, string_agg(x, '' ORDER BY u.s) FILTER (gone.s IS NULL) AS left_ FROM u LEFT JOIN gone ON gone.doc_id = u.doc_id AND gone.s = u.s GROUP BY u.doc_id),
+z AS (SELECT t.doc_id, coalesce(n, 0) AS n, coalesce(removed, 0) AS removed, CASE WHEN coalesce(removed, 0) = 0 THEN text ELSE coalesce(left_, '') END AS kept FROM t LEFT JOIN o ON o.doc_id = t.doc_id)
+SELECT doc_id, n::BIGINT AS n_sentences, removed::BIGINT AS n_removed, length(kept)::BIGINT AS n_chars_left, sha256(kept) AS text_sha256 FROM z
 """
 
 _B32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {s}) & 31)::INTEGER + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
@@ -150,4 +132,4 @@ mixed AS (SELECT *, least(floor(u + i * c) - floor(u + (i - 1) * c), {MOST})::BI
 
 OP8 = f"WITH {mix_sql()} SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM mixed"
 
-ORACLES = {"op1_fingerprints": OP1, "op2_line_dedup": OP2, "op4_warc": OP4, "op7_minhash": OP7, "op8_mixing": OP8, "op10_substrings": OP10, "op2_repeated_lines": OP2_LINES, "op10_passages": OP10_PASSAGES}
+ORACLES = {"op1_fingerprints": OP1, "op2_line_dedup": OP2, "op4_warc": OP4, "op7_minhash": OP7, "op8_mixing": OP8, "op10_substrings": OP10}

@@ -22,17 +22,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without their later repeated runs of lines."""
+    """Texts without their later repeated lines."""
     out = linededup.dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
-def op2_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without their later repeated runs of lines and without single lines that occur earlier."""
-    out = linededup.dedup_lines(documents(spark, sf_dir), single=True)
-    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
-
-
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts encoded to token ids and decoded again."""
     model = pieces.load(spark)
@@ -92,13 +86,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_sentences", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
-def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without repeated spans of sentences, or of one or two long ones, of any script."""
-    out = substrings.dedup_spans(documents(spark, sf_dir), words=substrings.SPAN_WORDS)
-    return out.select("doc_id", "n_sentences", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
-
-
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_line_dedup, op3_sentencepiece, op4_warc, op5_langid, op6_toxicity, op7_minhash, op8_mixing, op9_mpegts, op10_substrings, op2_repeated_lines, op10_passages)
+    for f in (op1_fingerprints, op2_line_dedup, op3_sentencepiece, op4_warc, op5_langid, op6_toxicity, op7_minhash, op8_mixing, op9_mpegts, op10_substrings)
 }

@@ -1,8 +1,8 @@
-"""Runs of consecutive units (lines, sentences) that occur earlier in the corpus.
+"""Which documents come first, and which of their repeated stretches are later ones.
 
-A run is known by two 64-bit hashes.  Its first occurrence is in the document of smallest id;
-within a document, at the smallest position.  Every other occurrence is *later*.  Rows that
-share a doc_id count as one document, and null ids come before all others.
+Documents are ordered by doc_id (null before all), and rows that share an id by a hash of their
+text.  Rows equal in both are one document.  The order of the two numbers is packed into one decimal, so that
+the first of many is found by a hash aggregation with partial sums on the map side.
 """
 
 from __future__ import annotations
@@ -10,68 +10,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.exprs import let
 from quern.llm.store import staged
 
 LOWEST = -(2**63)
+_CHECK_BITS = 60
 
 
 def order_key(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(LOWEST).cast("long"))
 
 
-def runs(units: Column, length: int, sep: str, wanted=None) -> Column:
-    """Array of (a, b, at): hashes and position of every run of ``length`` units that
-    ``wanted(first position, units)`` lets through."""
+def text_check(text: Column) -> Column:
+    """60 bits of a hash of the text, to tell rows apart that share an id."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 64 - _CHECK_BITS)
 
-    def all_runs(u: Column) -> Column:
-        def one(i: Column) -> Column:
-            joined = F.array_join(F.slice(u, i + 1, length), sep)
-            return let(joined, lambda t: F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(length), t).alias("b"), i.alias("at")))
 
-        starts = F.sequence(F.lit(0), F.size(u) - length)
-        if wanted is not None:
-            starts = F.filter(starts, lambda i: wanted(i, u))
-        empty = F.array().cast("array<struct<a:bigint,b:bigint,at:int>>")
-        return F.when(F.size(u) < length, empty).otherwise(F.transform(starts, one))
+def place(k: str, check: str) -> Column:
+    """(k, check) as one number of the same order."""
+    return F.col(k).cast("decimal(20,0)") * F.lit(1 << _CHECK_BITS).cast("decimal(19,0)") + F.col(check).cast("decimal(19,0)")
 
-    return let(units, all_runs)
 
+def row_of(columns: list[str]) -> Column:
+    """Columns that an operator passes on, in one struct: their names can't clash with its own."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns])
 
-def marked(found: Column) -> Column:
-    """Adds to each run whether it stands earlier in the same document; sorts, so n log n."""
 
-    def mark(s: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            again = (i > 0) & (F.get(s, i - 1)["a"] == x["a"]) & (F.get(s, i - 1)["b"] == x["b"])
-            return F.struct(x["a"].alias("a"), x["b"].alias("b"), x["at"].alias("at"), F.coalesce(again, F.lit(False)).alias("again"))
+def later_spans(spans: DataFrame) -> DataFrame:
+    """Per document (k, check) the bounds (at, to) of its later spans, from rows (a, b, k, check, at, to, again).
 
-        return F.transform(s, one)
-
-    return let(F.sort_array(found), mark)
-
-
-def packed(at: Column, again: Column) -> Column:
-    """Position and repeat mark in the upper 31 bits, to which a 32-bit check of the text is added:
-    one number keeps the rows short."""
-    return F.shiftleft(at.cast("long"), 33) + F.when(again, F.lit(1 << 32)).otherwise(F.lit(0))
-
-
-def spread(starts: Column, length: int) -> Column:
-    """The positions of all units of the runs of ``length`` that begin at ``starts``."""
-    return F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (length - 1))))
-
-
-def later_starts(runs_of: DataFrame) -> DataFrame:
-    """Per document (k, check) the starts of its later runs, from rows (a, b, k, loc).
-
-    The first occurrence of each run is aggregated on the map side first.  The join back has one
-    row per run on the other side; as that side is a table of its own, Spark can split partitions
-    that hold a very frequent run."""
-    first = runs_of.groupBy("a", "b").agg(F.min("k").alias("first_k"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    The first occurrence of each span is aggregated on the map side first.  The join back has one
+    row per span on the other side; as that side is a table of its own, Spark can split partitions
+    that hold a very frequent span."""
+    first = spans.groupBy("a", "b").agg(F.min(place("k", "check")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = staged(first, "first")
-    hits = runs_of.join(first, ["a", "b"])
-    again = F.shiftright("loc", 32).bitwiseAND(F.lit(1)) == 1
-    later = hits.where((F.col("k") > F.col("first_k")) | again)
-    check = F.col("loc").bitwiseAND(F.lit((1 << 32) - 1))
-    return later.select("k", check.alias("check"), F.shiftright("loc", 33).cast("int").alias("at")).groupBy("k", "check").agg(F.collect_set("at").alias("starts"))
+    later = spans.join(first, ["a", "b"]).where(F.col("again") | (place("k", "check") > F.col("first")))
+    return later.groupBy("k", "check").agg(F.collect_set(F.struct("at", "to")).alias("spans"))
