@@ -1,49 +1,53 @@
 """MinHash near-duplicates: circulant signatures, banding, exact Jaccard, components.
 
 Two permutations of the 32-bit universe serve all K coordinates: the first scatters the shingle
-hashes, the second is read circularly shifted by k for coordinate k.  ROWS coordinates make a
-band; documents that agree on a band share a bucket.  With K = 256 and bands of 6, a pair of
-similarity 0.8 misses all 42 bands once in 340,000 times, a closer one hardly ever.
+hashes, the second is read circularly shifted by k for coordinate k.  Consecutive coordinates make
+a band; documents that agree on a band share a bucket.  ``percent`` sets the coordinates a band
+has: 6 at 80 %, where a pair at the limit misses all 42 bands once in 340,000 times.
 
 Texts with equal shingle sets form one class from the start and only its smallest id goes on, so
 thousands of exact copies cost one row.  In a bucket nothing is paired with everything:
 
-1. every member is paired with the bucket's smallest id; pairs whose sizes rule 0.8 out, or whose
-   256 one-bit coordinates put it 6.5 standard deviations away, are dropped; the first pair of
-   each document is confirmed on the full sets, then those of its others that still join two
-   components;
-2. where a bucket still holds several components, its members outside the bucket's largest one are
-   paired with the members of the other components, so no link is lost to the choice of pivots;
-   near a common text, only pairs that share rare differences from it (``beside``).
+1. every member is paired with the bucket's smallest id; pairs whose sizes rule the similarity out,
+   or whose 256 one-bit coordinates put it seven standard deviations away (odds of 10^-12 against
+   a pair at the limit), are dropped; the first pair of each document is confirmed on the full
+   sets, then those of its others that still join two components;
+2. where a bucket still holds several components, the smallest id of its largest one is its head.
+   Members near the head are compared by their differences from it (``beside``), others by their
+   rarest shingles (``across``): both are prefix filters, which lose no link and pair only
+   documents that share an element rare among them.
 
 All links are confirmed by intersecting full sets of 64-bit shingle hashes.
 
-Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a text
-of fewer words than a shingle has one shingle; rows without a doc_id can't be named, so they are
-their own component (null); rows that repeat a doc_id with another text are judged by their text.
+Defined cases: null, empty and blank texts have no shingles and are linked with nothing, however
+many there are; a text of fewer words than a shingle has one shingle; a very long text is hashed a
+part at a time and its sets and signature cover all of it; rows without a doc_id can't be named, so
+they are their own component (null); rows that repeat a doc_id are judged by their text, each for
+itself; repeated rows get equal results; of equal sets the smallest id is kept; an empty table gives an
+empty one.  Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import _parse_datatype_string
 
 from quern.llm import textblocks as tb
 from quern.llm.components import components
 from quern.llm.store import staged
 
-K, ROWS = 256, 6
+K = 256
 WORDS, PERCENT = 5, 80
-#: Most differing bits of 256 that a candidate may have: at similarity s about 128 * (1 - s).
-MOST_BITS = 57
-_CHUNK = 1 << 22
-_WORDS = 8
+#: The odds that a pair at the limit shares no band.
+MISS = 3e-6
+_CHUNK = 1 << 18
+_WORDS = 16
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -98,11 +102,26 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    n = K // ROWS
-    part = sig[: n * ROWS].reshape(n, ROWS).astype(np.uint64)
+def band_rows(percent: int) -> int:
+    """As many coordinates a band as leave a pair at ``percent`` undetected less than once in 1 / MISS."""
+    fits = [r for r in range(1, K + 1) if (1 - (percent / 100) ** r) ** (K // r) <= MISS]
+    if not fits:
+        raise ValueError(f"{K} coordinates can't tell pairs of {percent} % from others")
+    return max(fits)
+
+
+def most_bits(percent: int) -> int:
+    """Bits of K in which a pair at ``percent`` may differ: half of the coordinates that differ do,
+    and seven standard deviations more."""
+    p = (1 - percent / 100) / 2
+    return int(K * p + 7 * sqrt(K * p * (1 - p))) + 1
+
+
+def bands(sig: np.ndarray, rows: int) -> np.ndarray:
+    n = K // rows
+    part = sig[: n * rows].reshape(n, rows).astype(np.uint64)
     h = np.arange(1, n + 1, dtype=np.uint64)
-    for j in range(ROWS):
+    for j in range(rows):
         h = tb.mix(h * np.uint64(0xD6E8FEB86659FD93) + part[:, j])
     return h.view(np.int64)
 
@@ -110,7 +129,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 _SKETCH = "doc_id long, n long, a long, b long, bands array<long>, bits array<long>"
 
 
-def sketches(docs: DataFrame, size: int = WORDS) -> DataFrame:
+def sketches(docs: DataFrame, size: int = WORDS, rows: int = band_rows(PERCENT)) -> DataFrame:
     """Per row its number of shingles, two hashes that name its set, its bands and its bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +138,7 @@ def sketches(docs: DataFrame, size: int = WORDS) -> DataFrame:
             for t in batch.column("text"):
                 s = shingle_set(t.as_py(), size)
                 sig = signature(s) if len(s) else None
-                for c, v in zip(cols, (len(s), *_name(s), [] if sig is None else bands(sig), [] if sig is None else np.packbits((sig & 1).astype(bool)).view(np.int64)), strict=True):
+                for c, v in zip(cols, (len(s), *_name(s), [] if sig is None else bands(sig, rows), [] if sig is None else np.packbits((sig & 1).astype(bool)).view(np.int64)), strict=True):
                     c.append(v)
             arrays = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *arrays], names=["doc_id", "n", "a", "b", "bands", "bits"])
@@ -151,7 +170,7 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
 def _possible(percent: int) -> Column:
     """Sizes and bits allow the pair (x, y) to be similar enough."""
     apart = sum((F.bit_count(F.get("x_bits", F.lit(i)).bitwiseXOR(F.get("y_bits", F.lit(i)))) for i in range(K // 64)), F.lit(0))
-    return (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (apart <= MOST_BITS)
+    return (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (apart <= most_bits(percent))
 
 
 class _Search:
@@ -160,17 +179,19 @@ class _Search:
     def __init__(self, docs: DataFrame, size: int, percent: int):
         self.size, self.percent = size, percent
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-        self.rows = staged(sketches(docs, size), "sketches")
+        self.rows = staged(sketches(docs, size, band_rows(percent)), "sketches")
         some = self.rows.where("n > 0 and doc_id is not null").withColumnRenamed("doc_id", "doc")
-        self.classes = some.groupBy("a", "b").agg(F.min("doc").alias("doc"))
-        heads = some.join(self.classes, ["doc", "a", "b"]).dropDuplicates(["doc", "a", "b"])
+        self.classes = staged(some.groupBy("a", "b").agg(F.min("doc").alias("doc")), "classes")
+        # joined by id and set together, so that a set with many copies is dealt over all tasks
+        heads = some.join(self.classes, ["doc", "a", "b"], "left_semi").dropDuplicates(["doc", "a", "b"])
         self.heads = staged(heads.select("doc", "n", "a", "b", "bands", "bits"), "heads")
 
     def named(self, side: str) -> DataFrame:
         return self.heads.select(F.col("doc").alias(side), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits"))
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("x").alias("doc")).union(pairs.select("y")).distinct().join(self.heads.select("doc", "a", "b"), "doc")
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """Full sets of the documents ``doc``."""
+        wanted = wanted.distinct().join(self.heads.select("doc", "a", "b"), "doc")
         return staged(_sets(self.docs.join(wanted, "doc"), self.size), "sets")
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -187,74 +208,101 @@ class _Search:
         members = staged(buckets.join(live, "key"), "members")
         tried = members.where("doc <> pivot").select(F.col("doc").alias("x"), F.col("pivot").alias("y")).distinct()
         tried = staged(tried.join(self.named("x"), "x").join(self.named("y"), "y").where(_possible(self.percent)).select("x", "y"), "tried")
-        sets = self.sets(tried)
+        sets = self.sets(_ends(tried))
         links = self.confirmed(tried.groupBy("x").agg(F.min("y").alias("y")), sets)
         found = components(links)
         more = self.confirmed(_rooted(_rooted(tried, "x", found), "y", found).where("x_root <> y_root"), sets)
         if not more.isEmpty():
             links = links.union(more)
             found = components(links)
-        return self.across(members, tried, links, found)
+        return self.across(members, links, found)
 
-    def across(self, members: DataFrame, tried: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
+    def across(self, members: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
         """Links between the components that still share a bucket, and the components with them.
 
         A bucket's strays are its members outside its largest component; that component's smallest
-        id is the bucket's head.  Pairs of a stray and a member of another component are candidates
-        by size and bits, unless both are near the head (see ``beside``)."""
+        id is the bucket's head.  Strays and members near one head are left to ``beside``.  All
+        documents of buckets that hold one which is not near the head are joined on the shingles
+        of their prefixes, unless they have a near head in common."""
         placed = _rooted(members.select("key", F.col("doc").alias("x")), "x", found)
         parts = placed.groupBy("key", "x_root").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("least"))
         split = parts.groupBy("key").agg(F.max(F.struct("c", "x_root", "least")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         split = split.select("key", F.col("top.x_root").alias("most"), F.col("top.least").alias("y"))
         mixed = placed.join(split, "key").join(self.named("x"), "x").join(self.named("y"), "y")
-        mixed = mixed.select("key", "x", "x_n", "x_bits", "x_root", "most", F.col("y").alias("head"), _possible(self.percent).alias("x_near"), (F.col("x_root") != F.col("most")).alias("stray"))
+        mixed = mixed.select("key", "x", "x_root", F.col("y").alias("head"), _possible(self.percent).alias("x_near"), (F.col("x_root") != F.col("most")).alias("stray"))
         mixed = staged(mixed, "mixed")
-        y = mixed.select("key", *(F.col(f"x{c}").alias(f"y{c}") for c in ("", "_n", "_bits", "_root", "_near")))
-        apart = (F.col("x_root") != F.col("y_root")) & ~(F.col("x_near") & F.col("y_near"))
-        once = (F.col("y_root") == F.col("most")) | (F.col("x") < F.col("y"))
-        far = mixed.where("stray").join(y, "key").where(apart & once & _possible(self.percent)).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-        far = staged(far.join(tried, ["x", "y"], "left_anti"), "far")
         near = mixed.where("x_near").groupBy("head", "x").agg(F.first("x_root").alias("x_root"), F.max("stray").alias("stray"))
         open_ = near.where("stray").select("head").distinct()
         near = staged(near.join(open_, "head").select(F.col("head").alias("y"), "x", "x_root", "stray"), "near")
-        sets = self.sets(far.union(near.select("x", "y")))
-        more = self.confirmed(far, sets).union(self.beside(near, sets))
+        loose = mixed.groupBy("key").agg(F.min("x_near").alias("all_near")).where("not all_near").select("key")
+        far = mixed.join(loose, "key", "left_semi").groupBy("x").agg(F.first("x_root").alias("x_root"))
+        homes = mixed.where("x_near").groupBy("x").agg(F.min("head").alias("home"))
+        far = staged(far.join(homes, "x", "left").select("x", "x_root", F.coalesce("home", "x_root").alias("home")), "far")
+        sets = self.sets(_ends(near.select("x", "y")).union(far.select(F.col("x").alias("doc"))))
+        more = self.apart(far, sets).union(self.beside(near, sets))
         return found if more.isEmpty() else components(links.union(more))
 
+    def apart(self, far: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links of documents that have no near head in common: a similarity of p % means that at least
+        p % of either set is shared, hence one of the rarest (100 - p) % and one more."""
+        d = far.join(sets.select(F.col("doc").alias("x"), F.col("s").alias("d")), "x").withColumn("nd", F.size("d"))
+        share = F.ceil(F.col("nd") * self.percent / F.lit(100.0)).cast("int")
+        rows = d.select(F.lit(0).cast("long").alias("y"), "x", "x_root", "home", F.col("nd").alias("n"), "nd", "d", F.lit(True).alias("asks"), share.alias("share"), share.alias("ask_share"))
+        return self.confirmed(self.shared(rows, "apart"), sets)
+
     def beside(self, near: DataFrame, sets: DataFrame) -> DataFrame:
         """Links of strays with other members near the same head, without pairing them all.
 
         With D(x) the symmetric difference of x and the head h, |x ^ y| = |D(x)| + |D(y)| -
         2 |D(x) & D(y)|, and a similarity of p % means |x ^ y| <= r (|x| + |y|), r = (100 - p) /
         (100 + p).  A stray that isn't linked with h has |D(x)| > r (|x| + |h|), so it is linked
-        with y only if the two share at least (|D(y)| + r (|h| - |y|)) / 2 differences, at least
-        one of them among the rarest |D(y)| + 1 - that many of D(y).  Strays and members are
-        joined on those: edits of their own, which copies of one text seldom share."""
+        with y only if the two share more than (|D(y)| + r (|h| - |y|)) / 2 differences, hence
+        one of the rarest |D(y)| + 1 - that many of D(y).  Of a copy in which words were replaced
+        these are the new shingles alone, which copies of one text seldom share."""
         x, h = sets.select(F.col("doc").alias("x"), F.col("s").alias("xs")), sets.select(F.col("doc").alias("y"), F.col("s").alias("hs"))
-        apart = near.where("x <> y").join(x, "x").join(h, "y").select("x", "y", "x_root", "stray", F.size("xs").alias("n"), F.size("hs").alias("hn"), F.concat(F.array_except("xs", "hs"), F.array_except("hs", "xs")).alias("d"))
-        apart = staged(apart.withColumn("nd", F.size("d")), "differences")
+        d = near.where("x <> y").join(x, "x").join(h, "y").select("x", "y", "x_root", "stray", F.size("xs").alias("n"), F.size("hs").alias("hn"), F.concat(F.array_except("xs", "hs"), F.array_except("hs", "xs")).alias("d"))
+        d = staged(d.withColumn("nd", F.size("d")), "differences")
         linked = F.col("nd") * (100 + self.percent) <= (F.col("n") + F.col("hn")) * (100 - self.percent)
-        direct = apart.where(F.col("stray") & linked).select(F.col("x").alias("u"), F.col("y").alias("v"))
-        rows = apart.select("x", "y", "x_root", "stray", "n", "hn", "nd", F.explode("d").alias("e"))
-        often = rows.groupBy("y", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-        # a difference that one member alone has joins nothing; it only takes its place in the rank
-        ranked = rows.join(often, ["y", "e"], "left").withColumn("i", F.row_number().over(Window.partitionBy("y", "x").orderBy(F.coalesce("df", F.lit(1)), "e")))
-        share = F.ceil((F.col("nd") * (100 + self.percent) + (F.col("hn") - F.col("n")) * (100 - self.percent)) / F.lit(2 * (100 + self.percent)))
-        prefix = ranked.where(F.col("df").isNotNull() & (F.col("i") <= F.col("nd") + 1 - F.greatest(share, F.lit(1)))).select("y", "e", "x")
-        asked = apart.where("stray").where(~linked).select("y", "x", F.explode("d").alias("e"))
-        prefix = staged(prefix.join(asked.select("y", "e").distinct(), ["y", "e"], "left_semi"), "prefix")
-        asked = asked.join(prefix.select("y", "e").distinct(), ["y", "e"], "left_semi")
+        direct = d.where(F.col("stray") & linked).select(F.col("x").alias("u"), F.col("y").alias("v"))
+        twice = F.col("nd") * (100 + self.percent) + (F.col("hn") - F.col("n")) * (100 - self.percent)
+        share = (F.floor(twice / F.lit(2 * (100 + self.percent))) + 1).cast("int")
+        rows = d.select("y", "x", "x_root", F.col("x_root").alias("home"), "n", "nd", "d", (F.col("stray") & ~linked).alias("asks"), F.greatest(share, F.lit(1)).alias("share"), F.lit(1).alias("ask_share"))
+        return direct.union(self.confirmed(self.shared(rows, "beside"), sets))
+
+    def shared(self, rows: DataFrame, label: str) -> DataFrame:
+        """Pairs (x, y) that may be linked, one of which asks, of different homes and components.
+
+        Rows (y, x, x_root, home, n, nd, d, asks, share, ask_share): within the group ``y``, x has
+        size n and the nd elements d, and is linked with another only if the two share ``share``
+        of them (``ask_share`` where x asks).  Elements are ranked by how many rows of the group
+        have them; the first one that a pair shares stands early enough in both."""
+        rows = staged(rows, label)
+        each = rows.select("y", "x", "home", "nd", "asks", "share", "ask_share", F.explode("d").alias("e"))
+        often = each.groupBy("y", "e").agg(F.count(F.lit(1)).alias("df"), F.min("home").alias("h0"), F.max("home").alias("h1"), F.max("asks").alias("asked")).where("df > 1")
+        often = often.select("y", "e", "df", ((F.col("h0") < F.col("h1")) & F.col("asked")).alias("joins"))
+        # an element that one row alone has joins nothing; it only takes its place in the rank
+        ranked = each.join(often, ["y", "e"], "left").withColumn("i", F.row_number().over(Window.partitionBy("y", "x").orderBy(F.coalesce("df", F.lit(1)), "e")))
+        least = F.when(F.col("asks"), F.least("share", "ask_share")).otherwise(F.col("share"))
+        prefix = staged(ranked.where(F.col("joins") & (F.col("i") <= F.col("nd") + 1 - least)).select("y", "e", "x", "i", "asks", "share", "ask_share"), f"{label}-prefix")
         # the overlap is at most the common bits of two bitmaps and the elements lost in one of them
         bitmap = F.transform(F.sequence(F.lit(0), F.lit(_WORDS - 1)), lambda w: F.aggregate(F.filter("d", lambda e: F.shiftright(e, 6).bitwiseAND(F.lit(_WORDS - 1)) == w), F.lit(0).cast("long"), lambda m, e: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), e.bitwiseAND(F.lit(63)).cast("int")))))
-        marks = staged(apart.select("y", "x", "x_root", "n", "nd", bitmap.alias("m")), "marks")
-        other = marks.select("y", "x", *(F.col(c).alias(f"z{c}") for c in ("x", "x_root", "n", "nd", "m")))
-        asked, prefix = asked.join(marks, ["y", "x"]), prefix.join(other, ["y", "x"]).drop("x")
+        marks = staged(rows.select("y", "x", "x_root", "home", "n", "nd", bitmap.alias("m")), f"{label}-marks")
+        full = prefix.join(marks, ["y", "x"])
+        asked = full.where(F.col("asks") & (F.col("i") <= F.col("nd") + 1 - F.col("ask_share"))).drop("asks", "share", "ask_share")
+        other = full.where(F.col("i") <= F.col("nd") + 1 - F.col("share")).select("y", "e", *(F.col(c).alias(f"z{c}") for c in ("x", "i", "x_root", "home", "n", "nd", "m")))
         common = sum((F.bit_count(F.get("m", F.lit(i)).bitwiseAND(F.get("zm", F.lit(i)))) for i in range(_WORDS)), F.lit(0))
         lost = F.col("nd") - sum((F.bit_count(F.get("m", F.lit(i))) for i in range(_WORDS)), F.lit(0))
-        differ = F.col("nd") + F.col("znd") - (common + lost) * 2
-        enough = differ * (100 + self.percent) <= (F.col("n") + F.col("zn")) * (100 - self.percent)
-        met = asked.join(prefix, ["y", "e"]).where((F.col("x_root") != F.col("zx_root")) & enough).select("x", F.col("zx").alias("y")).distinct()
-        return direct.union(self.confirmed(staged(met, "beside"), sets))
+        # twice the overlap that a link needs, times 100 + percent
+        needs = (F.col("nd") + F.col("znd")) * (100 + self.percent) - (F.col("n") + F.col("zn")) * (100 - self.percent)
+        at_most = lambda c: c * (2 * (100 + self.percent)) >= needs
+        early = at_most(F.least(F.col("nd") - F.col("i"), F.col("znd") - F.col("zi")) + 1)
+        fits = (F.col("x_root") != F.col("zx_root")) & (F.col("home") != F.col("zhome")) & early & at_most(common + lost)
+        met = asked.join(other, ["y", "e"]).where(fits).select(F.greatest("x", "zx").alias("x"), F.least("x", "zx").alias("y")).distinct()
+        return staged(met, f"{label}-pairs")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("doc")).union(pairs.select("y"))
 
 
 def _rooted(df: DataFrame, side: str, found: DataFrame) -> DataFrame:
@@ -267,7 +315,10 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     """Per row doc_id, n_shingles, component_id (the smallest id reachable by links) and kept."""
     search = _Search(docs, size, percent)
     found = search.roots()
-    classes = search.classes.withColumnRenamed("doc", "rep")
-    out = search.rows.join(classes, ["a", "b"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    named = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), named.alias("component_id"), F.col("doc_id").eqNullSafe(named).alias("kept"))
+    # one row per set; the join back has nothing above it, so Spark can split a set with many copies
+    named = search.classes.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("a", "b", F.coalesce("root", "doc").alias("component_id"))
+    named = staged(named, "named")
+    linked = search.rows.where("n > 0 and doc_id is not null").join(named, ["a", "b"]).select("doc_id", "n", "component_id")
+    alone = search.rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = linked.union(alone)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
