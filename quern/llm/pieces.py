@@ -33,7 +33,8 @@ from quern.llm import textblocks as tb
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-_BLOCK, _CACHE = 1 << 20, 1 << 19
+#: Code points of a block, and of the blocks that are encoded together; segments kept.
+_BLOCK, _TOGETHER, _CACHE = 1 << 18, 1 << 21, 1 << 19
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 
@@ -267,7 +268,7 @@ class Encoder:
         cuts = np.flatnonzero(np.diff(size[order])) + 1
         for group in np.split(order, cuts) if len(order) else []:
             n = int(size[group[0]])
-            for some in np.array_split(group, max(1, len(group) * n >> 21)):
+            for some in np.array_split(group, max(1, len(group) * n >> 17)):
                 sym = arr[begin[some, None] + np.arange(n)]
                 rows, ranks = v.advance(sym)
                 ids = np.where(ranks >= 0, v.id_at_rank[ranks], -1)
@@ -292,50 +293,85 @@ class Encoder:
         count += np.bincount(owner, minlength=len(begin))
         return ids[order], count
 
+    def shaped(self, text: str) -> str:
+        return (BLANK if self.v.dummy_prefix else "") + text.replace(" ", BLANK) if text else ""
+
+    def parts(self, text: str, most: int = _BLOCK) -> Iterator[str]:
+        """A shaped text in parts of about ``most`` characters that no token spans."""
+        at = 0
+        while len(text) - at > most:
+            end = at + most
+            while end < len(text):
+                pair = np.uint64(ord(text[end - 1]) << 32 | ord(text[end]))
+                i = np.searchsorted(self.v.pairs, pair)
+                if i == len(self.v.pairs) or self.v.pairs[i] != pair:
+                    break
+                end += 1
+            yield text[at:end]
+            at = end
+        yield text[at:]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and how many each has."""
-        v, blank = self.v, BLANK
-        shaped = [((blank if v.dummy_prefix else "") + t.replace(" ", blank)) if t else "" for t in texts]
-        sizes = np.array([len(t) for t in shaped], dtype=np.int64)
-        arr = tb.points("".join(shaped))
-        if not len(arr):
+        """Ids of all texts, one after the other, and how many each has.
+
+        Texts are cut into segments a block, or a part of a long text, at a time; the segments that
+        are new to the encoder advance together."""
+        parts = [list(self.parts(self.shaped(t))) for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(x) for x in parts])
+        blocks = [self._segments(some) for _, some in tb.blocks([x for one in parts for x in one], _BLOCK)]
+        del parts
+        if not blocks:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        self._learn(blocks)
+        ids, counts = [], []
+        for key, part, n_parts, *_ in blocks:
+            at = np.searchsorted(self.cached, key)
+            ids.append(self.ids[_ranges(self.start[at], self.count[at])])
+            counts.append(np.bincount(part, weights=self.count[at], minlength=n_parts))
+        return np.concatenate(ids), np.bincount(owner, weights=np.concatenate(counts), minlength=len(texts)).astype(np.int64)
+
+    def _segments(self, shaped: list[str]) -> tuple:
+        """Of a block: each segment's hash and text, the number of texts; hashes, symbols and sizes
+        of the segments that the encoder doesn't know yet."""
+        v = self.v
+        ends = np.cumsum([len(t) for t in shaped])
+        arr = tb.points("".join(shaped))
         cut = np.ones(len(arr), dtype=bool)
-        pair = arr[:-1].astype(np.uint64) << np.uint64(32) | arr[1:]
-        if len(v.pairs):
+        if len(arr) and len(v.pairs):
+            pair = arr[:-1].astype(np.uint64) << np.uint64(32) | arr[1:]
             at = np.minimum(np.searchsorted(v.pairs, pair), len(v.pairs) - 1)
             cut[1:] = v.pairs[at] != pair
-        ends = np.cumsum(sizes)
-        cut[(ends - sizes)[sizes > 0]] = True
+        cut[ends[:-1][ends[:-1] < len(arr)]] = True
         begin = np.flatnonzero(cut)
-        end = np.append(begin[1:], len(arr))
+        end = np.append(begin[1:], len(arr))[: len(begin)]
         key = tb.mix(tb.Hashes(arr).of(begin, end))
-        keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.cached, keys), max(0, len(self.cached) - 1))
-        new = np.flatnonzero(self.cached[at] != keys) if len(self.cached) else np.arange(len(keys))
-        if len(new):
-            ids, count = self._new(arr, begin[first[new]], (end - begin)[first[new]])
-            if len(self.cached) + len(new) > _CACHE:  # start again with what this batch needs
-                old = np.setdiff1d(np.arange(len(keys)), new)
-                kept = at[old]
-                take = _ranges(self.start[kept], self.count[kept])
-                ids, count = np.concatenate((self.ids[take], ids)), np.concatenate((self.count[kept], count))
-                names, start0 = np.concatenate((keys[old], keys[new])), 0
-                self.cached, self.start, self.count, self.ids = names, np.cumsum(count) - count, count, ids
-            else:
-                start0 = len(self.ids)
-                self.start = np.concatenate((self.start, start0 + np.cumsum(count) - count))
-                self.count = np.concatenate((self.count, count))
-                self.ids = np.concatenate((self.ids, ids))
-                self.cached = np.concatenate((self.cached, keys[new]))
-            order = np.argsort(self.cached)
-            self.cached, self.start, self.count = self.cached[order], self.start[order], self.count[order]
-            at = np.searchsorted(self.cached, keys)
-        where = at[inverse]
-        counts = self.count[where]
-        ids = self.ids[_ranges(self.start[where], counts)]
-        doc = np.searchsorted(ends, begin, side="right")
-        return ids, np.bincount(doc, weights=counts, minlength=len(texts)).astype(np.int64)
+        keys, first = np.unique(key, return_index=True)
+        new = np.flatnonzero(~_among(keys, self.cached))
+        size = (end - begin)[first[new]]
+        return key, np.searchsorted(ends, begin, side="right").astype(np.int32), len(shaped), keys[new], arr[_ranges(begin[first[new]], size)], size
+
+    def _learn(self, blocks: list[tuple]) -> None:
+        """Encodes the new segments of some blocks and keeps them sorted by hash."""
+        keys, first = np.unique(np.concatenate([b[3] for b in blocks]), return_index=True)
+        if not len(keys):
+            return
+        arr, size = np.concatenate([b[4] for b in blocks]), np.concatenate([b[5] for b in blocks])
+        ids, count = self._new(arr, (np.cumsum(size) - size)[first], size[first])
+        if len(self.cached) + len(keys) > _CACHE:  # start again with what these blocks need
+            used = np.flatnonzero(_among(self.cached, np.unique(np.concatenate([b[0] for b in blocks]))))
+            self.ids, self.cached, self.count = self.ids[_ranges(self.start[used], self.count[used])], self.cached[used], self.count[used]
+            self.start = np.cumsum(self.count) - self.count
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(count) - count))
+        self.count, self.ids, self.cached = np.concatenate((self.count, count)), np.concatenate((self.ids, ids)), np.concatenate((self.cached, keys))
+        order = np.argsort(self.cached, kind="stable")  # two sorted runs: a merge
+        self.cached, self.start, self.count = self.cached[order], self.start[order], self.count[order]
+
+
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` are among the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(keys), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -401,9 +437,9 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
-        for batch in tb.slices(batches, 1024):
+        for batch in tb.slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for at, some in tb.blocks(texts, _BLOCK):
+            for at, some in tb.blocks(texts, _TOGETHER):
                 ids, counts = encoder.encode(some)
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))

@@ -53,16 +53,29 @@ def blocks(texts: Iterable[str], most: int) -> Iterator[tuple[int, list[str]]]:
         yield at, held
 
 
-@lru_cache(4)
+_STEP = 1 << 16
+
+
+def _raised(base: int, n: int) -> np.ndarray:
+    a = np.full(n, base, dtype=np.uint64)
+    a[0] = 1
+    return np.multiply.accumulate(a)
+
+
+@lru_cache(1)
+def _small() -> tuple[np.ndarray, np.ndarray]:
+    return _raised(int(BASE), _STEP), _raised(pow(int(BASE), -1, 1 << 64), _STEP)
+
+
+@lru_cache(1)
+def _powers(steps: int) -> tuple[np.ndarray, np.ndarray]:
+    both = ((int(BASE), _small()[0]), (pow(int(BASE), -1, 1 << 64), _small()[1]))
+    return tuple((_raised(pow(b, _STEP, 1 << 64), steps)[:, None] * small).ravel() for b, small in both)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and its inverse modulo 2^64, for i < n."""
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    out = []
-    for b in (BASE, inverse):
-        a = np.full(n, b, dtype=np.uint64)
-        a[0] = 1
-        out.append(np.multiply.accumulate(a))
-    return out[0], out[1]
+    """BASE^i and its inverse modulo 2^64, for i < n at least; of long tables only one is kept."""
+    return _small() if n <= _STEP else _powers(-(-n // _STEP))
 
 
 class Hashes:
@@ -70,7 +83,7 @@ class Hashes:
 
     def __init__(self, symbols: np.ndarray):
         n = len(symbols) + 1
-        self.pw, self.inv = powers(max(1 << 16, 1 << int(np.ceil(np.log2(n)))))
+        self.pw, self.inv = powers(n)
         self.sums = np.zeros(n, dtype=np.uint64)
         np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * self.pw[: n - 1], out=self.sums[1:])
 
