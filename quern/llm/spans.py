@@ -36,12 +36,14 @@ def row_of(columns: list[str]) -> Column:
 
 
 def later_spans(spans: DataFrame) -> DataFrame:
-    """Per document (k, check) the bounds (at, to) of its later spans, from rows (a, b, k, check, at, to, again).
+    """Per document (k, check) where its later spans begin, from rows (a, b, k, check, loc) whose loc is
+    twice the place in the document, and one more if the document has an equal span before.
 
     The first occurrence of each span is aggregated on the map side first.  The join back has one
     row per span on the other side; as that side is a table of its own, Spark can split partitions
     that hold a very frequent span."""
     first = spans.groupBy("a", "b").agg(F.min(place("k", "check")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = staged(first, "first")
-    later = spans.join(first, ["a", "b"]).where(F.col("again") | (place("k", "check") > F.col("first")))
-    return later.groupBy("k", "check").agg(F.collect_set(F.struct("at", "to")).alias("spans"))
+    again = F.col("loc").bitwiseAND(F.lit(1)) == 1
+    later = spans.join(first, ["a", "b"]).where(again | (place("k", "check") > F.col("first")))
+    return later.groupBy("k", "check").agg(F.collect_set(F.shiftright("loc", 1)).alias("spans"))

@@ -97,9 +97,13 @@ class Sentences:
         self.at = np.where(first, 0, b[self.begin] - base[self.doc]) if len(b) else np.zeros(0, np.int64)
         self.to = np.where(np.append(first[1:], True)[: len(first)], self.sizes[self.doc], np.append(self.at[1:], 0)[: len(self.at)])
 
+    def reach(self, i: np.ndarray, least: int) -> np.ndarray:
+        """The sentence with which each of ``i`` has ``least`` words, wherever texts end."""
+        return np.searchsorted(self.end, self.begin[i] + least)
+
     def spans(self, least: int) -> tuple[np.ndarray, ...]:
-        """(first sentence, last sentence, hash, other hash, repeats an earlier one of its text)."""
-        j = np.searchsorted(self.end, self.begin + least)
+        """(first sentence, hash, other hash, repeats an earlier one of its text)."""
+        j = self.reach(np.arange(len(self.end)), least)
         i = np.flatnonzero(j < len(self.end))
         i = i[self.doc[j[i]] == self.doc[i]]
         j = j[i]
@@ -109,11 +113,12 @@ class Sentences:
         same = np.zeros(len(i), dtype=bool)
         one, two = order[1:], order[:-1]
         same[one] = (self.doc[i[one]] == self.doc[i[two]]) & (a[one] == a[two]) & (b[one] == b[two])
-        return i, j, a, b, same
+        return i, a, b, same
 
 
 def spans_of(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
-    """Rows (a, b, k, check, at, to, again), one per span, of rows (k, check, text)."""
+    """Rows (a, b, k, check, loc), one per span, of rows (k, check, text); loc is twice the code point at
+    which the span begins, and one more if the text has an equal span before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches):
@@ -121,22 +126,12 @@ def spans_of(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
             keys, checks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "check"))
             for first, some in tb.blocks(texts, _BLOCK):
                 s = Sentences(some)
-                i, j, a, b, again = s.spans(least)
+                i, a, b, again = s.spans(least)
                 row = s.doc[i] + first
-                columns = (a.view(np.int64), b.view(np.int64), keys[row], checks[row], s.at[i].astype(np.int32), s.to[j].astype(np.int32), again)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "k", "check", "at", "to", "again"])
-
-    return docs.select("k", "check", "text").mapInArrow(run, "a long, b long, k long, check long, at int, to int, again boolean")
-
+                columns = (a.view(np.int64), b.view(np.int64), keys[row], checks[row], s.at[i] * 2 + again)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "k", "check", "loc"])
 
-def _without(text: str, at: list[int], to: list[int]) -> str:
-    kept, end = [], 0
-    for x, y in sorted(zip(at, to, strict=True)):
-        if x > end:
-            kept.append(text[end:x])
-        end = max(end, y)
-    kept.append(text[end:])
-    return "".join(kept)
+    return docs.select("k", "check", "text").mapInArrow(run, "a long, b long, k long, check long, loc long")
 
 
 def dedup_spans(docs: DataFrame, words: int = SPAN_WORDS) -> DataFrame:
@@ -155,11 +150,12 @@ def dedup_spans(docs: DataFrame, words: int = SPAN_WORDS) -> DataFrame:
                 s = Sentences(some)
                 whole[first : first + len(some)] = np.bincount(s.doc, minlength=len(some))
                 for d in (d for d in range(len(some)) if found[first + d]):
-                    at, to = [x["at"] for x in found[first + d]], [x["to"] for x in found[first + d]]
-                    mine = s.at[slice(*np.searchsorted(s.doc, (d, d + 1)))]
-                    edge = np.bincount(np.searchsorted(mine, at), minlength=len(mine) + 1) - np.bincount(np.searchsorted(mine, to), minlength=len(mine) + 1)
-                    gone[first + d] = int((np.cumsum(edge)[: len(mine)] > 0).sum())
-                    texts[first + d] = _without(texts[first + d], at, to)
+                    lo, hi = np.searchsorted(s.doc, (d, d + 1))
+                    i = lo + np.searchsorted(s.at[lo:hi], found[first + d])
+                    edge = np.bincount(i - lo, minlength=hi - lo + 1) - np.bincount(s.reach(i, words) + 1 - lo, minlength=hi - lo + 1)
+                    covered = np.cumsum(edge)[: hi - lo] > 0
+                    gone[first + d] = int(covered.sum())
+                    texts[first + d] = "".join(some[d][x:y] for x, y in zip(s.at[lo:hi][~covered].tolist(), s.to[lo:hi][~covered].tolist(), strict=True))
             columns = [pa.array(texts, pa.string()) if c == "text" else row.field(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(whole), pa.array(gone)], names=[*kept, "n_sentences", "n_removed"])
 
