@@ -7,7 +7,10 @@ and two sketches estimate resemblance, containment and distinct shingle counts.
 
 Defined cases: null and blank texts have the empty sketch; a text of fewer words than a shingle
 has one shingle, all its words; two empty sketches resemble each other fully (1.0), an empty and
-a non-empty one not at all (0.0).  Everything here is DataFrame functions.
+a non-empty one not at all (0.0); very long texts are sketched whole; equal hashes count once, in a text as in a merge; of
+documents with equal ids the one with the smaller text comes first, and repeated rows follow each
+other; an empty table gives an empty one; only doc_id and text are read, so other columns can't
+clash.  Everything here is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -74,14 +77,17 @@ def from_text(a: Column) -> Column:
     return F.when(a == "", F.array().cast("array<string>")).otherwise(cut)
 
 
-def merge_parts(df: DataFrame, key: str, column: str = "sketch", k: int = K) -> DataFrame:
+def merge_parts(df: DataFrame, key: str, column: str = "sketch", k: int = K, salts: int = 64) -> DataFrame:
     """One sketch per ``key`` out of the sketches of its parts.
 
-    Each task keeps the ``k`` smallest hashes of a key before the shuffle (the rank filter is
-    pushed below it), so a hot key moves at most k hashes per task."""
-    hashes = df.select(key, F.explode(column).alias("_h")).distinct()
-    ranked = hashes.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_h"))).where(F.col("_r") <= k)
-    return ranked.groupBy(key).agg(F.sort_array(F.collect_list("_h")).alias(column))
+    Parts are merged in two steps, first within ``salts`` groups of each key, so that neither step
+    gathers more than k hashes a group in a task whatever the number of parts."""
+    hashes = df.select(F.col(key).alias("key"), F.pmod(F.xxhash64(column), F.lit(salts)).alias("salt"), F.explode(column).alias("h"))
+    for group in (["key", "salt"], ["key"]):
+        hashes = hashes.select(*group, "h").distinct()
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("h"))
+        hashes = hashes.withColumn("r", place).where(F.col("r") <= k).drop("r")
+    return hashes.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_list("h")).alias(column))
 
 
 def with_next(docs: DataFrame, columns: dict[str, Column], derived) -> DataFrame:

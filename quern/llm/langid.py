@@ -9,7 +9,10 @@ Letters are taken in lower case, and anything between letters is one blank, so t
 and ends of words are in the trigrams.  The profile is a sum of integers and so exact.
 
 Defined cases: null texts and texts without letters give ``und`` and 0.0; with no labelled text
-all give ``und``; of equal cosines the language that sorts first wins.
+all give ``und``; of equal cosines (to nine digits) the language that sorts first wins; equal texts, also in repeated
+rows, get equal results; very long texts are bundled a part at a time and count whole; an empty table
+gives an empty one; columns whose names clash with those added (lang_pred, score) are replaced, all
+others but ``text`` are kept.
 """
 
 from __future__ import annotations
@@ -18,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textblocks as tb
+from quern.llm.spans import row_of
 
 DIMENSIONS = 1024
 #: Expected number of sample texts of each language that the prototypes are learned from.
@@ -38,22 +42,33 @@ def _letters(symbols: np.ndarray, dims: int) -> np.ndarray:
     return np.stack([_LETTERS[s, dims] for s in symbols.tolist()]) if len(symbols) else np.zeros((0, dims), np.int8)
 
 
-def profiles(texts: list[str], dims: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
-    """The bundled vector of each text, and its number of letters."""
+def _sequence(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of all texts in lower case, one blank before, between and behind words, the text of each
+    of these symbols, and the number of letters of each text."""
     low, alpha = tb.tables()
     sym = low[tb.points("".join(f"\n{t}\n" for t in texts))]
     sizes = np.array([len(t) + 2 for t in texts])
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     letter = alpha[sym]
     n_letters = np.bincount(doc[letter], minlength=len(texts))
-    first = np.zeros(len(sym), dtype=bool)
-    first[np.cumsum(sizes) - sizes] = True
-    keep = letter | first
+    keep = letter.copy()
+    keep[np.cumsum(sizes) - sizes] = True
     keep[1:] |= letter[:-1]
-    sym, doc = np.where(letter, sym, 32)[keep], doc[keep]
+    return np.where(letter, sym, 32)[keep], doc[keep], n_letters
+
+
+def profiles(texts: list[str], dims: int = DIMENSIONS, most: int = _BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """The bundled vector of each text, and its number of letters; ``most`` trigrams at a time."""
+    sym, doc, n_letters = _sequence(texts)
     out = np.zeros((len(texts), dims), dtype=np.float32)
-    if len(sym) < 3:
-        return out, n_letters
+    for lo in range(0, len(sym) - 2, most):
+        _bundle(sym[lo : lo + most + 2], doc[lo : lo + most + 2], out)
+    return out, n_letters
+
+
+def _bundle(sym: np.ndarray, doc: np.ndarray, out: np.ndarray) -> None:
+    """Adds to ``out`` the bound vectors of all trigrams that lie in one text."""
+    dims = out.shape[1]
     present = np.unique(sym)
     place = np.zeros(int(present[-1]) + 1, dtype=np.int64)
     place[present] = np.arange(len(present))
@@ -77,13 +92,12 @@ def profiles(texts: list[str], dims: int = DIMENSIONS) -> tuple[np.ndarray, np.n
         bound = (third[part // (n * n)] * second[part // n % n] * base[part % n]).astype(np.float32)
         inside = (gram >= lo) & (gram < lo + _COLUMNS) if len(grams) > _COLUMNS else slice(None)
         d, g = of[inside], gram[inside] - lo
-        for a in range(0, len(texts), 1024):
-            b = min(len(texts), a + 1024)
+        for a in range(0, len(out), 1024):
+            b = min(len(out), a + 1024)
             i, j = np.searchsorted(d, (a, b))
             if i < j:
-                counts = np.bincount((d[i:j] - a) * len(part) + g[i:j], minlength=(b - a) * len(part))
+                counts = np.bincount((d[i:j] - a).astype(np.int64) * len(part) + g[i:j], minlength=(b - a) * len(part))
                 out[a:b] += counts.reshape(b - a, len(part)).astype(np.float32) @ bound
-    return out, n_letters
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -94,15 +108,12 @@ def _unit(v: np.ndarray) -> np.ndarray:
 def prototypes(labelled: DataFrame, per_language: int = SAMPLE, dims: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """Languages and their prototypes from rows (doc_id, text, lang) with non-null lang.
 
-    About ``per_language`` texts of each language are used, chosen by a hash of the id, so the
+    About ``per_language`` texts of each language are used, chosen by a hash of id and text, so the
     sample is bounded by the number of languages whatever the corpus; partial sums of eight
     tasks come back, one row per language each."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return [], np.zeros((0, dims))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
-    drawn = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < F.element_at(share, F.col("lang"))
-    sample = labelled.where(drawn).select("text", "lang").repartition(8)
+    counts = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    drawn = F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30) < per_language / F.col("_n")
+    sample = labelled.join(counts, F.col("lang") == F.col("_lang")).where(drawn).select("text", "lang").repartition(8)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -127,8 +138,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """(doc_id, held column pass-through ..., lang_pred, score) for rows with doc_id and text;
     all columns but ``text`` are kept."""
     names, vectors = model
-    kept = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    kept = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
+    schema = docs.select(*[f"`{c}`" for c in kept]).schema.add("lang_pred", "string").add("score", "double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches):
@@ -144,11 +155,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                     best, top, letters = np.zeros(len(some), int), np.zeros(len(some)), letters * 0
                 preds += [names[b] if n else UNKNOWN for b, n in zip(best, letters, strict=True)]
                 scores += [float(s) if n else 0.0 for s, n in zip(top, letters, strict=True)]
-            columns = [batch.column(c) for c in kept] + [pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
+            columns = [batch.column("row").field(c) for c in kept] + [pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
 
-    return docs.select(*kept, "text").mapInArrow(predict, schema)
-
-
-def held_out(doc_id: Column, crc: Column, mod: int, rest: int) -> Column:
-    return F.pmod(crc, F.lit(mod)) == rest
+    return docs.select(row_of(kept).alias("row"), "text").mapInArrow(predict, schema)

@@ -22,9 +22,9 @@ All links are confirmed by intersecting full sets of 64-bit shingle hashes.
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing, however
 many there are; a text of fewer words than a shingle has one shingle; a very long text is hashed a
 part at a time and its sets and signature cover all of it; rows without a doc_id can't be named, so
-they are their own component (null); rows that repeat a doc_id are judged by their text, each for
-itself; repeated rows get equal results; of equal sets the smallest id is kept; an empty table gives an
-empty one.  Only doc_id and text are read, so other columns can't clash.
+they are their own component (null); rows that share a doc_id are one node, linked with what any of
+their texts is linked with; repeated rows get equal results; of equal sets the smallest id is
+kept; an empty table gives an empty one.  Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations

@@ -11,9 +11,14 @@ documents evenly over the draws, so that taken words come near the target, and b
 the id; about BUCKET_ROWS documents each) cut a large source so that no task holds all of it.
 The offset is a hash of the seed and the source's name: reruns agree.  Only DataFrame functions.
 
+Sources are dealt over tasks by their rows (counts, then windows of a bucket each); the table of
+targets has one row per source, and Spark broadcasts it only if it is small.
+
 Defined cases: null and blank texts have size 0 and can still be taken, which takes no words;
-a source of size 0 has target 0; null ids come first in their bucket; equal rows take their
-places one after the other.
+a source of size 0 has target 0; rows without an id are dealt over the buckets by their text; repeated rows and
+ties in size take their places one after the other; very long texts count whole; an empty table gives an
+empty one; columns whose names clash with those added (size, source_size, target, copies) are
+replaced by ``mixed`` and kept by ``emitted``, all others are kept.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.exprs import n_words
+from quern.llm.spans import row_of
+from quern.llm.store import staged
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -40,7 +47,8 @@ def targets(sizes: DataFrame, share: float = SHARE) -> DataFrame:
 
     The resharing has a closed form: sources reach their ceiling in the order of ceiling per
     weight, so a source is capped if the rest of the words, were it shared among those not yet
-    passed, would exceed its ceiling.  One row per source."""
+    passed, would exceed its ceiling.  The order of all sources is needed here, so these one-row-a-source
+    tables meet in one task; it holds names and four numbers each, no texts."""
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(rank - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
     df = sizes.withColumn("w", weight).withColumn("cap", F.col("source_size") * MOST)
@@ -57,35 +65,32 @@ def targets(sizes: DataFrame, share: float = SHARE) -> DataFrame:
 
 def mixed(docs: DataFrame, share: float = SHARE, seed: str = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The documents with size, source_size, target and copies (0, 1 or 2 each)."""
-    spark = docs.sparkSession
-    sized = docs.withColumn("size", n_words(F.col("text")))
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    rows = targets(sizes, share).withColumn("buckets", F.ceil(F.col("n") / bucket_rows))
-    held = rows.limit(MOST_LOCAL + 1).collect()
-    few = len(held) <= MOST_LOCAL
-    plan = spark.createDataFrame(held, rows.schema) if few else rows
-    name = lambda c: F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), c))  # noqa: E731  never null, to join on
-    plan = plan.select(name(F.col("source")).alias("_s"), "source_size", "target", "buckets")
-    plan = F.broadcast(plan) if few else plan
-    bucket = F.pmod(_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("buckets"))
-    counts = docs.select("doc_id", name(F.col("source")).alias("_s")).join(plan, "_s").groupBy("_s", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("m"))
-    earlier = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = counts.select("_s", "_b", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("_ahead"))
-    out = sized.withColumn("_s", name(F.col("source"))).join(plan, "_s").withColumn("_b", bucket).join(ahead, ["_s", "_b"])
-    place = F.col("_ahead") + F.row_number().over(Window.partitionBy("_s", "_b").orderBy("size", F.col("doc_id").asc_nulls_first()))
+    added = ("size", "source_size", "target", "copies")
+    kept = [c for c in docs.columns if c not in added]
+    name = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))  # never null, to join on
+    identity = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).otherwise(""))
+    sized = docs.select(row_of(kept).alias("row"), "doc_id", name.alias("s"), n_words(F.col("text")).alias("size"), _hash(identity).alias("h"))
+    sizes = sized.groupBy("s").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("source", F.when(F.col("s") != "n", F.substring("s", 2, 1 << 30)))
+    plan = targets(sizes, share).withColumn("buckets", F.ceil(F.col("n") / bucket_rows))
+    plan = plan.withColumn("s", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")))
+    plan = staged(plan.select("s", "source", "source_size", "target", "buckets"), "targets")
+    bucket = F.pmod(F.col("h"), F.col("buckets"))
+    counts = sized.select("s", "h").join(plan, "s").groupBy("s", bucket.alias("b")).agg(F.count(F.lit(1)).alias("m"))
+    earlier = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select("s", "b", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("ahead"))
+    out = sized.join(plan, "s").withColumn("b", bucket).join(ahead, ["s", "b"])
+    at = F.col("ahead") + F.row_number().over(Window.partitionBy("s", "b").orderBy("size", F.col("doc_id").asc_nulls_first()))
     offset = _hash(F.concat(F.lit(seed + "|"), F.coalesce("source", F.lit("\x00")))) / F.lit(UNIT)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    out = out.withColumns({"_i": place, "_u": offset, "_c": each})
-    crossed = F.floor(F.col("_u") + F.col("_i") * F.col("_c")) - F.floor(F.col("_u") + (F.col("_i") - 1) * F.col("_c"))
-    out = out.withColumn("copies", F.least(crossed, F.lit(MOST)).cast("int"))
-    return out.drop("_s", "_b", "_ahead", "_i", "_u", "_c", "buckets")
+    out = out.select("row", "size", "source_size", "target", at.alias("i"), offset.alias("u"), each.alias("c"))
+    crossed = F.floor(F.col("u") + F.col("i") * F.col("c")) - F.floor(F.col("u") + (F.col("i") - 1) * F.col("c"))
+    columns = [F.col("row").getField(c).alias(c) for c in kept]
+    return out.select(*columns, "size", "source_size", "target", F.least(crossed, F.lit(MOST)).cast("int").alias("copies"))
 
 
 def emitted(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as it was drawn, with the columns it came with."""
-    names = docs.columns
-    return mixed(docs, **how).where("copies > 0").withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*names)
-
-
-#: Sources up to which the table of targets is held as literal rows.
-MOST_LOCAL = 10_000
+    held = docs.select(row_of(docs.columns).alias("row"), "doc_id", "source", "text")
+    out = mixed(held, **how).where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("again"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -14,7 +14,10 @@ become byte tokens, or the unknown token where the model has none.
 
 Segments with two or more U+2581 in a row, whose merges tie in rank, are merged one by one.
 
-Defined cases: null and empty texts give no tokens; decoding gives U+2581 back as a blank.
+Defined cases: null and empty texts give no tokens; decoding gives U+2581 back as a blank; very long texts are
+cut into parts that no token spans; of equal ways the model's own order decides; repeated rows get equal
+tokens; an empty table gives an empty one; columns whose names clash with those added (ids, decoded) are
+replaced, all others but ``text`` are kept.
 """
 
 from __future__ import annotations
@@ -27,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from quern.llm import textblocks as tb
+from quern.llm.spans import row_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -268,7 +272,7 @@ class Encoder:
         cuts = np.flatnonzero(np.diff(size[order])) + 1
         for group in np.split(order, cuts) if len(order) else []:
             n = int(size[group[0]])
-            for some in np.array_split(group, max(1, len(group) * n >> 17)):
+            for some in np.array_split(group, min(len(group), 1 + (len(group) * n >> 17))):
                 sym = arr[begin[some, None] + np.arange(n)]
                 rows, ranks = v.advance(sym)
                 ids = np.where(ranks >= 0, v.id_at_rank[ranks], -1)
@@ -432,8 +436,8 @@ def load(spark: SparkSession, path: str = MODEL) -> bytes:
 
 def encoded(docs: DataFrame, model: bytes) -> DataFrame:
     """All columns but ``text``, with ``ids``."""
-    kept = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*kept).schema.add("ids", ArrayType(IntegerType()))
+    kept = [c for c in docs.columns if c not in ("text", "ids")]
+    schema = docs.select(*[f"`{c}`" for c in kept]).schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
@@ -443,25 +447,25 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
                 ids, counts = encoder.encode(some)
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, len(some)) for c in kept] + [lists], names=[*kept, "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").field(c).slice(at, len(some)) for c in kept] + [lists], names=[*kept, "ids"])
 
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return docs.select(row_of(kept).alias("row"), "text").mapInArrow(run, schema)
 
 
 def decoded(tokens: DataFrame, model: bytes) -> DataFrame:
     """All columns, with ``decoded``: the text of ``ids``."""
-    names = tokens.columns
-    schema = StructType(list(tokens.schema.fields)).add("decoded", "string")
+    names = [c for c in tokens.columns if c != "decoded"]
+    schema = tokens.select(*[f"`{c}`" for c in names]).schema.add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(_encoder(model).v)
         for batch in tb.slices(batches):
-            lists = batch.column("ids")
+            lists = batch.column("row").field("ids")
             counts = np.diff(lists.offsets.to_numpy())
             texts = decoder.decode(lists.flatten().to_numpy(zero_copy_only=False), counts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=[*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*(batch.column("row").field(c) for c in names), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=[*names, "decoded"])
 
-    return tokens.mapInArrow(run, schema)
+    return tokens.select(row_of(names).alias("row")).mapInArrow(run, schema)
 
 
 def ids_digest(ids: Column) -> Column:

@@ -77,7 +77,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts stored as MPEG transport streams, read back and measured."""
     out = mpegts.from_media(mpegts.to_media(documents(spark, sf_dir)))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "points")
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,16 @@ noisy-or of its sentences: 1 - prod(1 - p).  Weights are trained on document lab
 steps through the noisy-or; the sentences with p of a half or more are then the offending ones.
 
 The training sample is bounded: about ``per_class`` documents of each label, chosen by a hash of
-the id, from which the ``features`` most telling ones are kept.  Scoring reads whole texts.
+the id.  Tasks turn them into features and count these over the sample; every feature that is telling
+enough is kept, and only where such features stand comes to the driver, never a text.
+Scoring reads whole texts.
 
 Defined cases: null, empty and letterless texts have sentences without known features and get
-the bias alone, as every sentence does; without labels of both kinds all scores are 0.
+the bias alone, as every sentence does; without labels of both kinds, or without a telling feature, all scores are 0;
+very long texts are read a part at a time, cut behind a sentence; equal texts, also in repeated rows, get equal
+scores; a probability of exactly a half counts as offending, a score of exactly a half as toxic;
+an empty table gives an empty one; a document with two labels counts as one of each; columns whose names clash with those added
+(score, predicted, offending) are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -24,12 +30,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
 from quern.llm import textblocks as tb
+from quern.llm.spans import row_of
+from quern.llm.store import staged
 
-#: Expected sample documents per label, and the most features kept.
-PER_CLASS, FEATURES = 800, 3000
+#: Expected sample documents per label.
+PER_CLASS = 2000
 PREFIXES = (4, 5)
-MIN_DOCS = 3
-_BLOCK = 1 << 19
+#: Sample documents that a feature is in at least, and its least log-likelihood ratio.
+MIN_DOCS, TELLING = 3, 2.0
+#: The log-odds of a sentence where nothing can be learned.
+NEVER = -40.0
+STEPS = 300
+_BLOCK = 1 << 18
 _ENDS = np.array([ord(c) for c in ".!?\n"], dtype=np.uint32)
 
 
@@ -62,83 +74,147 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, ...]:
     return s_doc, s_from - begin[s_doc], end - begin[s_doc], np.searchsorted(end, w0, side="right"), np.stack(kinds)
 
 
+def parts(text: str, most: int = _BLOCK) -> Iterator[tuple[int, str]]:
+    """(offset, part) of a text, cut behind ends of sentences; ``tokens`` puts one behind each part."""
+    at = 0
+    while len(text) - at > most:
+        cut = max(text.rfind(c, at, at + most) for c in ".!?\n")
+        if cut < 0:
+            later = [k for k in (text.find(c, at + most) for c in ".!?\n") if k >= 0]
+            if not later:
+                break
+            cut = min(later)
+        yield at, text[at:cut]
+        at = cut + 1
+    yield at, text[at:]
+
+
+def blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """Texts in blocks of parts, with the text and the offset of each part."""
+    cut = [(d, at, p) for d, t in enumerate(texts) for at, p in parts(t)]
+    for first, some in tb.blocks([p for _, _, p in cut], _BLOCK):
+        here = cut[first : first + len(some)]
+        yield np.array([d for d, _, _ in here]), np.array([at for _, at, _ in here]), some
+
+
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, features: int = FEATURES, steps: int = 300) -> Model:
-    """``weight``: how many documents of the corpus each sample document stands for."""
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
-    if not len(texts) or not 0 < labels.sum() < len(labels):
-        return empty
-    f_list, s_list, d_list, n_sent = [], [], [], 0
-    for at, some in tb.blocks(texts, _BLOCK):
-        s_doc, _, _, w_sent, kinds = tokens(some)
-        for row in kinds:
-            ok = row != 0
-            f_list.append(row[ok])
-            s_list.append(w_sent[ok] + n_sent)
-        d_list.append(s_doc + at)
-        n_sent += len(s_doc)
-    feats, sents, docs = np.concatenate(f_list), np.concatenate(s_list), np.concatenate(d_list)
-    del f_list, s_list, d_list
-    keys, f = np.unique(feats, return_inverse=True)
-    del feats
-    if not len(keys):
-        return empty
-    pair = np.unique(f.astype(np.int64) * len(texts) + docs[sents])
-    pf, pd = pair // len(texts), pair % len(texts)
-    n1 = np.bincount(pf, weights=labels[pd], minlength=len(keys))
-    n0 = np.bincount(pf, weights=1 - labels[pd], minlength=len(keys))
-    t1, t0 = labels.sum(), (1 - labels).sum()
-    r1, r0 = (n1 + 0.5) / (t1 + 1), (n0 + 0.5) / (t0 + 1)
-    tell = n1 * np.log(r1 / r0) + (t1 - n1) * np.log((1 - r1).clip(1e-9) / (1 - r0).clip(1e-9))
-    tell[(n1 + n0 < MIN_DOCS) | (r1 <= r0)] = -1
-    chosen = np.sort(np.argsort(-tell, kind="stable")[:features])
-    chosen = chosen[tell[chosen] > 2.0]
-    if not len(chosen):
-        return empty
-    where = np.full(len(keys), -1)
-    where[chosen] = np.arange(len(chosen))
-    both = np.unique(where[f[where[f] >= 0]].astype(np.int64) * n_sent + sents[where[f] >= 0])
-    fi, si = both // n_sent, both % n_sent
-    w, b = np.zeros(len(chosen)), -6.0
+@dataclass
+class Sample:
+    """Sentences as a matrix of features: entry k says that sentence ``sentence[k]`` has feature ``feature[k]``."""
+
+    labels: np.ndarray  # of documents
+    weight: np.ndarray  # how many documents of the corpus each one stands for
+    document: np.ndarray  # of sentences
+    sentence: np.ndarray
+    feature: np.ndarray
+
+    def slope(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+        """Log loss of the noisy-or, and its derivatives by weights and bias."""
+        z = b + np.bincount(self.sentence, weights=w[self.feature], minlength=len(self.document))
+        a = np.bincount(self.document, weights=_softplus(z), minlength=len(self.labels))  # -log of no sentence offending
+        miss = np.exp(-a)
+        scale = self.weight / self.weight.sum()
+        loss = np.where(self.labels == 1, -np.log(np.maximum(1 - miss, 1e-300)), a) @ scale
+        by_a = np.where(self.labels == 1, -miss / np.maximum(1 - miss, 1e-9), 1.0) * scale
+        by_z = by_a[self.document] / (1 + np.exp(-z))
+        return float(loss), np.bincount(self.feature, weights=by_z[self.sentence], minlength=len(w)), float(by_z.sum())
+
+
+def fit(keys: np.ndarray, sample: Sample, steps: int = STEPS) -> Model:
+    """Gradient steps with momentum and a rate of its own for each weight."""
+    w, b = np.zeros(len(keys)), -6.0
     m, v, mb, vb = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
-    scale = weight / weight.sum()
     for step in range(1, steps + 1):
-        z = b + np.bincount(si, weights=w[fi], minlength=n_sent)
-        a = np.bincount(docs, weights=_softplus(z), minlength=len(texts))
-        miss = np.exp(-a)
-        slope = np.where(labels == 1, -miss / np.maximum(1 - miss, 1e-9), 1.0) * scale
-        gz = slope[docs] / (1 + np.exp(-z))
-        gw = np.bincount(fi, weights=gz[si], minlength=len(w)) + 2e-6 * w
-        gb = gz.sum()
+        _, gw, gb = sample.slope(w, b)
+        gw += 2e-6 * w
         rate = 0.15 if step < steps * 2 // 3 else 0.03
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
         w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    return Model(keys[chosen], w, float(b))
+    return Model(keys, w, float(b))
+
+
+_FEATURES = "key long, toxic int, n int, f long, sents array<int>"
+
+
+def features(sample: DataFrame) -> DataFrame:
+    """Of rows (key, toxic, text) one row per document and feature with the sentences that have it,
+    and one per document with its number of sentences ``n`` and no feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.slices(batches, 64):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            key, toxic = (batch.column(c).to_numpy() for c in ("key", "toxic"))
+            n = np.zeros(len(texts), np.int32)
+            docs, sents, found = [], [], []
+            for owner, _, some in blocks(texts):
+                s_doc, _, _, w_sent, kinds = tokens(some)
+                doc = owner[s_doc]
+                new, size = np.unique(doc, return_counts=True)
+                local = np.arange(len(doc)) - np.searchsorted(doc, doc) + n[doc]
+                n[new] += size.astype(np.int32)
+                for row in kinds:
+                    ok = np.flatnonzero(row)
+                    docs.append(doc[w_sent[ok]])
+                    sents.append(local[w_sent[ok]])
+                    found.append(row[ok])
+            d, s, f = np.concatenate(docs), np.concatenate(sents), np.concatenate(found).view(np.int64)
+            order = np.lexsort((s, f, d))
+            d, s, f = d[order], s[order], f[order]
+            once = np.concatenate(([True], (d[1:] != d[:-1]) | (f[1:] != f[:-1]) | (s[1:] != s[:-1])))[: len(d)]
+            d, s, f = d[once], s[once], f[once]
+            begin = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (f[1:] != f[:-1])))[: len(d)])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(d)).astype(np.int32)), pa.array(s.astype(np.int32)))
+            rows = (pa.array(key[d[begin]]), pa.array(toxic[d[begin]], pa.int32()), pa.array(n[d[begin]]), pa.array(f[begin]), lists)
+            yield pa.RecordBatch.from_arrays(list(rows), names=["key", "toxic", "n", "f", "sents"])
+            alone = (pa.array(key), pa.array(toxic, pa.int32()), pa.array(n), pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(list(alone), names=["key", "toxic", "n", "f", "sents"])
+
+    return sample.select("key", "toxic", "text").mapInArrow(run, _FEATURES)
+
+
+def telling(found: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """Features (f) that more toxic documents have than others, by their log-likelihood ratio."""
+    counts = found.where("f is not null").groupBy("f").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n"))
+    r1, r0 = (F.col("n1") + 0.5) / (toxic + 1.0), (F.col("n") - F.col("n1") + 0.5) / (clean + 1.0)
+    without = F.log(F.greatest(1 - r1, F.lit(1e-9)) / F.greatest(1 - r0, F.lit(1e-9)))
+    tell = F.col("n1") * F.log(r1 / r0) + (toxic - F.col("n1")) * without
+    return counts.where((F.col("n") >= MIN_DOCS) & (r1 > r0) & (tell > TELLING)).select("f")
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """From documents (doc_id, text) and labels (doc_id, toxic) with toxic 0 or 1.
 
     The sample is drawn from the labels alone: about 2 x ``per_class`` of them whatever the corpus,
-    by a hash of the id.  So few rows are broadcast to the documents, and no text but theirs moves."""
-    labels = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    by a hash of the id.  So few rows are broadcast to the documents, and no text moves."""
+    empty = Model(np.zeros(0, np.uint64), np.zeros(0), NEVER)
+    labels = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
-        return fit([], np.zeros(0), np.zeros(0))
+        return empty
     limit = {k: min(1.0, per_class / n) for k, n in counts.items()}
     drawn = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < F.when(F.col("toxic") == 1, limit[1]).otherwise(limit[0])
     sample = docs.select("doc_id", "text").join(F.broadcast(labels.where(drawn)), "doc_id")
-    rows = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", r["toxic"]) for r in sample.toLocalIterator())
-    labels = np.array([r[3] for r in rows], dtype=np.float64)
-    texts = [r[2] for r in rows]
-    del rows
-    return fit(texts, labels, np.where(labels == 1, 1 / limit[1], 1 / limit[0]))
+    sample = sample.select(F.xxhash64("doc_id", "text", "toxic").alias("key"), "toxic", "text")
+    found = staged(features(sample), "features")
+    rows = sorted({(r["key"], r["toxic"], r["n"]) for r in found.where("f is null").select("key", "toxic", "n").collect()})
+    label = np.array([r[1] for r in rows], dtype=np.float64)
+    if not len(rows) or not 0 < label.sum() < len(label):
+        return empty
+    hits = found.join(telling(found, int(label.sum()), int(len(label) - label.sum())), "f").select("key", "f", F.explode("sents").alias("s")).distinct().toArrow()
+    if not hits.num_rows:
+        return empty
+    size = np.array([r[2] for r in rows])
+    doc = np.searchsorted(np.array([r[0] for r in rows]), hits["key"].to_numpy())
+    keys, feature = np.unique(hits["f"].to_numpy().view(np.uint64), return_inverse=True)
+    at = (np.cumsum(size) - size)[doc] + hits["s"].to_numpy()
+    order = np.lexsort((feature, at))  # sums don't depend on how rows arrive
+    return fit(keys, Sample(label, np.where(label == 1, 1 / limit[1], 1 / limit[0]), np.repeat(np.arange(len(rows)), size), at[order], feature[order]))
 
 
 def sentence_scores(texts: list[str], model: Model) -> tuple[np.ndarray, ...]:
@@ -158,22 +234,23 @@ def sentence_scores(texts: list[str], model: Model) -> tuple[np.ndarray, ...]:
 def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     """All columns (``text`` only if asked for), with score, predicted and ``offending``: the bounds (code points)
     and probabilities of the sentences that offend."""
-    kept = [c for c in docs.columns if keep_text or c != "text"]
+    kept = [c for c in docs.columns if c not in ("score", "predicted", "offending") and (keep_text or c != "text")]
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
-    schema = docs.select(*kept).schema.add("score", "double").add("predicted", "integer")
+    schema = docs.select(*[f"`{c}`" for c in kept]).schema.add("score", "double").add("predicted", "integer")
     schema = schema.add("offending", _parse_datatype_string("array<struct<begin:int,end:int,p:double>>"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             scores, where = np.zeros(len(texts)), [[] for _ in texts]
-            for at, some in tb.blocks(texts, _BLOCK):
+            for owner, offset, some in blocks(texts):
                 s_doc, s_from, s_to, z = sentence_scores(some, model)
-                scores[at : at + len(some)] = -np.expm1(-np.bincount(s_doc, weights=_softplus(z), minlength=len(some)))
+                scores += np.bincount(owner[s_doc], weights=_softplus(z), minlength=len(texts))
                 for i in np.flatnonzero(z >= 0):
-                    where[at + s_doc[i]].append({"begin": int(s_from[i]), "end": int(s_to[i]), "p": float(1 / (1 + np.exp(-z[i])))})
-            scores = np.round(np.clip(scores, 0.0, 1.0), 9)
-            columns = [batch.column(c) for c in kept] + [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(where, kind)]
+                    d, at = owner[s_doc[i]], offset[s_doc[i]]
+                    where[d].append({"begin": int(s_from[i] + at), "end": int(min(s_to[i] + at, len(texts[d]))), "p": float(1 / (1 + np.exp(-z[i])))})
+            scores = np.round(np.clip(-np.expm1(-scores), 0.0, 1.0), 9)
+            columns = [batch.column("row").field(c) for c in kept] + [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(where, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score", "predicted", "offending"])
 
-    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(predict, schema)
+    return docs.select(row_of(kept).alias("row"), "text").mapInArrow(predict, schema)

@@ -9,38 +9,6 @@ from pyspark.sql import functions as F
 
 from quern.llm import components, fingerprints, langid, linededup, minhash, mixing, mpegts, pieces, substrings, toxicity, warc
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k string, size string"
-
-
-def table(spark, texts, sources=None):
-    rows = [(i if i != 3 else None, t, None, (sources or [None, "a", "b"])[i % 3], None, "x", "y") for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, SCHEMA)
-
-
-ODD = [None, "", " \n\t ", "one", "same words here and there", "same words here and there", "w " * 5000, "é😀 ß!\n\n\n.", "a\nb\nc", "a\nb\nd"]
-OPS = {
-    "fingerprints": fingerprints.edited_fingerprints,
-    "lines": linededup.dedup_lines,
-    "spans": substrings.dedup_spans,
-    "minhash": minhash.near_duplicates,
-    "mixing": mixing.mixed,
-    "emitted": mixing.emitted,
-    "media": lambda d: mpegts.from_media(mpegts.to_media(d)),
-    "pieces": lambda d: pieces.decoded(pieces.encoded(d, pieces.load(d.sparkSession)), pieces.load(d.sparkSession)),
-    "language": lambda d: langid.identify(d, langid.prototypes(d.where("lang is not null").select("doc_id", "text", "lang"))),
-    "toxicity": lambda d: toxicity.score(d, toxicity.train(d, d.select("doc_id", F.lit(None).cast("int").alias("toxic")))),
-}
-
-
-@pytest.mark.parametrize("name", OPS)
-def test_odd_and_empty_tables(spark, name):
-    docs = table(spark, ODD)
-    rows = OPS[name](docs).collect()
-    assert len(rows) == len(ODD) or name == "emitted"
-    assert OPS[name](docs.where("false")).count() == 0
-    assert len(OPS[name](docs.union(docs)).collect()) == 2 * len(ODD) or name == "emitted"
-
-
 def test_sketches(spark):
     words = [f"w{i}" for i in range(300)]
     df = spark.createDataFrame([(" ".join(words), " ".join(words[:200]), " ".join(words[200:]))], "a string, b string, c string")
@@ -121,13 +89,68 @@ def test_mix_comes_near_its_targets(spark):
     assert n == mixing.mixed(docs).agg(F.sum("copies")).first()[0]
 
 
+def plain_read(media):
+    """A second, plain parser: payloads by packet id, for streams without faults."""
+    bodies = {}
+    for at in range(0, len(media), 188):
+        p = media[at : at + 188]
+        pid, skip = int.from_bytes(p[1:3], "big") & 0x1FFF, 4 + (1 + p[4] if p[3] & 0x20 else 0)
+        if p[3] & 0x10 and pid not in (0, 0x1000, 0x1FFF):
+            bodies.setdefault(pid, []).append((bool(p[1] & 0x40), p[3] & 15, p[skip:]))
+    out = {}
+    for pid, parts in bodies.items():
+        parts = [x for k, x in enumerate(parts) if not k or x != parts[k - 1]]  # packets sent twice
+        units = []
+        for start, _, b in parts:
+            if start:
+                units.append(b"")
+            units[-1] += b
+        out[pid] = b"".join(u[9 + u[8] : 6 + int.from_bytes(u[4:6], "big")] for u in units)
+    return out
+
+
+def packets(media):
+    return [media[i : i + 188] for i in range(0, len(media), 188)]
+
+
+def test_interleaved_streams_repeats_and_long_tables():
+    rnd = random.Random(4)
+    one, two = rnd.randbytes(3000), rnd.randbytes(2500)
+    section = lambda table, body: mpegts._section(table, 1, body)
+    info = bytes([0x05, 180]) + rnd.randbytes(180)  # a descriptor that makes the program map longer than a packet
+    entry = lambda pid: b"\x06" + (0xE000 | pid).to_bytes(2, "big") + (0xF000 | len(info)).to_bytes(2, "big") + info
+    table = b"\x00" + section(2, b"\xe1\x00\xf0\x00" + entry(0x100) + entry(0x101))
+    maps = [b"\x47" + ((0x4000 if k == 0 else 0) | 0x1000).to_bytes(2, "big") + bytes([0x10 | k & 15]) + table[a : a + 184].ljust(184, b"\xff") for k, a in enumerate(range(0, len(table), 184))]
+    pat = packets(mpegts._TABLES)[:1]
+    a = packets(mpegts.encode(one, 1000))[2:]
+    b = [p[:1] + ((p[1] & 0xE0) << 8 | 0x101).to_bytes(2, "big") + p[3:] for p in packets(mpegts.encode(two, 1000))[2:]]
+    mixed = [x for pair in zip(a, b) for x in pair] + a[len(b) :] + b[len(a) :]
+    found = mpegts.parse(b"".join(pat + maps + mixed))
+    assert {k: x.payload for k, x in found.streams.items()} == {0x100: one, 0x101: two} == plain_read(b"".join(mixed))
+    assert (found.cc_errors, found.crc_errors, found.pes_errors, found.programs) == (0, 0, 0, 1)
+    assert [t for t, _ in found.first.points] == [3600, 7200, 10800] and [o for _, o in found.streams[0x101].points] == [0, 1000, 2000]
+    doubled = mpegts.parse(b"".join(pat + maps + [x for p in mixed for x in (p, p)]))
+    assert doubled.first.payload == one and doubled.cc_errors == 0
+    jumped = [bytes(p[:3]) + bytes([p[3] & 0xF0 | (p[3] + 5) & 15]) + p[4:] for p in a]
+    assert mpegts.parse(b"".join(pat + maps + a[:2] + jumped[2:])).cc_errors == 1
+    flagged = jumped[2][:3] + bytes([jumped[2][3] | 0x20]) + b"\x01\x80" + jumped[2][4:-2] if not jumped[2][3] & 0x20 else None
+    if flagged:
+        assert mpegts.parse(b"".join(pat + maps + a[:2] + [flagged])).cc_errors == 0
+    broken = bytearray(maps[0])
+    broken[30] ^= 1
+    assert mpegts.parse(b"".join(pat + [bytes(broken)] + maps[1:] + mixed)).crc_errors == 1
+    assert mpegts.parse(b"".join(pat + maps + a[:3])).pes_errors == 1 and mpegts.parse(b"junk" * 100).cc_errors == 3
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 169, 170, 171, 184, 200, 5000, 40000, 100_000])
 def test_transport_stream(n):
     data = random.Random(n).randbytes(n)
     media = mpegts.encode(data, 1000 if n < 10_000 else 32768)
     found = mpegts.parse(media)
-    assert found.payload == data and found.cc_errors == found.crc_errors == 0 and len(media) % 188 == 0
-    assert len(found.points) == found.units and [o for _, o in found.points] == sorted({o for _, o in found.points})
+    one = found.first
+    assert one.payload == data and found.cc_errors == found.crc_errors == found.pes_errors == 0 and len(media) % 188 == 0
+    assert len(one.points) == len(one.parts) and [o for _, o in one.points] == sorted({o for _, o in one.points})
+    assert plain_read(media) == ({0x100: data} if n else {})
     if found.packets > 6:
         cut = media[: 188 * 4] + media[188 * 5 :]
         assert mpegts.parse(cut).cc_errors == 1
@@ -140,26 +163,137 @@ def test_media_digests(spark):
     assert (r[1]["n_bytes"], r[1]["payload_sha256"]) == (0, hashlib.sha256(bytes(64)).hexdigest())
 
 
-def test_single_lines_between_different_neighbours(spark):
-    from corpus_pipeline import drop_repeated_lines
+def brute_lines(texts, window):
+    """Line dedup by plain loops: windows, first positions, extension, stretches."""
+    lines = [t.split("\n") for t in texts]
+    size = [[len(x.strip(" \t\n\x0b\x0c\r")) for x in u] for u in lines]
+    name = lambda x: (int(hashlib.md5(x.encode()).hexdigest()[: linededup.DIGITS], 16), hashlib.md5(x.encode()).hexdigest())
+    prints = []
+    for u, z in zip(lines, size):
+        solid, chosen = [i for i in range(len(u)) if z[i]], set()
+        for a in range(len(solid)):
+            total = 0
+            for b in range(a, len(solid)):
+                total += z[solid[b]]
+                if total >= window:
+                    chosen.add(min(solid[a : b + 1], key=lambda i: (name(u[i])[0], -i)))
+                    break
+        prints.append(sorted(chosen))
+    first, out = {}, []
+    for d, (u, z) in enumerate(zip(lines, size)):
+        gone = set()
+        for k, p in enumerate(prints[d]):
+            e, q = first.setdefault(name(u[p])[1], (d, p))
+            if (e, q) != (d, p):
+                at = prints[e].index(q)
+                for step, end, other in ((-1, prints[d][k - 1] if k else 0, prints[e][at - 1] if at else 0), (1, prints[d][k + 1] if k + 1 < len(prints[d]) else len(u) - 1, prints[e][at + 1] if at + 1 < len(prints[e]) else len(lines[e]) - 1)):
+                    i, j = p, q
+                    gone.add(i)
+                    while i != end and j != other and u[i + step] == lines[e][j + step]:
+                        i, j = i + step, j + step
+                        gone.add(i)
+        stretch, last = [], None
+        for i in [*sorted(gone), None]:
+            if stretch and (i is None or i != last + 1):
+                if sum(z[x] for x in stretch) < window:
+                    gone -= set(stretch)
+                stretch = []
+            stretch.append(i)
+            last = i
+        out.append("\n".join(x for i, x in enumerate(u) if i not in gone))
+    return out
+
+
+def test_lines_equal_brute_force(spark):
+    rnd = random.Random(5)
+    pool = ["", "  ", "Yes.", "No way", "Menu", "Home | About"] + ["line " + "".join(rnd.choice("abcdef ") for _ in range(rnd.choice([8, 20, 60]))) for _ in range(30)]
+    texts = []
+    for _ in range(150):
+        part = [rnd.choice(pool) if rnd.random() < 0.6 else f"own {rnd.randrange(10**9)}" for _ in range(rnd.randrange(1, 14))]
+        if texts and rnd.random() < 0.4:  # a run of lines of another text
+            u = rnd.choice(texts).split("\n")
+            a = rnd.randrange(len(u))
+            part[3:3] = u[a : a + rnd.randrange(1, 6)]
+        texts.append("\n".join(part))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(docs).collect()}
+    want = brute_lines(texts, linededup.WINDOW)
+    assert [got[i]["text"] for i in range(len(texts))] == want
+    assert sum(r["n_removed"] > 0 for r in got.values()) > 30
+
 
-    texts = ["a\nlong passage\n\nb", "c\nlong passage\nd\n\nd", "long passage", "x\n\ny", None]
-    docs = table(spark, texts).fillna(0, "n_chars")
-    left = {r["text"] for r in drop_repeated_lines(spark, docs, "").collect()}
-    assert left == {texts[0], "c\nd\n", texts[3], None}
-    removed = {r["text"]: r["n_removed"] for r in linededup.dedup_lines(docs).collect()}
-    assert removed == dict.fromkeys(texts, 0)
+def test_a_long_line_goes_between_any_neighbours(spark):
+    long = "a passage of one line that is long enough"
+    texts = [f"a\n{long}\n\nb", f"c\n{long}\nd\n\nd", "x\n\ny", "short\nlines", "short\nlines"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
+    assert left == dict(enumerate(texts)) | {1: "c\nd\n\nd"}
 
 
-def test_passages_of_one_or_two_long_sentences(spark):
-    one = " ".join(f"w{i}" for i in range(25)) + ". "
-    two = " ".join(f"x{i}" for i in range(12)) + "! " + " ".join(f"y{i}" for i in range(12)) + "? "
-    clauses = " ".join(f"z{i}" + "," * (i % 10 == 9) for i in range(40)) + ", "
-    han = "这是一个很长的句子用来检查没有空格的文字里重复的段落。" + "短句。"
-    texts = ["Start here. " + one + "End a.", "Other start. " + one + "End b.", "Go. " + two + "On.", "Stop. " + two + "Off.", clauses + "tail one.", "Head. " + clauses + "tail two.", "甲。" + han + "乙。", "丙。" + han + "丁。", "Short one. Bye.", "Short one. Hello."]
+def brute_spans(texts, least):
+    """Span dedup by plain loops over words."""
+    alone = lambda c: any(lo <= ord(c) <= hi for lo, hi in substrings.UNSPACED)
+    space, seen, out = " \t\n\x0b\x0c\r", set(), []
+    for t in texts:
+        spans, i = [], 0
+        while i < len(t):
+            if t[i] in space:
+                i += 1
+                continue
+            j = i + 1
+            while not alone(t[i]) and j < len(t) and t[j] not in space and not alone(t[j]):
+                j += 1
+            spans.append((i, j))
+            i = j
+        units, unit, since = [], [], 0
+        for k, (a, b) in enumerate(spans):
+            unit.append(k)
+            since += 1
+            cut = t[b - 1] in substrings.STOPS or (31 * ord(t[b - 1]) + 17 * (b - a)) % substrings.CUT == 0
+            if cut or since % substrings.UNIT == 0 or k == len(spans) - 1:
+                units.append(unit)
+                unit = []
+            if cut:
+                since = 0
+        fold = lambda k: "".join(c.lower() if c.isascii() else c for c in t[slice(*spans[k])])
+        gone = set()
+        for a in range(len(units)):
+            n = 0
+            for b in range(a, len(units)):
+                n += len(units[b])
+                if n >= least:
+                    key = tuple(fold(k) for u in units[a : b + 1] for k in u)
+                    if key in seen:
+                        gone |= set(range(a, b + 1))
+                    seen.add(key)
+                    break
+        begin = [0 if u == 0 else spans[units[u][0]][0] for u in range(len(units))] + [len(t)]
+        out.append(("".join(t[begin[u] : begin[u + 1]] for u in range(len(units)) if u not in gone) if gone else t, len(units), len(gone)))
+    return out
+
+
+def test_planted_passages_and_short_fragments(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("aeioubcdfgh") for _ in range(rnd.randrange(1, 9)))
+    prose = lambda n: " ".join(word() + rnd.choice(["", "", "", "", "", ",", ".", "!\n"]) for _ in range(n))
+    passages = [" ".join(word() for _ in range(rnd.randrange(51, 80))) if i % 2 else prose(rnd.randrange(51, 80)) for i in range(15)]
+    fragments = [prose(rnd.randrange(3, 29)) for _ in range(15)] + ["No. 1. A.", "Other. Words. Here. Again."]
+    texts, planted = [], set()
+    for i in range(160):
+        t = [prose(rnd.randrange(5, 60))]
+        if i % 4 == 0:
+            t.append(passages[i // 4 % 15].upper() if i % 3 else passages[i // 4 % 15])
+            if i >= 60:
+                planted.add(i)
+        elif i % 4 == 1:
+            t.append(rnd.choice(fragments))
+        texts.append(" ".join([*t, prose(rnd.randrange(5, 60))]))
+    texts += ["甲乙。" + "这是一个很长的句子用来检查没有空格的文字里重复的段落" * 2, "丙丁。" + "这是一个很长的句子用来检查没有空格的文字里重复的段落" * 2, "", "one"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    left = {r["doc_id"]: r["text"] for r in substrings.dedup_spans(docs, words=20).collect()}
-    assert left == dict(enumerate(texts)) | {1: "Other start. End b.", 3: "Stop. Off.", 5: "Head. tail two.", 7: "丙。丁。"}
+    got = {r["doc_id"]: r for r in substrings.dedup_spans(docs).collect()}
+    assert [(got[i]["text"], got[i]["n_sentences"], got[i]["n_removed"]) for i in range(len(texts))] == brute_spans(texts, substrings.SPAN_WORDS)
+    hit = {i for i in range(160) if got[i]["n_removed"]}
+    assert len(hit & planted) >= 0.95 * len(planted) and hit <= planted and got[161]["n_removed"] and not got[160]["n_removed"]
 
 
 def test_archives(spark, tmp_path):
@@ -201,11 +335,13 @@ def test_unigram_viterbi_is_the_best_sum():
         assert abs(sum(v.score_at_rank[ranks]) - best[-1]) < 1e-6
 
 
-def test_offending_sentences():
+def test_offending_sentences(spark):
     texts = [f"A calm line {i}. You are a {'moron' if i % 2 else 'friend'} today. End." for i in range(60)]
-    m = toxicity.fit(texts, np.array([i % 2 for i in range(60)], float), np.ones(60))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    m = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
     s_doc, lo, hi, z = toxicity.sentence_scores(["Fine words. You moron here. Bye."], m)
     assert [("Fine words. You moron here. Bye."[a:b]).strip() for a, b, x in zip(lo, hi, z) if x > 0] == ["You moron here."]
+    assert toxicity.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).bias == toxicity.NEVER
 
 
 def test_profiles_are_exact_sums():
