@@ -36,4 +36,10 @@ MOJIBAKE = "ÌÎÁÂÃÄÅÆÇÈÉ"
 DEFAULT_TITLE, SOURCE_LABEL = "Новость промышленности", "Источник: "
 CHROME = ["script", "style", "nav", "header", "footer", "aside", "form", "button", "noscript"]
 GENERIC_SELECTORS = ["article p", "main p", ".entry-content p", ".post-content p", ".article p", ".news p", ".content p", "div[itemprop='articleBody'] p", "div[class*='content'] p", "div[class*='text'] p", "div[class*='article'] p"]
+LISTING_PAGES = [
+    "https://promvest.info/ru/novosti-promyishlennosti", "https://promvest.info/ru/novosti-kompaniy", "https://promvest.info/ru/novosti-avtoproma", "https://promvest.info/ru/novosti-metallurgii",
+    "https://promvest.info/ru/novosti-mashinostroeniya", "https://promvest.info/ru/novosti-energetiki", "https://www.nornickel.ru/news-and-media/press-releases-and-news", "https://nornickel.ru/news-and-media/press-releases-and-news",
+]
+LINK_SERVICE = ["Читать далее", "Подробнее", "Проновости", "Новости", "Добыча", "Металлургия", "Геология", "Нефтегаз"]
+LINK_HEADS = ["h1", "h2", "h3", "h4", ".title", ".entry-title"]
 # ----------------------------------------------------------------------------------------------

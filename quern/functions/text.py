@@ -95,6 +95,10 @@ def tidy(text: Column) -> Column:
     return squeezed(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r" +([,.!?;:])", "$1"))
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def upper_ratio(text: Column) -> Column:
     upper = lambda x: F.length(F.regexp_replace(x, r"[^\p{Lu}]", ""))
     return let(F.regexp_replace(text, r"[^\p{L}]", ""), lambda x: F.when(F.length(x) > 0, upper(x) / F.length(x)))
@@ -142,17 +146,22 @@ def remove_contacts(text: Column) -> Column:
 
 
 def remove_repeated_title(text: Column, title: Column | None = None) -> Column:
-    t = F.regexp_replace(F.regexp_replace(_or_empty(text), r"(?iuU)^(Заголовок:\s*)+", ""), r"(?U)^\s+|\s+$", "")
-    if title is None:
-        return t
+    """The text without a leading repeat of ``title``, which is normalised first."""
+    return without_head(text, None if title is None else normalize_title(title))
 
 
+def without_head(text: Column, head: Column | None = None) -> Column:
+    """The text without a leading repeat of a title that is normalised already."""
+    t = stripped(F.regexp_replace(_or_empty(text), r"(?iuU)^(Заголовок:\s*)+", ""))
+    if head is None:
+        return t
+
     def without(v: Column) -> Column:
         n = F.length(v["head"])
-        again = F.startswith(F.lower(v["t"]), F.lower(v["head"])) & F.rlike(F.substr(v["t"], n + 1, F.lit(1)), F.lit(r"(?U)\s"))
-        return F.when(again, F.regexp_replace(F.substr(v["t"], n + 1), r"(?U)^\s+|\s+$", "")).otherwise(v["t"])
+        again = (n > 0) & F.startswith(F.lower(v["t"]), F.lower(v["head"])) & F.rlike(F.substr(v["t"], n + 1, F.lit(1)), F.lit(r"(?U)\s"))
+        return F.when(again, stripped(F.substr(v["t"], n + 1))).otherwise(v["t"])
 
-    return let(F.struct(t.alias("t"), normalize_title(title).alias("head")), without)
+    return let(F.struct(t.alias("t"), _or_empty(head).alias("head")), without)
 
 
 def split_sentences(text: Column) -> Column:
@@ -179,7 +188,13 @@ def remove_duplicate_sentences(text: Column) -> Column:
 
 
 def normalize_article_text(text: Column, title: Column | None = None) -> Column:
-    t = remove_repeated_title(clean_text(text), title)
+    return normalized_clean(clean_text(text), None if title is None else normalize_title(title))
+
+
+def normalized_clean(text: Column, head: Column | None = None) -> Column:
+    """``normalize_article_text`` of a text without markup, with a normalised title; columns only, so that
+    it also runs on the elements of arrays."""
+    t = without_head(text, head)
     return tidy(remove_duplicate_sentences(remove_contacts(remove_dateline(remove_boilerplate(t)))))
 
 
@@ -192,13 +207,14 @@ def is_bad_paragraph(text: Column, phrases: Sequence[str] = fixed.BAD_PARAGRAPHS
     return let(_or_empty(text), bad)
 
 
-def filter_paragraphs(paragraphs: Column) -> Column:
-    """Paragraphs that were normalised, less the bad ones and repeats."""
-    return first_by_key(F.filter(paragraphs, lambda p: ~is_bad_paragraph(p)), key_of)
+def filter_paragraphs(paragraphs: Column, head: Column | None = None) -> Column:
+    """Paragraphs without markup, normalised, less the bad ones and repeats."""
+    clean = F.transform(paragraphs, lambda p: normalized_clean(p, head))
+    return first_by_key(F.filter(clean, lambda p: ~is_bad_paragraph(p)), key_of)
 
 
 def is_title_fragment(text: Column, title: Column) -> Column:
-    bare = lambda c: squeezed(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", ""))
+    bare = lambda c: squeezed(F.regexp_replace(F.lower(c), r"[«»\"'.,:;!?()\[\]—-]", " "))
     a, b = F.lower(text), F.lower(title)
     inside = lambda x, y: (x == y) | ((F.length(x) > 20) & F.contains(y, x)) | F.contains(x, y)
     return (F.length(text) > 0) & (F.length(title) > 0) & (inside(a, b) | inside(bare(a), bare(b)))

@@ -46,9 +46,9 @@ def is_bad(url: Column, parts=fixed.BAD_LINK_URLS) -> Column:
     return contains_any(F.lower(url), parts)
 
 
-def is_listing(url: Column, pages: list[str]) -> Column:
+def is_listing(url: Column, pages: list[str] = fixed.LISTING_PAGES) -> Column:
     return F.rtrim(F.lower(url), F.lit("/")).isin([p.lower().rstrip("/") for p in pages])
 
 
-def is_probably_article(url: Column, listing: list[str] | None = None, parts=fixed.ARTICLE_URLS, bad=fixed.BAD_LINK_URLS) -> Column:
-    return ~is_bad(url, bad) & ~is_listing(url, listing or [""]) & contains_any(F.lower(url), parts)
+def is_probably_article(url: Column, listing: list[str] = fixed.LISTING_PAGES, parts=fixed.ARTICLE_URLS, bad=fixed.BAD_LINK_URLS) -> Column:
+    return ~is_bad(url, bad) & ~is_listing(url, listing) & contains_any(F.lower(url), parts)

@@ -38,8 +38,8 @@ def encoder(name: Callable[[list[str]], np.ndarray] | None = None, dims: int = 2
         out = np.zeros((len(texts), dims))
         for i, t in enumerate(texts):
             for w in (t or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % dims] += 1.0 if h >> 63 else -1.0
+                h = hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()
+                out[i, int(h[:7], 16) % dims] += 1.0 if h[7] >= "8" else -1.0
         return out
 
     make = name or hashed

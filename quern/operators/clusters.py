@@ -43,6 +43,16 @@ def ranked_members(news: DataFrame, key: str = "cluster_id", most: int | None =
     return out if most is None else out.where(F.col("rn") <= most)
 
 
+def members_of(news: DataFrame, cluster_id: int, nulls_first: bool = False) -> DataFrame:
+    """One cluster's members by time of publication, for reports."""
+    at = F.col("published_at")
+    return news.where(F.col("cluster_id") == cluster_id).orderBy(at.asc_nulls_first() if nulls_first else at.asc_nulls_last(), "id")
+
+
+def by_id(clusters: DataFrame, cluster_id: int) -> DataFrame:
+    return clusters.where(F.col("cluster_id") == cluster_id)
+
+
 def titles(news: DataFrame, key: str = "cluster_id") -> DataFrame:
     """A title per cluster: the primary member's, or the first member's that has one."""
     given = F.when(F.col("title") != "", F.col("title"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -60,72 +61,90 @@ def key(s: str) -> str:
     return " ".join(re.sub("[^а-яa-z0-9 ]", "", s.lower().replace("ё", "е")).split())
 
 
-def starts_badly(s: str) -> bool:
-    return key(s).startswith(tuple(fixed.BAD_STARTS))
+class Sentence:
+    """A sentence with what its tests need, worked out once."""
 
+    def __init__(self, text: str):
+        self.text, self.low, self.key = text, text.lower(), key(text)
+        self.starts_badly = self.key.startswith(tuple(fixed.BAD_STARTS))
+        self.bad = self.starts_badly or any(p in self.low for p in fixed.BAD_CONTEXT) or self.key.startswith(tuple(fixed.PRONOUNS))
 
-def is_bad(s: str) -> bool:
-    low = s.lower()
-    return starts_badly(s) or any(p in low for p in fixed.BAD_CONTEXT) or key(s).startswith(tuple(fixed.PRONOUNS))
+    @cached_property
+    def words(self) -> set[str]:
+        return {w for w in self.key.split() if len(w) > 2 and w not in fixed.STOP_WORDS}
 
+    @property
+    def bonus(self) -> float:
+        low, s = self.low, self.text
+        said = [(0.08, any(w in low for w in fixed.FACT_WORDS)), (0.04, re.search(r"\d", s)), (0.03, re.search("[А-ЯЁ][а-яё]+", s)), (-0.10, self.starts_badly), (-0.03, "сообщил" in low), (-0.04, "по словам" in low)]
+        return sum(v for v, true in said if true)
 
-def words(s: str) -> set[str]:
-    return {w for w in key(s).split() if len(w) > 2 and w not in fixed.STOP_WORDS}
+    def like(self, other: Sentence) -> bool:
+        """Keys that contain one another, or mostly the same words."""
+        if not self.key or not other.key:
+            return False
+        if self.key in other.key or other.key in self.key:
+            return True
+        a, b = self.words, other.words
+        if not a or not b:
+            return False
+        both = a & b
+        share = len(both) / min(len(a), len(b))
+        return len(both) / len(a | b) >= 0.55 or share >= 0.7 or (share >= 0.55 and sum(len(w) >= 6 for w in both) >= 5)
 
 
 def too_similar(a: str, b: str) -> bool:
-    ka, kb = key(a), key(b)
-    if not ka or not kb:
-        return False
-    if ka in kb or kb in ka:
-        return True
-    wa, wb = words(a), words(b)
-    if not wa or not wb:
-        return False
-    both = wa & wb
-    share = len(both) / min(len(wa), len(wb))
-    return len(both) / len(wa | wb) >= 0.55 or share >= 0.7 or (share >= 0.55 and sum(len(w) >= 6 for w in both) >= 5)
-
-
-def bonus(s: str) -> float:
-    low = s.lower()
-    said = [(0.08, any(w in low for w in fixed.FACT_WORDS)), (0.04, re.search(r"\d", s)), (0.03, re.search("[А-ЯЁ][а-яё]+", s)), (-0.10, starts_badly(s)), (-0.03, "сообщил" in low), (-0.04, "по словам" in low)]
-    return sum(v for v, true in said if true)
-
-
-def similarity(sentences: list[str], max_df: float = 0.95) -> np.ndarray | None:
-    """Cosines of TF-IDF vectors; None when every term was left out."""
-    counts = []
-    for s in sentences:
-        w = re.findall(r"\b\w\w+\b", s.lower())
-        counts.append(Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]))
-    n, df = len(sentences), Counter(t for c in counts for t in c)
-    column = {t: i for i, t in enumerate(t for t, d in df.items() if d <= max_df * n)}
-    if not column:
+    return Sentence(a).like(Sentence(b))
+
+
+@dataclass
+class Weights:
+    """TF-IDF rows of unit length: entry k has row[k], term[k] and value[k]."""
+
+    n: int
+    row: np.ndarray
+    term: np.ndarray
+    value: np.ndarray
+
+    def similar(self, x: np.ndarray) -> np.ndarray:
+        """The matrix of cosines times ``x``, without making it: by terms and back by rows."""
+        by_term = np.bincount(self.term, weights=self.value * x[self.row])
+        return np.bincount(self.row, weights=self.value * by_term[self.term], minlength=self.n)
+
+
+_TERM = re.compile(r"\b\w\w+\b")
+
+
+def weights(sentences: list[str], max_df: float = 0.95) -> Weights | None:
+    """TF-IDF of words and pairs of words; None when every term was left out."""
+    terms: dict[str, int] = {}
+    rows, ids = [], []
+    for i, s in enumerate(sentences):
+        w = _TERM.findall(s.lower())
+        for t in w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]:
+            ids.append(terms.setdefault(t, len(terms)))
+        rows.append(np.full(max(0, 2 * len(w) - 1), i))
+    n, m = len(sentences), len(terms)
+    if not m:
+        return None
+    pair, count = np.unique(np.concatenate(rows) * m + np.array(ids), return_counts=True)
+    row, term = pair // m, pair % m
+    df = np.bincount(term, minlength=m)
+    kept = df[term] <= max_df * n
+    if not kept.any():
         return None
-    norms, postings = np.zeros(n), {}
-    for i, c in enumerate(counts):
-        for t, k in c.items():
-            if t in column:
-                w = k * (np.log((1 + n) / (1 + df[t])) + 1)
-                norms[i] += w * w
-                postings.setdefault(t, []).append((i, w))
-    out = np.zeros((n, n))
-    for held in postings.values():
-        i, w = np.array([p[0] for p in held]), np.array([p[1] for p in held])
-        out[np.ix_(i, i)] += np.outer(w, w)
-    norms = np.sqrt(norms)
-    size = np.outer(norms, norms)
-    return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
-
-
-def pagerank(weights: np.ndarray, damping: float = 0.85, rounds: int = 100, tol: float = 1e-6) -> np.ndarray:
-    n = len(weights)
-    total = weights.sum(axis=1)
-    step = np.divide(weights, total[:, None], out=np.zeros_like(weights), where=total[:, None] > 0)
+    row, term, value = row[kept], term[kept], count[kept] * (np.log((1 + n) / (1 + df[term[kept]])) + 1)
+    norm = np.sqrt(np.bincount(row, weights=value * value, minlength=n))
+    return Weights(n, row, term, value / norm[row])
+
+
+def pagerank(w: Weights, damping: float = 0.85, rounds: int = 100, tol: float = 1e-6) -> np.ndarray:
+    n, total = w.n, w.similar(np.ones(w.n))
+    alone = total <= 0
     x = np.full(n, 1 / n)
     for _ in range(rounds):
-        new = damping * (x @ step + x[total == 0].sum() / n) + (1 - damping) / n
+        share = np.divide(x, total, out=np.zeros(n), where=~alone)
+        new = damping * (w.similar(share) + x[alone].sum() / n) + (1 - damping) / n
         if np.abs(new - x).sum() < n * tol:
             return new
         x = new
@@ -160,32 +179,28 @@ def summarize(sentences: list[str], title: str | None = None, count: int = 4, mo
                 if len(s) >= 45:
                     kept.append(s)
         sentences = kept
-    sentences = _first_of_key(sentences)
-    if not sentences:
+    first: dict[str, Sentence] = {}
+    for s in map(Sentence, sentences):
+        first.setdefault(s.key, s)
+    held = list(first.values())
+    if not held:
         return ""
-    sentences = [s for s in sentences if not is_bad(s)] or sentences
-    if len(sentences) == 1:
-        return limited(sentences[0], most)
-    near = similarity(sentences)
-    rank = pagerank(near) if near is not None else np.full(len(sentences), 1 / len(sentences))
-    scored = sorted(((rank[i] + bonus(s) + (0.10 if i == 0 else 0.0), i, s) for i, s in enumerate(sentences)), reverse=True)
-    chosen: list[tuple[int, str]] = []
-    lead = next(((i, s) for i, s in enumerate(sentences[:4]) if not starts_badly(s)), None)
-    if lead and not is_bad(lead[1]):
+    held = [s for s in held if not s.bad] or held
+    if len(held) == 1:
+        return limited(held[0].text, most)
+    w = weights([s.text for s in held])
+    rank = pagerank(w) if w is not None else np.full(len(held), 1 / len(held))
+    scored = sorted(((rank[i] + s.bonus + (0.10 if i == 0 else 0.0), i, s.text) for i, s in enumerate(held)), reverse=True)
+    chosen: list[int] = []
+    lead = next((i for i, s in enumerate(held[:4]) if not s.starts_badly), None)
+    if lead is not None and not held[lead].bad:
         chosen.append(lead)
-    for i, s in [(i, s) for _, i, s in scored] + list(enumerate(sentences)):
+    for i in [i for _, i, _ in scored] + list(range(len(held))):
         if len(chosen) >= count:
             break
-        if not is_bad(s) and not any(too_similar(s, t) for _, t in chosen):
-            chosen.append((i, s))
-    if not chosen:
-        chosen = [scored[0][1:]]
-    return fitted([s for _, s in sorted(chosen, key=lambda c: c[0])], most)
-
-
-def _first_of_key(sentences: list[str]) -> list[str]:
-    seen: set[str] = set()
-    return [s for s in sentences if not ((k := key(s)) in seen or seen.add(k))]
+        if not held[i].bad and not any(held[i].like(held[j]) for j in chosen):
+            chosen.append(i)
+    return fitted([held[i].text for i in sorted(chosen or [scored[0][1]])], most)
 
 
 def summaries(rows: DataFrame, id_: str, count: int = 4, most: int = 800) -> DataFrame:

@@ -62,7 +62,7 @@ def filter_text(members: DataFrame, clusters: DataFrame, most: int = 5) -> DataF
 
 
 def has_content(members: DataFrame, least: int = 200) -> DataFrame:
-    ok = (F.coalesce("title", F.lit("")) != "") & (F.length(T.squeezed(F.coalesce("text", F.lit("")))) > least)
+    ok = (F.coalesce("title", F.lit("")) != "") & (F.length(T.stripped(F.coalesce("text", F.lit("")))) > least)
     return members.groupBy("cluster_id").agg(F.max(ok).alias("has_content"))
 
 

@@ -35,6 +35,7 @@ def _contains(col: str, needles: list[str]) -> str:
 
 VALID_SQL = f"(title <> '' AND url <> '' AND length(text) >= 250 AND NOT ({_contains('title', TITLES)} OR {_contains('url', URLS)} OR {_contains('text', CONTENT)}))"
 KEY_SQL = "trim(regexp_replace(lower(text), '[^а-яёa-z0-9]+', ' ', 'g'))"
+BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
 SQUEEZE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 QUERIES, ORACLES = {}, {}
 
@@ -115,10 +116,16 @@ def boilerplate_cut(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(T.remove_boilerplate(F.col("text"), CUTS).cast("binary")).alias("text_md5"))
 
 
-@query()
+_CONTACT_TEXT = "regexp_replace(coalesce(text, ''), '[^\\x20-\\x7E\\t\\r\\n]', '~', 'g')"
+
+
+@query(f"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_CONTACT_TEXT}, '\\+?[0-9][0-9\\s().-]{{7,}}[0-9]', ' ', 'g'),
+'[\\w.-]+@[\\w.-]+\\.\\w+', ' ', 'g'), '\\bwww\\.[^\\s]+', ' ', 'g'), '\\bhttps?://[^\\s]+', ' ', 'g'), 'zzz', ' ', 'g'), 'zzz', ' ', 'g'), '(?i)\\be-mail:?', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_md5 FROM documents""")
 def contacts_removed(spark: SparkSession, d: str) -> DataFrame:
-    """RE2's word classes are ASCII where the rule's are Unicode, so there is no SQL for this."""
-    return table(spark, d, "documents").select("doc_id", F.md5(T.remove_contacts(F.col("text")).cast("binary")).alias("text_md5"))
+    """Over texts whose characters beyond ASCII are masked: RE2's word classes are ASCII where the rule's are
+    Unicode, so only then do both mean the same."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E\t\r\n]", "~")
+    return table(spark, d, "documents").select("doc_id", F.md5(T.remove_contacts(plain).cast("binary")).alias("text_md5"))
 
 
 _HIGH = [i for i in range(0x80, 0x100) if i != 0x98]
@@ -204,16 +211,27 @@ def pairwise_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaders(spark: SparkSession, d: str, threshold: float) -> DataFrame:
-    rows = table(spark, d, "embeddings").withColumn("at", F.col("vec_id"))
-    return C.leader_clusters(rows, threshold, "at", "vec_id", "label").withColumn("score", F.round("score", 6))
+    rows = table(spark, d, "embeddings").withColumns({"at": F.col("vec_id"), "every": F.lit("all")})
+    return C.leader_clusters(rows, threshold, "at", "vec_id", "every").select("vec_id", "leader", F.round("score", 6).alias("score"))
 
 
-@query()
+def _leaders_sql(threshold: float) -> str:
+    """One vector after the other: the state is a list of clusters with the sum of their vectors."""
+    return f"""WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+walk AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS vec_id, NULL::BIGINT AS leader, 0.0::DOUBLE AS score, []::STRUCT(id BIGINT, s DOUBLE[])[] AS state
+UNION ALL SELECT i, vec_id, CASE WHEN hit THEN state[best].id ELSE vec_id END, greatest(top, 0.0),
+  CASE WHEN hit THEN list_transform(state, lambda c, k: CASE WHEN k = best THEN struct_pack(id := c.id, s := list_transform(list_zip(c.s, v), lambda p: p[1] + p[2])) ELSE c END) ELSE list_append(state, struct_pack(id := vec_id, s := v)) END
+FROM (SELECT *, coalesce(best > 0 AND top > 0 AND top >= {threshold}, false) AS hit FROM (SELECT e.i, e.vec_id, v, state, coalesce(list_max(scores), 0.0) AS top, coalesce(list_position(scores, list_max(scores)), 0) AS best
+  FROM (SELECT e.*, w.state, list_transform(w.state, lambda c: list_cosine_similarity(c.s, e.v)) AS scores FROM walk w JOIN e ON e.i = w.i + 1) e)))
+SELECT vec_id, leader, round(score, 6) AS score FROM walk WHERE i > 0"""
+
+
+@query(_leaders_sql(0.3))
 def leader_clustering_t03(spark: SparkSession, d: str) -> DataFrame:
     return _leaders(spark, d, 0.3)
 
 
-@query()
+@query(_leaders_sql(0.7))
 def leader_clustering_t07(spark: SparkSession, d: str) -> DataFrame:
     return _leaders(spark, d, 0.7)
 
@@ -242,7 +260,7 @@ def member_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _summaries(spark: SparkSession, d: str) -> DataFrame:
-    rows = news(spark, d).select("id", "title", S.summary_sentences(T.remove_duplicate_sentences(F.col("text"))).alias("sentences"))
+    rows = news(spark, d).select("id", "title", S.summary_sentences(T.normalize_article_text(F.col("text"))).alias("sentences"))
     return S.summaries(rows, "id")
 
 
@@ -252,18 +270,20 @@ def textrank_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 TAGS = [("trade", [1.0, 0.0], ["tion", "ment", "tion"], ["der"]), ("power", [0.6, 0.8], ["heit", "keit", "th"], ["que"]), ("metal", [0.0, 1.0], ["que", "eau", "los", "de"], ["the "])]
-_VECTOR = (0.8, 0.6)
+#: A vector of each text's own, that any SQL engine can make.
+_VECTOR = ("cast(id % 7 + 1 AS double)", "cast(length(text) % 5 + 0.5 AS double)")
+_VECTOR_SQL = "[(id % 7 + 1)::DOUBLE, length(text) % 5 + 0.5::DOUBLE]"
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = news(spark, d).select("id", T.lemmatized(F.col("text")).alias("text"), F.array(*map(F.lit, _VECTOR)).alias("vector"))
+    rows = news(spark, d).select("id", T.lemmatized(F.col("text")).alias("text"), F.array(*map(F.expr, _VECTOR)).alias("vector"))
     return G.scored(rows, [dict(tag=t, vector=v, positive=p, negative=n) for t, v, p, n in TAGS], "id")
 
 
 _N = "trim(regexp_replace(regexp_replace(replace(lower(text), 'ё', 'е'), '[^а-яa-z0-9\\-. ]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _COUNT = lambda ks: " + ".join(f"contains(t, '{k}')::INTEGER" for k in ks)
-_SCORES = f"{NEWS_SQL}, t AS (SELECT id, {_N} AS t FROM news), s AS (" + " UNION ALL ".join(
-    f"SELECT id, '{t}' AS tag, {i} AS ord, {round((0.8 * v[0] + 0.6 * v[1]) / (v[0] ** 2 + v[1] ** 2) ** 0.5, 9)} AS embedding_score, least(0.03 * ({_COUNT(p)}), 0.09)::DOUBLE AS keyword_boost, least(0.05 * ({_COUNT(n)}), 0.15)::DOUBLE AS keyword_penalty FROM t"
+_SCORES = f"{NEWS_SQL}, t AS (SELECT id, {_VECTOR_SQL} AS v, {_N} AS t FROM news), s AS (" + " UNION ALL ".join(
+    f"SELECT id, '{t}' AS tag, {i} AS ord, list_cosine_similarity(v, {v}::DOUBLE[]) AS embedding_score, least(0.03 * ({_COUNT(p)}), 0.09)::DOUBLE AS keyword_boost, least(0.05 * ({_COUNT(n)}), 0.15)::DOUBLE AS keyword_penalty FROM t"
     for i, (t, v, p, n) in enumerate(TAGS)
 ) + "), z AS (SELECT *, round(embedding_score + keyword_boost - keyword_penalty, 6) AS final_score FROM s)"
 
@@ -284,7 +304,7 @@ FOREIGN, HOME, BANNED = ["worthless", "idiot"], ["the", "und"], ["token"]
 
 
 @query(f"""WITH {NEWS_SQL}, {CLUSTERS_SQL}, m AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY {ORDER_SQL}) AS rn FROM news),
-p AS (SELECT cluster_id, string_agg(concat_ws(' ', nullif(title, ''), nullif(trim(substr({SQUEEZE.format('text')}, 1, 4000)), ''), url), ' ' ORDER BY rn) AS f, bool_or(title <> '' AND length({SQUEEZE.format('text')}) > 200) AS has_content FROM m GROUP BY cluster_id),
+p AS (SELECT cluster_id, string_agg(concat_ws(' ', nullif(title, ''), nullif(trim(substr({SQUEEZE.format('text')}, 1, 4000)), ''), url), ' ' ORDER BY rn) AS f, bool_or(title <> '' AND length(trim(text, {BLANKS})) > 200) AS has_content FROM m GROUP BY cluster_id),
 x AS (SELECT c.cluster_id, has_content, tags, {_N.replace('text', "concat_ws(' ', nullif(c.title, ''), nullif(summary_text, ''), f)")} AS t FROM clusters c LEFT JOIN p USING (cluster_id))
 SELECT cluster_id, CASE WHEN ({' OR '.join(f"contains(t, '{k}')" for k in FOREIGN)}) AND NOT ({' OR '.join(f"contains(t, '{k}')" for k in HOME)}) OR NOT coalesce(has_content, false) OR contains(t, 'token') OR tags IS NULL THEN 'not_for_publication' ELSE 'ready' END AS decision FROM x""")
 def publish_decision(spark: SparkSession, d: str) -> DataFrame:
@@ -353,12 +373,15 @@ def due_for_tags(spark: SparkSession, d: str) -> DataFrame:
     return L.to_tag(clusters(spark, d)).select("cluster_id", "status")
 
 
-@query()
+@query(f"""WITH {NEWS_SQL}, w AS (SELECT id, md5(unnest(regexp_extract_all(lower(concat_ws('. ', title, text)), '\\S+'))) AS h FROM news),
+c AS (SELECT id, ('0x' || substr(h, 1, 7))::BIGINT % 32 AS i, sum(CASE WHEN substr(h, 8, 1) >= '8' THEN 1.0 ELSE -1.0 END) AS x FROM w GROUP BY ALL),
+v AS (SELECT id, list_transform(range(32), lambda i: coalesce(list_extract(map_values(map_from_entries(list_filter(l, lambda e: e.k = i))), 1), 0.0)) AS v FROM (SELECT id, list(struct_pack(k := i, v := x)) AS l FROM c GROUP BY id))
+SELECT id, len(v) AS dims, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first, round(v[32] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS last FROM v WHERE list_sum(list_transform(v, lambda x: x * x)) > 0""")
 def encoded_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Titles as vectors of the default encoder, with their likeness to the first tag's words."""
+    """Titles and texts as vectors of the default encoder: their first and last numbers."""
     encode = V.encoder(dims=32)
-    n = news(spark, d).select("id", encode(F.concat_ws(". ", "title", "text")).alias("v"))
-    return n.select("id", F.round(V.norm(F.col("v")), 6).alias("norm"), F.size("v").alias("dims"))
+    n = news(spark, d).select("id", encode(F.concat_ws(". ", "title", "text")).alias("v")).where(V.norm(F.col("v")) > 0)
+    return n.select("id", F.size("v").cast("long").alias("dims"), F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(31)), 6).alias("last"))
 
 
 @query()

@@ -22,6 +22,9 @@ from quern.operators import tags as G
 NEWS = "id long, source string, title string, url string, text string, published_at timestamp, collected_at timestamp, cluster_id long, is_primary boolean, embedding array<double>"
 CLUSTERS = "cluster_id long, title string, summary_text string, tags string, status string, cluster_size long, created_at timestamp, updated_at timestamp"
 
+#: Characters of each member's text that a cluster's summary reads.
+MOST_MEMBER_CHARS = 2500
+
 
 @dataclass
 class Rules:
@@ -105,7 +108,7 @@ def summarised(clusters: DataFrame, news: DataFrame, as_of, rules: Rules) -> Dat
     cluster without any text stays without; one without fit sentences gets ''."""
     due = L.to_summarize(clusters).select("cluster_id")
     mine = news.join(due, "cluster_id", "left_semi")
-    part = F.concat_ws("\n", F.nullif("title", F.lit("")), F.nullif("text", F.lit("")))
+    part = F.concat_ws("\n", F.nullif("title", F.lit("")), F.nullif(F.substring("text", 1, MOST_MEMBER_CHARS), F.lit("")))
     texts = C.ranked_members(mine).groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("rn", part.alias("t")))).alias("m"))
     texts = texts.select("cluster_id", F.array_join(F.transform("m", lambda x: x["t"]), "\n").alias("t")).where("trim(t) <> ''")
     rows = texts.join(C.titles(mine), "cluster_id").select("cluster_id", "title", S.summary_sentences(T.normalize_article_text(F.col("t"))).alias("sentences"))

@@ -17,7 +17,7 @@ def rss_previews(feeds: DataFrame, limit: int = 10) -> DataFrame:
     rows = feeds.select("source", F.posexplode(F.slice(items, 1, limit)).alias("pos", "item"))
     e = rows.withColumn("e", F.from_xml("item", ITEM, {"rowTag": "item"}))
     text = F.coalesce(*(F.nullif(F.col(f"e.{c}"), F.lit("")) for c in ("summary", "description", "content")), F.lit(""))
-    out = e.select("source", "pos", T.normalize_title(F.col("e.title"), F.col("source")).alias("title"), F.col("e.link").alias("url"), T.rss_datetime(F.coalesce("e.pubDate", "e.updated")).alias("published_at"), text.alias("text"))
+    out = e.select("source", "pos", T.normalize_title(F.col("e.title"), F.col("source")).alias("title"), F.col("e.link").alias("url"), T.rss_datetime(F.coalesce("e.pubDate", "e.updated")).alias("published_at"), T.normalize_article_text(text).alias("text"))
     return out.where("title <> '' and url <> ''")
 
 

@@ -99,11 +99,39 @@ def _fits(n: Node, step: str) -> bool:
     return True
 
 
+class Index:
+    """The nodes of a page by tag, in page order, and the texts of nodes: worked out once for all selectors."""
+
+    def __init__(self, root: Node):
+        self.nodes = [n for n in root.walk() if n.tag]
+        self.of: dict[str, list[Node]] = {}
+        for n in self.nodes:
+            self.of.setdefault(n.tag, []).append(n)
+        self.texts: dict[int, str] = {}
+
+    def text(self, n: Node) -> str:
+        if id(n) not in self.texts:
+            self.texts[id(n)] = " ".join(n.text().split())
+        return self.texts[id(n)]
+
+    def select(self, selector: str) -> list[Node]:
+        tag = _STEP.fullmatch(selector.split()[-1]).group(1)
+        return _matching(self.of.get(tag, []) if tag and tag != "*" else self.nodes, selector)
+
+
 def select(root: Node, selector: str) -> list[Node]:
-    """Nodes in page order for a selector of descendant steps (tag, .class, #id, [a='v'], [a*='v'])."""
+    """Nodes in page order for a selector of descendant steps (tag, .class, #id, [a='v'], [a*='v']), or
+    for several selectors between commas."""
+    if "," in selector:
+        wanted = {id(n) for one in selector.split(",") for n in select(root, one.strip())}
+        return [n for n in root.walk() if id(n) in wanted]
+    return _matching(root.walk(), selector)
+
+
+def _matching(nodes, selector: str) -> list[Node]:
     steps = selector.split()
     out = []
-    for n in root.walk():
+    for n in nodes:
         if n.tag and _fits(n, steps[-1]):
             i, up = len(steps) - 2, n.up
             while i >= 0 and up is not None:
@@ -116,13 +144,18 @@ def select(root: Node, selector: str) -> list[Node]:
 
 @dataclass(frozen=True)
 class Rule:
-    """How to take the text of pages whose domain contains ``domain`` ('' is any)."""
+    """How to take the text of pages whose host contains ``domain``, or one of several ('' is any).
+
+    ``mode``: ``paragraphs`` filters and normalises blocks; ``block`` does so with the paragraphs in a
+    selector's first node, or takes its whole text if it has none; ``joined`` normalises the blocks together;
+    ``trimmed`` does that after cutting the title out of them; ``plain`` is the title and the blocks as they are."""
 
-    domain: str = ""
+    domain: str | tuple[str, ...] = ""
     selectors: tuple[str, ...] = tuple(fixed.GENERIC_SELECTORS)
     least: int = 250
     any_paragraph: int | None = None  # least length of the page's paragraphs together, if they may serve
-    title: tuple[str, ...] = ("h1",)
+    title: tuple[str, ...] = ("h1", "meta[property='og:title']")
+    mode: str = "paragraphs"
     #: blocks dropped beforehand, and containers of which the first on the page is searched (else all of it)
     drop: tuple[str, ...] = ()
     container: tuple[str, ...] = ()
@@ -131,66 +164,110 @@ class Rule:
     unwanted: tuple[str, ...] = ()
     unwanted_pattern: str | None = None
     without_title: bool = False
-    #: the text is the title and the blocks as they are, each once
-    plain: bool = False
+    #: of the joined blocks, what stands behind the first pattern goes, and whatever the second one matches
+    cut_behind: str | None = None
+    without: str | None = None
+    then_generic: bool = False
     skip_titles: tuple[str, ...] = ()
 
+    def covers(self, url: str) -> bool:
+        host = urlsplit(url).netloc.lower()
+        return any(d in host for d in ((self.domain,) if isinstance(self.domain, str) else self.domain))
+
     def wanted(self, block: str, title: str) -> bool:
         low = block.lower()
         if len(block) < self.least_block or any(p in low for p in self.unwanted) or (self.without_title and low == title.lower()):
             return False
         return not (self.unwanted_pattern and re.search(self.unwanted_pattern, block))
 
-    def blocks(self, root: Node, selector: str, title: str) -> list[str]:
-        found = (" ".join(b.text().split()) for b in select(root, selector))
-        kept = [b for b in found if self.wanted(b, title)]
-        return list(dict.fromkeys([title, *kept] if self.plain and title else kept)) if self.plain or self.container else kept
+    def blocks(self, page: Index, selector: str, title: str) -> list[str]:
+        if self.mode == "block":
+            first = next(iter(page.select(selector)), None)
+            inner = [page.text(n) for n in select(first, "p")] if first else []
+            return inner or ([page.text(first)] if first else [])
+        found = page.select(selector) if "," not in selector else [n for n in page.nodes if any(_matching([n], x.strip()) for x in selector.split(","))]
+        kept = [b for b in map(page.text, found) if self.wanted(b, title)]
+        if self.mode == "paragraphs":
+            return kept
+        if self.mode == "plain":
+            return list(dict.fromkeys([title, *kept] if title else kept))
+        first: dict[str, str] = {}
+        for b in kept:
+            first.setdefault(b.lower(), b)
+        kept = list(first.values())
+        if self.cut_behind or self.without:
+            whole = " ".join(kept)
+            whole = re.split(self.cut_behind, whole, maxsplit=1)[0] if self.cut_behind else whole
+            kept = [re.sub(self.without, " ", whole) if self.without else whole]
+        return kept
 
 
 GENERIC = Rule()
+_CANDIDATE = pa.struct([("least", pa.int32()), ("mode", pa.string()), ("blocks", pa.list_(pa.string()))])
 
 
 def extract(pages: DataFrame, rules: tuple[Rule, ...] = (GENERIC,)) -> DataFrame:
     """(page_id, url, title, candidates): texts of the blocks of every selector of the page's rule,
     in the rule's order with its least length; the last may be all paragraphs."""
-    kind = pa.list_(pa.struct([("least", pa.int32()), ("plain", pa.bool_()), ("blocks", pa.list_(pa.string()))]))
+
+    def one(url: str, html: str | None) -> tuple[str, list[dict]]:
+        rule = next((r for r in rules if r.covers(url)), GENERIC)
+        root = parse(html)
+        heads = (h.attrs.get("content") or h.text() for s in rule.title for h in select(root, s)[:1])
+        title = next((h for h in heads if h.strip() and h.strip().lower() not in rule.skip_titles), "")
+        root.drop(fixed.CHROME)
+        for s in rule.drop:
+            for n in select(root, s):
+                n.up.children = [c for c in n.up.children if c is not n]
+        page = Index(next((n for s in rule.container for n in select(root, s)), root))
+        found = []
+        for r, page in ((rule, page), (GENERIC, Index(root))) if rule.then_generic else ((rule, page),):
+            tries = [(r.least, r.mode, r.blocks(page, s, title)) for s in r.selectors]
+            if r.mode == "trimmed":  # the first selector that matches anything
+                tries = [t for t in tries if t[2]][:1]
+            if r.any_paragraph:
+                tries.append((r.any_paragraph, "paragraphs", [page.text(n) for n in page.select("p")]))
+            found += [{"least": n, "mode": m, "blocks": b} for n, m, b in tries if b]
+        return title, found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            titles, found = [], []
-            for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                rule = next((r for r in rules if r.domain in (url or "")), GENERIC)
-                root = parse(html)
-                heads = (h.attrs.get("content") or h.text() for s in rule.title for h in select(root, s))
-                title = next((h for h in heads if h and h.strip().lower() not in rule.skip_titles), "")
-                titles.append(title)
-                root.drop(fixed.CHROME)
-                for s in rule.drop:
-                    for n in select(root, s):
-                        n.up.children = [c for c in n.up.children if c is not n]
-                root = next((n for s in rule.container for n in select(root, s)), root)
-                tries = [(rule.least, s) for s in rule.selectors] + ([(rule.any_paragraph, "p")] if rule.any_paragraph else [])
-                found.append([{"least": n, "plain": rule.plain, "blocks": rule.blocks(root, s, title)} for n, s in tries])
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(titles, pa.string()), pa.array(found, kind)], names=["page_id", "url", "title", "candidates"])
-
-    schema = "page_id long, url string, title string, candidates array<struct<least:int,plain:boolean,blocks:array<string>>>"
+            done = [one(url or "", html) for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)]
+            columns = [batch.column("page_id"), batch.column("url"), pa.array([t for t, _ in done], pa.string()), pa.array([c for _, c in done], pa.list_(_CANDIDATE))]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "title", "candidates"])
+
+    schema = "page_id long, url string, title string, candidates array<struct<least:int,mode:string,blocks:array<string>>>"
     return pages.select("page_id", "url", "html").mapInArrow(run, schema)
 
 
-def articles(pages: DataFrame, rules: tuple[Rule, ...] = (GENERIC,), fallback: Column | None = None) -> DataFrame:
-    """(page_id, url, title, text, text_source): the first selector whose cleaned paragraphs reach
-    its least length; else the feed's text (rss), else none."""
+def page_title(title: Column) -> Column:
+    """A page's or a link's title, normalised by columns alone."""
+    return T.normalize_title(title, clean=lambda c: T.tidy(T.fix_encoding(c)))
+
+
+def preview_title(title: Column, source: Column) -> Column:
+    return T.normalize_title(title, source, clean=lambda c: T.tidy(T.fix_encoding(c)))
 
-    def cleaned(blocks: Column) -> Column:
-        parts = F.transform(blocks, lambda b: T.remove_duplicate_sentences(T.remove_contacts(T.remove_dateline(T.remove_boilerplate(T.tidy(b))))))
-        return T.cut_related(T.tidy(T.remove_duplicate_sentences(F.array_join(T.filter_paragraphs(parts), " "))))
 
-    done = extract(pages, rules).withColumn("texts", F.transform("candidates", lambda c: F.struct(c["least"].alias("least"), F.when(c["plain"], T.tidy(F.array_join(c["blocks"], "\n"))).otherwise(cleaned(c["blocks"])).alias("t"))))
-    first = F.get(F.filter("texts", lambda c: F.length(c["t"]) >= c["least"]), F.lit(0))["t"]
+def articles(pages: DataFrame, rules: tuple[Rule, ...] = (GENERIC,), fallback: Column | None = None) -> DataFrame:
+    """(page_id, url, title, text, text_source): the first candidate whose cleaned text reaches
+    its least length, later ones are not worked out; else the feed's text (rss), else none."""
+
+    def cleaned(c: Column, head: Column) -> Column:
+        blocks, mode = F.transform(c["blocks"], T.tidy), c["mode"]
+        whole = lambda parts: T.cut_related(T.normalized_clean(F.array_join(parts, " "), head))
+        rest = F.filter(F.transform(F.filter(blocks, lambda b: ~T.is_title_fragment(b, head)), lambda b: T.remove_title_prefix(b, head)), lambda b: F.length(b) >= 40)
+        text = F.when(mode == "plain", T.tidy(F.array_join(c["blocks"], "\n"))).when(mode == "joined", whole(blocks)).when(mode == "trimmed", whole(rest))
+        return text.otherwise(whole(T.filter_paragraphs(blocks, head)))
+
+    done = extract(pages, rules).withColumn("head", page_title(F.col("title")))
+    fit = lambda acc, c: F.when(acc.isNotNull(), acc).otherwise(T.let(cleaned(c, F.col("head")), lambda t: F.when(F.length(t) >= c["least"], t)))
+    first = F.aggregate("candidates", F.lit(None).cast("string"), fit)
     feed = F.coalesce(fallback if fallback is not None else F.lit(""), F.lit(""))
-    text = F.coalesce(first, F.nullif(feed, F.lit("")), F.lit(""))
-    source = F.when(first.isNotNull(), "html").when(feed != "", "rss").otherwise("none")
-    return done.select("page_id", "url", T.normalize_title(F.col("title"), clean=lambda c: T.tidy(T.fix_encoding(c))).alias("title"), text.alias("text"), source.alias("text_source"))
+    done = done.select("page_id", "url", "head", first.alias("first"))
+    text = F.coalesce("first", F.nullif(feed, F.lit("")), F.lit(""))
+    source = F.when(F.col("first").isNotNull(), "html").when(feed != "", "rss").otherwise("none")
+    return done.select("page_id", "url", F.col("head").alias("title"), text.alias("text"), source.alias("text_source"))
 
 
 @dataclass(frozen=True)
@@ -220,10 +297,25 @@ class Section:
         return host(target) == host(url) and re.fullmatch(self.pattern, urlsplit(target).path) is not None
 
 
+_SERVICE = re.compile("|".join(rf"\b{re.escape(w)}\b" for w in fixed.LINK_SERVICE), re.IGNORECASE)
+
+
+def link_title(a: Node) -> str:
+    """A heading inside the link, else its title or text without service words, at most a sentence."""
+    clean = lambda t: re.sub(r" +([,.!?;:])", r"\1", " ".join(t.split()))
+    for s in fixed.LINK_HEADS:
+        found = next((clean(n.text()) for n in select(a, s)), "")
+        if len(found) >= 10:
+            return found
+    title = " ".join(_SERVICE.sub("", clean(a.attrs.get("title", "")) or clean(a.text())).split()).strip(" —-")
+    return re.split(r"(?<=[.!?])\s+", title)[0].strip() if len(title) > 180 else title
+
+
 def links(pages: DataFrame, section: Section | None = None) -> DataFrame:
-    """A row per anchor: (page_id, page_url, pos, url, title), URLs absolute; with ``section`` only
-    that part's."""
-    names = ["page_id", "page_url", "pos", "url", "title"]
+    """A row per anchor: (page_id, page_url, pos, url, title, whole), URLs absolute, ``whole`` the anchor's
+    text; with ``section`` only that part's."""
+    names = ["page_id", "page_url", "pos", "url", "title", "whole"]
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,29 +324,31 @@ def links(pages: DataFrame, section: Section | None = None) -> DataFrame:
                 root = parse(html)
                 for i, a in enumerate(section.anchors(root, url or "") if section else select(root, "a[href]")):
                     if a.attrs["href"]:
-                        heads = [h.text() for t in ("h1", "h2", "h3", "h4", "h5") for h in select(a, t)]
-                        title = next((h for h in heads if len(h) >= 10), "") or a.attrs.get("title", "") or a.text()
-                        rows.append((page, url, i, urljoin(url or "", a.attrs["href"]), title))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], names=names)
+                        rows.append((page, url, i, urljoin(url or "", a.attrs["href"]), link_title(a), " ".join(a.text().split())))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, page_url string, pos int, url string, title string")
+    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, page_url string, pos int, url string, title string, whole string")
 
 
-def previews(anchors: DataFrame, limit: int = 10, prefix: str | None = None, exclude: str | None = None, any_part: list[str] | None = None, all_parts: list[str] | None = None, least_title: int = 15) -> DataFrame:
+def previews(anchors: DataFrame, limit: int = 10, prefix: str | None = None, exclude: str | None = None, any_part: list[str] | None = None, all_parts: list[str] | None = None, least_title: int = 15, stop: list[str] = fixed.STOP_TITLES, whole: bool = False, articles_only: bool = False) -> DataFrame:
     """Link candidates of listing pages: same domain, the wanted paths, a real title; the first
-    anchor of each URL that passes, and the first ``limit`` URLs of each page."""
-    url = U.without_fragment(F.col("url"))
-    df = anchors.withColumn("url", url).where(U.domain(F.col("url")) == U.domain(F.col("page_url")))
+    anchor of each URL that passes, and the first ``limit`` URLs of each page.  With ``whole`` a link's
+    title is all of its text and its URL keeps the fragment; ``articles_only`` asks for URLs like articles'."""
+    url = F.col("url") if whole else U.without_fragment(F.col("url"))
+    df = anchors.withColumns({"url": url, "title": F.col("whole") if whole else F.col("title")}).where(U.domain(F.col("url")) == U.domain(F.col("page_url")))
     if prefix is not None:
         df = df.where(F.startswith(U.path(F.col("url")), F.lit(prefix.rstrip("/"))))
     if exclude is not None:
         df = df.where(U.path(F.col("url")) != exclude.rstrip("/"))
     if any_part is not None:
-        df = df.where(T.contains_any(F.lower("url"), any_part))
+        df = df.where(T.contains_any(F.col("url"), any_part))
     for part in all_parts or []:
-        df = df.where(F.contains(F.lower("url"), F.lit(part)))
-    df = df.where((F.length("title") >= least_title) & ~F.lower("title").isin(fixed.STOP_TITLES))
+        df = df.where(F.contains(F.col("url"), F.lit(part)))
+    if articles_only:
+        df = df.where(U.is_probably_article(F.col("url")))
+    df = df.where(F.length("title") >= least_title)
+    df = df.where(~F.lower("title").isin(stop)) if stop else df
     once = df.withColumn("n", F.row_number().over(Window.partitionBy("page_id", "url").orderBy("pos"))).where("n = 1")
     return once.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("n") <= limit).select("page_id", "n", "url", "title")
 

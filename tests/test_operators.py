@@ -90,10 +90,10 @@ def test_link_previews(spark):
 
 
 def test_rss(spark):
-    item = "<item><title>Новый цех открыт</title><link>https://e.com/1</link><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate><description>Текст</description></item>"
+    item = "<item><title>Новый цех открыт</title><link>https://e.com/1</link><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate><description>Текст новости о новом цехе завода.</description></item>"
     df = spark.createDataFrame([("s", f"<rss><channel>{item}<item><title/></item>{item}</channel></rss>")], "source string, xml string")
     rows = feeds.rss_previews(df, limit=2).collect()
-    assert [(r["title"], r["url"], r["text"]) for r in rows] == [("Новый цех открыт", "https://e.com/1", "Текст")]
+    assert [(r["title"], r["url"], r["text"]) for r in rows] == [("Новый цех открыт", "https://e.com/1", "Текст новости о новом цехе завода.")]
 
 
 def test_stream_stores_each_url_once(spark, tmp_path):
@@ -196,7 +196,7 @@ def test_rules_of_single_sites(spark):
     body = f"<h1>Head line</h1><div class='gallery'><p>{long.format(0)}</p></div><main><p>{long.format(1)}</p><p>{long.format(1)}</p><p>Short.</p><p>{long.format(2)} Share it</p></main><p>{long.format(3)}</p>"
     pages = spark.createDataFrame([(1, "https://a.com/1", body), (2, "https://b.com/2", body)], "page_id long, url string, html string")
     common = dict(selectors=("p",), least=10, least_block=40, unwanted=("share",))
-    rules = (html.Rule("a.com", plain=True, **common), html.Rule("b.com", drop=(".gallery",), container=("main",), without_title=True, **common))
+    rules = (html.Rule("a.com", mode="plain", **common), html.Rule("b.com", mode="joined", drop=(".gallery",), container=("main",), without_title=True, **common))
     got = {r["page_id"]: r["text"] for r in html.articles(pages, rules).collect()}
     assert got[1] == " ".join(["Head line", *(long.format(i) for i in (0, 1, 3))])
     assert got[2] == long.format(1)

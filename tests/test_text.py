@@ -76,7 +76,7 @@ def test_abbreviations_do_not_end_sentences(spark):
 
 
 def test_pagerank_is_a_distribution():
-    sims = S.similarity(["завод выпустил станки сегодня", "завод выпустил двигатели вчера", "погода ясная и тёплая", "станки и двигатели"])
+    sims = S.weights(["завод выпустил станки сегодня", "завод выпустил двигатели вчера", "погода ясная и тёплая", "станки и двигатели"])
     rank = S.pagerank(sims)
     assert abs(rank.sum() - 1) < 1e-6 and (rank > 0).all()
 
