@@ -137,7 +137,15 @@ def encoding_repair(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(T.fix_encoding(F.col("text")).cast("binary")).alias("text_md5"))
 
 
-@query()
+_REPAIRED = "CASE WHEN regexp_matches({0}, '[ÌÎÁÂÃÄÅÆÇÈÉ]') AND NOT regexp_matches({0}, '[^\\x{{00}}-\\x{{FF}}]') THEN translate({0}, '" + _WRONG + "', '" + _RIGHT + "') ELSE {0} END"
+
+
+@query(f"""WITH {NEWS_SQL}, a AS (SELECT id, title, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace({_REPAIRED.format('title')}, chr(160), ' '), chr(8203), ''), chr(65279), ''), '…', '...'), '« ', '«'), ' »', '»'), '\\s+', ' ', 'g'), ' +([,.!?;:])', '\\1', 'g')) AS t FROM news),
+b AS (SELECT id, title, trim(regexp_replace(t, '^[0-9]{{2}}\\.[0-9]{{2}}\\.[0-9]{{4}}\\s*[-–—]\\s*', ''), ' -' || chr(8212)) AS t FROM a),
+c AS (SELECT id, title, CASE WHEN length(t) > 180 THEN trim(regexp_extract(t, '^(.*?[.!?])(\\s|$)', 1)) ELSE t END AS cut, t FROM b),
+e AS (SELECT id, title, CASE WHEN length(t) > 180 AND cut = '' THEN t ELSE cut END AS t FROM c)
+SELECT id, CASE WHEN length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) > 0.8 * length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) THEN upper(substr(t, 1, 1)) || lower(substr(t, 2)) ELSE t END AS title,
+  round(length(regexp_replace(title, '[^\\p{{Lu}}]', '', 'g')) / nullif(length(regexp_replace(title, '[^\\p{{L}}]', '', 'g')), 0)::DOUBLE, 6) AS upper_ratio FROM e""")
 def title_normalize(spark: SparkSession, d: str) -> DataFrame:
     return news(spark, d).select("id", T.normalize_title(F.col("title"), F.col("source")).alias("title"), F.round(T.upper_ratio(F.col("title")), 6).alias("upper_ratio"))
 
@@ -154,7 +162,12 @@ def html_articles(spark: SparkSession, d: str) -> DataFrame:
     return H.articles(table(spark, d, "pages")).select("page_id", "title", "text_source", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query()
+@query("""WITH a AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS site, regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>|<!--.*?-->|<style.*?</style>', '', 'g'), '(?s)<a [^>]*href="[^"]+"[^>]*>.*?</a>') AS found FROM pages),
+b AS (SELECT page_id, site, unnest(found) AS x, generate_subscripts(found, 1) AS pos FROM a),
+c AS (SELECT page_id, site, pos, regexp_extract(x, 'href="([^"]+)"', 1) AS href, trim(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' +([,.!?;:])', '\\1', 'g'), ' -' || chr(8212)) AS title FROM b),
+d AS (SELECT page_id, pos, site, title, split_part(CASE WHEN href LIKE '/%' THEN site || href ELSE href END, '#', 1) AS url FROM c),
+e AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS again FROM d WHERE regexp_extract(url, '^[a-z]+://[^/?#]*') = site AND length(title) >= 2)
+SELECT page_id, n, url, title FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM e WHERE again = 1) WHERE n <= 5""")
 def html_links_topk_per_page(spark: SparkSession, d: str) -> DataFrame:
     return H.previews(H.links(table(spark, d, "pages")), limit=5, least_title=2)
 
