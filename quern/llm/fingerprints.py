@@ -8,7 +8,7 @@ and two sketches estimate resemblance, containment and distinct shingle counts.
 Defined cases: null and blank texts have the empty sketch; a text of fewer words than a shingle
 has one shingle, all its words; two empty sketches resemble each other fully (1.0), an empty and
 a non-empty one not at all (0.0); very long texts are sketched whole; equal hashes count once, in a text as in a merge; of
-documents with equal ids the one with the smaller text comes first, and repeated rows follow each
+documents with equal ids the one with the smaller hash of its text comes first, and repeated rows follow each
 other; an empty table gives an empty one; only doc_id and text are read, so other columns can't
 clash.  Everything here is DataFrame functions.
 """
@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.exprs import let, lower_ascii, words
+from quern.llm.spans import LOWEST, place, text_check
+from quern.llm.store import staged
 
 K = 128
 WORDS = 5
 DIGITS = 12
-#: Documents in a bucket of neighbouring ids, and the most buckets there are.
-BUCKET_ROWS, MOST_BUCKETS = 1024, 1 << 18
+#: Documents in a bucket of neighbouring ids, and cells that ids are cut into first.
+BUCKET_ROWS, CELLS = 1024, 1 << 16
 
 
 def shingle_hashes(text: Column, size: int = WORDS) -> Column:
@@ -90,36 +92,65 @@ def merge_parts(df: DataFrame, key: str, column: str = "sketch", k: int = K, sal
     return hashes.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_list("h")).alias(column))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Adds k and check (the order of documents) and the bucket (cell, sub) of each.
+
+    Ids are first cut into at most CELLS cells of equal width, whose counts and bounds are a table that
+    can be broadcast.  A cell of more rows than a bucket should have is cut further: between its own
+    smallest and largest id, or, where few ids have many rows, each id by the hash of its text."""
+    keyed = docs.withColumns({"k": F.col("doc_id").cast("long"), "check": text_check(F.col("text"))})
+    lo, hi, n = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long")), F.count(F.lit(1))).first()
+    lo, hi = (0, 0) if lo is None else (lo, hi)
+    cells = max(1, min(CELLS, -(-n // BUCKET_ROWS)))
+    # null ids are a cell of their own, before all others
+    cell = F.when(F.col("k").isNull(), F.lit(-1)).otherwise(F.floor((F.col("k").cast("double") - float(lo)) / F.lit((hi - lo + 1) / cells))).cast("long")
+    keyed = keyed.withColumns({"cell": cell, "k": F.coalesce("k", F.lit(LOWEST).cast("long"))})
+    held = staged(keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.min("k").alias("least"), F.max("k").alias("most")), "cells")
+    keyed = keyed.join(F.broadcast(held), "cell")
+    several = F.ceil(F.col("rows") / BUCKET_ROWS)
+    wide = (F.col("most").cast("double") - F.col("least").cast("double") + 1.0).alias("wide")
+    by_id = F.floor((F.col("k").cast("double") - F.col("least").cast("double")) * several / wide)
+    by_text = (F.col("k") - F.col("least")) * several + F.floor(F.col("check") / F.lit(float(1 << 60)) * several)
+    sub = F.when(several <= 1, F.lit(0)).when(wide * 2 >= F.col("rows"), by_id).otherwise(by_text).cast("long")
+    return keyed.withColumn("sub", sub).drop("rows", "least", "most")
+
+
+def _heads(keyed: DataFrame) -> DataFrame:
+    """The first document (k, check) of each bucket, and the bucket before it (of the very first one, the last).
+
+    Buckets follow each other within their cell; only cells, at most CELLS, are put in order as a whole."""
+    head = keyed.groupBy("cell", "sub").agg(F.min(place("k", "check")).alias("p"))
+    head = staged(head, "heads")
+    cells = head.groupBy("cell").agg(F.max("sub").alias("last"))
+    whole = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.coalesce(F.lag(F.struct("cell", "last")).over(Window.orderBy("cell")), F.last(F.struct("cell", "last")).over(whole))
+    cells = cells.select("cell", before.alias("other"))
+    inner = F.lag("sub").over(Window.partitionBy("cell").orderBy("sub"))
+    out = head.withColumn("inner", inner).join(F.broadcast(cells), "cell")
+    return out.select("p", F.when(F.col("inner").isNull(), F.col("other.cell")).otherwise(F.col("cell")).alias("before_cell"), F.coalesce("inner", "other.last").alias("before_sub"))
+
+
 def with_next(docs: DataFrame, columns: dict[str, Column], derived) -> DataFrame:
-    """Adds to each document what its successor in ascending doc_id holds; the last one's
+    """Adds to each document (doc_id, text) what its successor in ascending doc_id holds; the last one's
     successor is the first.  ``columns`` are taken from the successor as ``next_<name>``;
     ``derived(df)`` may then add columns and name those wanted of the successor as well.
 
-    Ids are cut into buckets of equal width, about BUCKET_ROWS documents each, so each window
-    holds one bucket; the first document of a bucket is sent to the bucket before it as well.
-    Their table has a row per bucket, at most MOST_BUCKETS, and is broadcast.  Null ids stand
-    before all others; equal ids follow each other by text."""
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    buckets = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
-    key = F.coalesce(F.col("doc_id"), F.lit(max(lo - 1, -(2**63))).cast("long"))
-    width = (hi - lo + 2) / buckets
-    bucket = F.floor((key.cast("double") - float(lo - 1)) / F.lit(width)).cast("long")
-    keyed = docs.withColumns({"_k": key, "_bucket": bucket})
-    everything = Window.orderBy("_bucket")
-    heads = keyed.groupBy("_bucket").agg(F.min("_k").alias("_head"))
-    last = F.max("_bucket").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select("_head", F.coalesce(F.lag("_bucket").over(everything), last).alias("_before"))
-    sent = keyed.join(F.broadcast(heads), keyed["_k"] == heads["_head"], "left")
-    own = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("copy"))
-    guest = F.struct(F.col("_before").alias("b"), F.lit(1).alias("copy"))
-    sent = sent.withColumn("_at", F.explode(F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, guest))))
-    sent = sent.withColumns({"_b": F.col("_at.b"), "_copy": F.col("_at.copy")}).drop("_at", "_head", "_before", "_bucket")
-    order = Window.partitionBy("_b").orderBy("_copy", "_k", "text")
+    Each window holds one bucket of about BUCKET_ROWS documents of neighbouring ids; the first document
+    of a bucket is sent to the bucket before it as well.  Null ids stand before all others; equal ids
+    follow each other by a hash of their texts."""
+    keyed = _numbered(docs)
+    heads = staged(_heads(keyed), "before")
+    # a row per bucket: Spark broadcasts it if it is small
+    sent = keyed.withColumn("p", place("k", "check")).join(heads, "p", "left")
+    own = F.struct(F.col("cell").alias("cell"), F.col("sub").alias("sub"), F.lit(0).alias("copy"))
+    guest = F.struct(F.col("before_cell").alias("cell"), F.col("before_sub").alias("sub"), F.lit(1).alias("copy"))
+    sent = sent.select("doc_id", "text", "k", "check", F.explode(F.when(F.col("before_cell").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("to"))
+    sent = sent.select("doc_id", "text", "k", "check", "to.*")
+    order = Window.partitionBy("cell", "sub").orderBy("copy", "k", "check")
     out = sent.withColumns({f"next_{c}": F.lead(v).over(order) for c, v in columns.items()})
     out, more = derived(out)
     out = out.withColumns({f"next_{c}": F.lead(c).over(order) for c in more})
-    return out.where(F.col("_copy") == 0)
+    return out.where(F.col("copy") == 0)
 
 
 def edited_fingerprints(docs: DataFrame, k: int = K, size: int = WORDS) -> DataFrame:
@@ -131,8 +162,9 @@ def edited_fingerprints(docs: DataFrame, k: int = K, size: int = WORDS) -> DataF
         n = F.length("text")
         half = F.floor(n / 2).cast("int")
         edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
-        df = df.select("doc_id", "_b", "_k", "_copy", "text", n.cast("long").alias("n_chars"), edited.alias("_edited"), sketch(F.col("text"), k, size).alias("sketch"))
-        df = df.select("doc_id", "_b", "_k", "_copy", "text", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "sketch", sketch(F.col("_edited"), k, size).alias("edited_sketch"))
+        kept = ["doc_id", "cell", "sub", "k", "check", "copy"]
+        df = df.select(*kept, n.cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text"), k, size).alias("sketch"))
+        df = df.select(*kept, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", sketch(F.col("edited"), k, size).alias("edited_sketch"))
         return df, ["sketch"]
 
     out = with_next(docs, {"text": F.col("text")}, derived)

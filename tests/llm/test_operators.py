@@ -24,6 +24,21 @@ def test_sketches(spark):
     assert whole == union
 
 
+@pytest.mark.parametrize("bucket", [2, 7, 1024])
+def test_successors_of_clumped_equal_and_missing_ids(spark, monkeypatch, bucket):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", bucket)
+    rnd = random.Random(bucket)
+    ids = [*range(40), *(10**12 + 3 * i for i in range(30)), -(2**63) + 5, 2**63 - 1, *[7] * 25, *[None] * 20]
+    rows = [(i, f"text {n} " + " ".join(str(rnd.randrange(50)) for _ in range(12))) for n, i in enumerate(ids)]
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check = {r["text"]: r["c"] for r in docs.select("text", fingerprints.text_check(F.col("text")).alias("c")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, check[r[1]]))
+    want = {t: hashlib.sha256((t[: len(t) - len(t) // 2] + order[(n + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest() for n, (_, t) in enumerate(order)}
+    got = fingerprints.edited_fingerprints(docs).collect()
+    assert len(got) == len(rows) and {r["edited_sha256"] for r in got} == set(want.values())
+
+
 def brute_near(texts, size, percent):
     sets = []
     for t in texts:
