@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import textblocks as tb
 from quern.llm.spans import row_of
+from quern.llm.store import staged
 
 DIMENSIONS = 1024
 #: Expected number of sample texts of each language that the prototypes are learned from.
@@ -111,9 +112,11 @@ def prototypes(labelled: DataFrame, per_language: int = SAMPLE, dims: int = DIME
     About ``per_language`` texts of each language are used, chosen by a hash of id and text, so the
     sample is bounded by the number of languages whatever the corpus; partial sums of eight
     tasks come back, one row per language each."""
-    counts = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
-    drawn = F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30) < per_language / F.col("_n")
-    sample = labelled.join(counts, F.col("lang") == F.col("_lang")).where(drawn).select("text", "lang").repartition(8)
+    labelled = labelled.select("doc_id", "text", "lang")
+    # a row per language, as in the model that the driver holds in the end: small enough to broadcast
+    counts = staged(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    drawn = F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30) < per_language / F.col("n")
+    sample = labelled.join(F.broadcast(counts), "lang").where(drawn).select("text", "lang").repartition(8)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -37,7 +37,7 @@ from quern.llm.store import staged
 PER_CLASS = 2000
 PREFIXES = (4, 5)
 #: Sample documents that a feature is in at least, and its least log-likelihood ratio.
-MIN_DOCS, TELLING = 3, 2.0
+MIN_DOCS, TELLING = 3, 6.0
 #: The log-odds of a sentence where nothing can be learned.
 NEVER = -40.0
 STEPS = 300
