@@ -69,7 +69,8 @@ def mixed(docs: DataFrame, share: float = SHARE, seed: str = SEED, bucket_rows:
     kept = [c for c in docs.columns if c not in added]
     name = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))  # never null, to join on
     identity = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).otherwise(""))
-    sized = docs.select(row_of(kept).alias("row"), "doc_id", name.alias("s"), n_words(F.col("text")).alias("size"), _hash(identity).alias("h"))
+    held = [F.col(f"`{c}`").alias(f"held_{i}") for i, c in enumerate(kept)]  # plain columns, so that those not asked for are pruned
+    sized = docs.select(*held, "doc_id", name.alias("s"), n_words(F.col("text")).alias("size"), _hash(identity).alias("h"))
     sizes = sized.groupBy("s").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumn("source", F.when(F.col("s") != "n", F.substring("s", 2, 1 << 30)))
     plan = targets(sizes, share).withColumn("buckets", F.ceil(F.col("n") / bucket_rows))
@@ -83,9 +84,9 @@ def mixed(docs: DataFrame, share: float = SHARE, seed: str = SEED, bucket_rows:
     at = F.col("ahead") + F.row_number().over(Window.partitionBy("s", "b").orderBy("size", F.col("doc_id").asc_nulls_first()))
     offset = _hash(F.concat(F.lit(seed + "|"), F.coalesce("source", F.lit("\x00")))) / F.lit(UNIT)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    out = out.select("row", "size", "source_size", "target", at.alias("i"), offset.alias("u"), each.alias("c"))
+    out = out.withColumns({"i": at, "u": offset, "c": each})
     crossed = F.floor(F.col("u") + F.col("i") * F.col("c")) - F.floor(F.col("u") + (F.col("i") - 1) * F.col("c"))
-    columns = [F.col("row").getField(c).alias(c) for c in kept]
+    columns = [F.col(f"held_{i}").alias(c) for i, c in enumerate(kept)]
     return out.select(*columns, "size", "source_size", "target", F.least(crossed, F.lit(MOST)).cast("int").alias("copies"))
 
 
