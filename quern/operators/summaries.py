@@ -14,21 +14,26 @@ from pyspark.sql import functions as F
 
 from quern.functions import fixed
 from quern.functions import text as T
+from quern.plans.shared import staged
 
 
 def tfidf(rows: DataFrame, group: str, unit: str, max_df: float = 0.95) -> DataFrame:
     """(group, unit, term, weight): uni- and bigrams of word tokens of two characters or more, terms
-    of more than ``max_df`` of the group's units left out, smoothed idf, unit length per unit."""
+    of more than ``max_df`` of the group's units left out, smoothed idf, unit length per unit.
+
+    Counts are written once, as two steps read them.  Terms that most units share meet their idf in a
+    join whose other side is a table with one row per term, so Spark can split them."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     pairs = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))
     terms = F.transform(F.array(words), lambda w: F.concat(w, pairs(w)))[0]
     tf = rows.select(group, unit, F.explode_outer(terms).alias("term")).where("term is not null").groupBy(group, unit, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = staged(tf, "counts")
     n = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df")).join(n, group).where(F.col("df") <= F.col("n") * max_df)
     idf = df.select(group, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, [group, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    size = raw.groupBy(group, unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    return raw.join(size, [group, unit]).select(group, unit, "term", (F.col("w") / F.col("size")).alias("weight"))
+    raw = tf.join(staged(idf, "idf"), [group, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(group, unit)))
+    return raw.select(group, unit, "term", (F.col("w") / size).alias("weight"))
 
 
 def top_terms(weights: DataFrame, group: str, unit: str, k: int) -> DataFrame:

@@ -37,6 +37,23 @@ def scored(rows: DataFrame, tags: list[dict], id_: str, with_penalty: bool = Tru
     return df.withColumn("final_score", F.round(F.col("embedding_score") + F.col("keyword_boost") - less, 9))
 
 
+def embedded(tags: DataFrame, encode) -> list[dict]:
+    """The tags {tag, vector, positive, negative}, in order of ``ord``, with vectors of their descriptions;
+    ``tags``: (ord, tag, description, positive, negative), a small table made by hand, one row per tag."""
+    rows = tags.select("ord", "tag", encode(F.col("description")).alias("vector"), "positive", "negative").orderBy("ord").collect()
+    return [dict(tag=r["tag"], vector=list(r["vector"]), positive=list(r["positive"] or []), negative=list(r["negative"] or [])) for r in rows]
+
+
+def foreign_of_sources(members: DataFrame, clusters: DataFrame, sources: list[str], markers: list[str], most: int = 1000) -> DataFrame:
+    """(cluster_id, hit): whether a cluster has a member of one of the sources and its title, summary or
+    members' titles and beginnings name one of the markers."""
+    part = F.concat_ws(" ", "title", F.substring("text", 1, most))
+    texts = members.groupBy("cluster_id").agg(F.max(F.coalesce(F.col("source").isin(sources), F.lit(False))).alias("theirs"), F.max(T.contains_any(F.lower(part), [m.lower() for m in markers])).alias("named"))
+    own = T.contains_any(F.lower(F.concat_ws(" ", "title", "summary_text")), [m.lower() for m in markers])
+    out = clusters.join(texts, "cluster_id", "left")
+    return out.select("cluster_id", (F.coalesce("theirs", F.lit(False)) & (F.coalesce("named", F.lit(False)) | own)).alias("hit"))
+
+
 def selected(scores: DataFrame, id_: str, least: float = 0.35, most: int = 2, gap: float | None = 0.05) -> DataFrame:
     """(id, tags): tags of enough score and near the best one, the best ``most``, list order on ties."""
     best = F.max("final_score").over(Window.partitionBy(id_))

@@ -353,7 +353,11 @@ def previews(anchors: DataFrame, limit: int = 10, prefix: str | None = None, exc
     return once.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("n") <= limit).select("page_id", "n", "url", "title")
 
 
-def pages_of(primary: DataFrame, browser: DataFrame) -> DataFrame:
-    """Pages fetched plainly, or by a browser where that gave nothing."""
-    other = browser.select("page_id", F.col("html").alias("_html"))
-    return primary.join(other, "page_id", "left").withColumn("html", F.coalesce(F.nullif("html", F.lit("")), F.nullif("_html", F.lit("")), F.lit(""))).drop("_html")
+def pages_of(primary: DataFrame, browser: DataFrame, browser_hosts: list[str] | None = None) -> DataFrame:
+    """Pages (page_id, url, html) fetched plainly, or by a browser where that gave nothing; for the hosts
+    that only a browser can read, its page always."""
+    other = browser.select("page_id", F.coalesce("html", F.lit("")).alias("_html"))
+    both = primary.join(other, "page_id", "left")
+    plain, seen = F.nullif("html", F.lit("")), F.coalesce("_html", F.lit(""))
+    always = T.contains_any(U.domain(F.col("url")), browser_hosts) if browser_hosts else F.lit(False)
+    return both.withColumn("html", F.when(always, seen).otherwise(F.coalesce(plain, seen))).drop("_html")

@@ -53,6 +53,10 @@ SECTIONS = {"Вестник промышленности": (html.Section("Про
 #: Any other site: links that look like articles, by their whole text.
 GENERIC = dict(articles_only=True, stop=[], whole=True)
 
+#: Hosts whose pages only a browser can read.
+BROWSER = ["nornickel.ru", "заводы.рф", "xn--80az8a.xn--p1ai", "производства.рф", "xn--80adahnf5bdekrm.xn--p1ai", "tpprf.ru", "news.tpprf.ru"]
+#: Sources that write about the armed forces.
+MILITARY_SOURCES = ["Военное.рф", "ФлотПром", "ФлотКом"]
 #: name, url, rss_url, source_type, is_active
 SOURCES = [
     ("ИАПН", "https://iapn.ru", "https://iapn.ru/feed/", "html", True),
@@ -89,6 +93,11 @@ def seeds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SOURCES, "name string, url string, rss_url string, source_type string, is_active boolean")
 
 
+def shown(articles: DataFrame, length: int = 1200) -> DataFrame:
+    """Articles as one looks at them after a collection: with the length and the beginning of their texts."""
+    return articles.select("title", "source", "url", "published_at", "text_source", F.length("text").alias("n_chars"), F.substring("text", 1, length).alias("beginning"))
+
+
 def collected(sources: DataFrame, listings: DataFrame, feeds_read: DataFrame, limit: int = 10) -> DataFrame:
     """Previews (source, n, title, url, published_at, text) of all sources.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions import urls as U
+from quern.functions import vectors as V
 from quern.operators import clusters as C
 from quern.operators import tags as G
 from quern.sources import feeds, html, sites
@@ -123,3 +124,18 @@ def test_reports_and_late_rows(spark):
 def test_labelled_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text('text,label,more\n"two\nlines",metal,1\n,art,2\nnone,,3\n')
     assert [tuple(r) for r in feeds.training_rows(spark, str(tmp_path / "a.csv")).collect()] == [("two\nlines", "metal")]
+
+
+def test_browser_pages_tag_vectors_and_foreign_sources(spark):
+    plain = spark.createDataFrame([(1, "https://www.nornickel.ru/a", "plain"), (2, "https://e.com/a", ""), (3, "https://e.com/b", "plain")], "page_id long, url string, html string")
+    seen = spark.createDataFrame([(1, "seen"), (2, "seen"), (3, "seen")], "page_id long, html string")
+    assert {r["page_id"]: r["html"] for r in html.pages_of(plain, seen, sites.BROWSER).collect()} == {1: "seen", 2: "seen", 3: "plain"}
+    encode = V.encoder(dims=8)
+    tags = G.embedded(spark.createDataFrame([(2, "b", "two words", None, ["x"]), (1, "a", "one", ["y"], [])], "ord int, tag string, description string, positive array<string>, negative array<string>"), encode)
+    assert [t["tag"] for t in tags] == ["a", "b"] and abs(sum(x * x for x in tags[1]["vector"]) - 1) < 1e-9 and tags[1]["positive"] == []
+    members = spark.createDataFrame([(1, "ФлотКом", "t", "Флот Франции вышел"), (2, "ФлотКом", "t", "Флот вышел"), (3, "ТАСС", "t", "Флот Франции")], "cluster_id int, source string, title string, text string")
+    c = spark.createDataFrame([(1, "", None), (2, "Франция", None), (3, "", ""), (4, "Франция", "")], "cluster_id int, title string, summary_text string")
+    got = {r["cluster_id"]: r["hit"] for r in G.foreign_of_sources(members, c, sites.MILITARY_SOURCES, ["Франц"]).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False}
+    shown = sites.shown(spark.createDataFrame([("t", "s", "u", None, "html", "abc")], "title string, source string, url string, published_at timestamp, text_source string, text string"), 2).first()
+    assert (shown["n_chars"], shown["beginning"]) == (3, "ab")
