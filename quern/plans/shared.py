@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,9 +36,22 @@ def new_path(spark: SparkSession, label: str) -> str:
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(path).getParent()
     top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(top)
+    if _SCOPES:
+        _SCOPES[-1].append(top.toString())
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``new_path`` named within; nothing may read it any more by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: a cut in the lineage that
     survives lost executors and that several consumers can read without computing it twice."""
