@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quern.llm import linededup, minhash, mixing, pieces, toxicity
 from quern.llm.queries import toxicity_model
 from quern.llm.spans import row_of, text_check
-from quern.llm.store import documents, staged
+from quern.llm.store import documents, new_path, remove
+from quern.plans.shared import scratch
 
 
 def _held(docs: DataFrame) -> DataFrame:
@@ -79,7 +80,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages over ``documents``; what a stage wrote for itself goes at its end, its result when the next
+    one has read it."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
