@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import _parse_datatype_string
 
+from quern.llm import textblocks as tb
+
 PACKET, UNIT, BLOCK = 188, 32768, 64
 PMT_PID, ES_PID, STREAM_TYPE, STREAM_ID = 0x1000, 0x0100, 0x06, 0xBD
 TICKS = 3600  # 90 kHz clock, 25 units a second
@@ -285,7 +287,7 @@ def from_media(media: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("time", pa.int64()), ("offset", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.slices(batches, 128):
             data = [m.as_py() for m in batch.column("media")]
             found = [parse(m or b"") for m in data]
             payloads = [s.first.payload for s in found]

@@ -139,48 +139,64 @@ def fit(keys: np.ndarray, sample: Sample, steps: int = STEPS) -> Model:
     return Model(keys, w, float(b))
 
 
-_FEATURES = "key long, toxic int, n int, f long, sents array<int>"
+def _entries(texts: list[str], keys: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Number of sentences of each text; text, sentence and feature of every distinct entry, of all
+    features or of the sorted ``keys`` alone."""
+    n = np.zeros(len(texts), np.int32)
+    docs, sents, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for owner, _, some in blocks(texts):
+        s_doc, _, _, w_sent, kinds = tokens(some)
+        doc = owner[s_doc]
+        new, size = np.unique(doc, return_counts=True)
+        local = np.arange(len(doc)) - np.searchsorted(doc, doc) + n[doc]
+        n[new] += size.astype(np.int32)
+        for row in kinds:
+            ok = np.flatnonzero(row if keys is None else keys[np.minimum(np.searchsorted(keys, row), len(keys) - 1)] == row)
+            docs.append(doc[w_sent[ok]])
+            sents.append(local[w_sent[ok]])
+            found.append(row[ok])
+    d, s, f = np.concatenate(docs), np.concatenate(sents), np.concatenate(found)
+    order = np.lexsort((s, f, d))
+    d, s, f = d[order], s[order], f[order]
+    once = np.concatenate(([True], (d[1:] != d[:-1]) | (f[1:] != f[:-1]) | (s[1:] != s[:-1])))[: len(d)]
+    return n, d[once], s[once], f[once]
 
 
-def features(sample: DataFrame) -> DataFrame:
-    """Of rows (key, toxic, text) one row per document and feature with the sentences that have it,
-    and one per document with its number of sentences ``n`` and no feature."""
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """(f, n1, n) per task: documents of rows (toxic, text) that have a feature, toxic ones and all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, n1, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in tb.slices(batches, 64):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            key, toxic = (batch.column(c).to_numpy() for c in ("key", "toxic"))
-            n = np.zeros(len(texts), np.int32)
-            docs, sents, found = [], [], []
-            for owner, _, some in blocks(texts):
-                s_doc, _, _, w_sent, kinds = tokens(some)
-                doc = owner[s_doc]
-                new, size = np.unique(doc, return_counts=True)
-                local = np.arange(len(doc)) - np.searchsorted(doc, doc) + n[doc]
-                n[new] += size.astype(np.int32)
-                for row in kinds:
-                    ok = np.flatnonzero(row)
-                    docs.append(doc[w_sent[ok]])
-                    sents.append(local[w_sent[ok]])
-                    found.append(row[ok])
-            d, s, f = np.concatenate(docs), np.concatenate(sents), np.concatenate(found).view(np.int64)
-            order = np.lexsort((s, f, d))
-            d, s, f = d[order], s[order], f[order]
-            once = np.concatenate(([True], (d[1:] != d[:-1]) | (f[1:] != f[:-1]) | (s[1:] != s[:-1])))[: len(d)]
-            d, s, f = d[once], s[once], f[once]
-            begin = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (f[1:] != f[:-1])))[: len(d)])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(d)).astype(np.int32)), pa.array(s.astype(np.int32)))
-            rows = (pa.array(key[d[begin]]), pa.array(toxic[d[begin]], pa.int32()), pa.array(n[d[begin]]), pa.array(f[begin]), lists)
-            yield pa.RecordBatch.from_arrays(list(rows), names=["key", "toxic", "n", "f", "sents"])
-            alone = (pa.array(key), pa.array(toxic, pa.int32()), pa.array(n), pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(list(alone), names=["key", "toxic", "n", "f", "sents"])
-
-    return sample.select("key", "toxic", "text").mapInArrow(run, _FEATURES)
-
-
-def telling(found: DataFrame, toxic: int, clean: int) -> DataFrame:
+            toxic = batch.column("toxic").to_numpy()
+            _, d, _, g = _entries([t or "" for t in batch.column("text").to_pylist()])
+            once = np.concatenate(([True], (d[1:] != d[:-1]) | (g[1:] != g[:-1])))[: len(d)]
+            keys, at = np.unique(np.concatenate((f, g[once])), return_inverse=True)
+            n1 = np.bincount(at, weights=np.concatenate((n1, toxic[d[once]])), minlength=len(keys)).astype(np.int64)
+            n = np.bincount(at, weights=np.concatenate((n, np.ones(int(once.sum())))), minlength=len(keys)).astype(np.int64)
+            f = keys
+        yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(n1), pa.array(n)], names=["f", "n1", "n"])
+
+    return sample.select("toxic", "text").mapInArrow(run, "f long, n1 long, n long")
+
+
+def entries(sample: DataFrame, keys: np.ndarray) -> DataFrame:
+    """Of rows (key, toxic, text) one row per document with its number of sentences ``n`` and, as lists, the
+    sentences that have features among the sorted ``keys``, and the places of these there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.slices(batches, 64):
+            n, d, s, f = _entries([t or "" for t in batch.column("text").to_pylist()], keys)
+            ends = pa.array(np.searchsorted(d, np.arange(len(n) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (s, np.searchsorted(keys, f))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), pa.array(n), *lists], names=["key", "toxic", "n", "sents", "feats"])
+
+    return sample.select("key", "toxic", "text").mapInArrow(run, "key long, toxic int, n int, sents array<int>, feats array<int>")
+
+
+def telling(counts: DataFrame, toxic: int, clean: int) -> DataFrame:
     """Features (f) that more toxic documents have than others, by their log-likelihood ratio."""
-    counts = found.where("f is not null").groupBy("f").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n"))
+    counts = counts.groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
     r1, r0 = (F.col("n1") + 0.5) / (toxic + 1.0), (F.col("n") - F.col("n1") + 0.5) / (clean + 1.0)
     without = F.log(F.greatest(1 - r1, F.lit(1e-9)) / F.greatest(1 - r0, F.lit(1e-9)))
     tell = F.col("n1") * F.log(r1 / r0) + (toxic - F.col("n1")) * without
@@ -191,7 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     """From documents (doc_id, text) and labels (doc_id, toxic) with toxic 0 or 1.
 
     The sample is drawn from the labels alone: about 2 x ``per_class`` of them whatever the corpus,
-    by a hash of the id.  So few rows are broadcast to the documents, and no text moves."""
+    by a hash of the id.  So few rows are broadcast to the documents, and no text moves: one pass counts
+    features, another finds where those stand that tell the labels apart."""
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), NEVER)
     labels = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -199,22 +216,23 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         return empty
     limit = {k: min(1.0, per_class / n) for k, n in counts.items()}
     drawn = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < F.when(F.col("toxic") == 1, limit[1]).otherwise(limit[0])
-    sample = docs.select("doc_id", "text").join(F.broadcast(labels.where(drawn)), "doc_id")
+    chosen = staged(labels.where(drawn), "chosen")
+    size = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     sample = sample.select(F.xxhash64("doc_id", "text", "toxic").alias("key"), "toxic", "text")
-    found = staged(features(sample), "features")
-    rows = sorted({(r["key"], r["toxic"], r["n"]) for r in found.where("f is null").select("key", "toxic", "n").collect()})
-    label = np.array([r[1] for r in rows], dtype=np.float64)
-    if not len(rows) or not 0 < label.sum() < len(label):
+    keys = np.sort(telling(feature_counts(sample), size.get(1, 0), size.get(0, 0)).toArrow()["f"].to_numpy().view(np.uint64))
+    if not len(keys):
         return empty
-    hits = found.join(telling(found, int(label.sum()), int(len(label) - label.sum())), "f").select("key", "f", F.explode("sents").alias("s")).distinct().toArrow()
-    if not hits.num_rows:
+    rows = entries(sample, keys).toArrow().sort_by("key")
+    first = np.concatenate(([True], np.diff(rows["key"].to_numpy()) != 0))[: len(rows)]  # repeated rows count once
+    rows = rows.filter(pa.array(first))
+    label, n = rows["toxic"].to_numpy().astype(np.float64), rows["n"].to_numpy().astype(np.int64)
+    if not 0 < label.sum() < len(label):
         return empty
-    size = np.array([r[2] for r in rows])
-    doc = np.searchsorted(np.array([r[0] for r in rows]), hits["key"].to_numpy())
-    keys, feature = np.unique(hits["f"].to_numpy().view(np.uint64), return_inverse=True)
-    at = (np.cumsum(size) - size)[doc] + hits["s"].to_numpy()
-    order = np.lexsort((feature, at))  # sums don't depend on how rows arrive
-    return fit(keys, Sample(label, np.where(label == 1, 1 / limit[1], 1 / limit[0]), np.repeat(np.arange(len(rows)), size), at[order], feature[order]))
+    held = np.array([len(x) for x in rows["sents"]])
+    sentence = rows["sents"].combine_chunks().flatten().to_numpy() + np.repeat(np.cumsum(n) - n, held)
+    feature = rows["feats"].combine_chunks().flatten().to_numpy()
+    return fit(keys, Sample(label, np.where(label == 1, 1 / limit[1], 1 / limit[0]), np.repeat(np.arange(len(n)), n), sentence, feature))
 
 
 def sentence_scores(texts: list[str], model: Model) -> tuple[np.ndarray, ...]:
