@@ -371,6 +371,62 @@ def cleanup_victims(spark: SparkSession, d: str) -> DataFrame:
     return L.victims(clusters(spark, d), as_of, 2).select("cluster_id")
 
 
+_VICTIMS_SQL = f"SELECT cluster_id FROM clusters WHERE status = 'not_for_publication' AND updated_at < TIMESTAMP '{EPOCH}' + INTERVAL 8 HOUR"
+
+
+def _as_of(spark: SparkSession):
+    return spark.sql(f"SELECT TIMESTAMP '{EPOCH}' + INTERVAL 10 HOURS AS t").first()[0]
+
+
+@query(f"WITH {NEWS_SQL}, {CLUSTERS_SQL}, v AS ({_VICTIMS_SQL}) SELECT id, cluster_id FROM news WHERE cluster_id NOT IN (SELECT cluster_id FROM v)")
+def news_after_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    return L.cleaned(clusters(spark, d), news(spark, d), _as_of(spark), 2)[1].select("id", "cluster_id")
+
+
+@query(f"WITH {NEWS_SQL}, {CLUSTERS_SQL}, v AS ({_VICTIMS_SQL}) SELECT (SELECT count(*) FROM v) AS clusters, (SELECT count(*) FROM news JOIN v USING (cluster_id)) AS news")
+def cleanup_report(spark: SparkSession, d: str) -> DataFrame:
+    return L.cleanup_report(clusters(spark, d), news(spark, d), _as_of(spark), 2)
+
+
+@query(f"WITH {NEWS_SQL} SELECT id FROM news WHERE NOT coalesce({VALID_SQL}, false)")
+def news_removed(spark: SparkSession, d: str) -> DataFrame:
+    return A.removed(news(spark, d), valid()).select("id")
+
+
+@query(f"WITH {NEWS_SQL}, {CLUSTERS_SQL} SELECT cluster_id FROM clusters WHERE summary_text IS NULL")
+def due_for_summary(spark: SparkSession, d: str) -> DataFrame:
+    return L.to_summarize(clusters(spark, d)).select("cluster_id")
+
+
+@query(f"WITH {NEWS_SQL}, {CLUSTERS_SQL} SELECT cluster_id FROM clusters WHERE summary_text IS NOT NULL")
+def due_for_tags_again(spark: SparkSession, d: str) -> DataFrame:
+    return L.to_tag(clusters(spark, d), again=True).select("cluster_id")
+
+
+@query(f"""WITH {NEWS_SQL}, c AS (SELECT cluster_id, arg_min(title, id) AS title FROM news GROUP BY cluster_id)
+SELECT cluster_id, title = '' AS untitled, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS escaped FROM c""")
+def titles_escaped(spark: SparkSession, d: str) -> DataFrame:
+    c = clusters(spark, d)
+    return c.select("cluster_id", (F.col("title") == "").alias("untitled"), L.html_escaped(F.col("title")).alias("escaped"))
+
+
+@query(f"""WITH {NEWS_SQL}, r AS (SELECT cluster_id, first(id ORDER BY published_at IS NULL, coalesce(published_at, collected_at), id) AS rep FROM news GROUP BY cluster_id)
+SELECT id, coalesce(id = rep, false) AS is_primary FROM news LEFT JOIN r USING (cluster_id)""")
+def members_primary(spark: SparkSession, d: str) -> DataFrame:
+    return C.with_primary(news(spark, d).drop("is_primary")).select("id", "is_primary")
+
+
+@query(f"""WITH {NEWS_SQL}, a AS (SELECT *, url || (id % 400) AS u FROM news), s AS (SELECT DISTINCT source FROM news WHERE source LIKE '%1'),
+f AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY id) AS n FROM (SELECT id, source, 'https://e.com/' || (id % 400) AS u FROM news))
+SELECT id, u AS url FROM f WHERE n = 1 AND id % 400 >= 100 AND source IN (SELECT source FROM s)""")
+def news_to_store(spark: SparkSession, d: str) -> DataFrame:
+    """The first article of each URL that isn't stored (the first hundred URLs are), of known sources."""
+    n = news(spark, d).withColumns({"url": F.concat(F.lit("https://e.com/"), (F.col("id") % 400).cast("string")), "ord": F.col("id")})
+    known = _sources(spark, d).where("name LIKE '%1'")
+    stored = spark.range(100).select(F.concat(F.lit("https://e.com/"), F.col("id").cast("string")).alias("url"))
+    return A.to_store(n, stored, known).select("id", "url")
+
+
 @query(f"WITH {NEWS_SQL}, {CLUSTERS_SQL} SELECT status, count(*) AS n, sum(cluster_size)::BIGINT AS members FROM clusters GROUP BY status")
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
     return clusters(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("cluster_size").alias("members"))

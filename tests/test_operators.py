@@ -107,6 +107,28 @@ def test_stream_stores_each_url_once(spark, tmp_path):
     assert sorted(r["url"] for r in spark.read.parquet(table).collect()) == ["u1", "v0", "v1"]
 
 
+def test_a_stream_without_repeats_in_its_window(spark, tmp_path):
+    from quern.streaming.ingest import unique_recent
+
+    src, at = str(tmp_path / "in"), dt.datetime(2024, 1, 1, 12)
+    for k in range(3):
+        spark.createDataFrame([("u1", at + dt.timedelta(minutes=k)), (f"v{k}", at + dt.timedelta(minutes=k))], "url string, collected_at timestamp").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("url string, collected_at timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    unique_recent(stream).writeStream.format("memory").queryName("recent").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["url"] for r in spark.table("recent").collect()) == ["u1", "v0", "v1", "v2"]
+
+
+def test_own_tables(spark, tmp_path):
+    from quern.sources import tables
+
+    tables.create(spark, "own_tables_test")
+    try:
+        assert {t.name for t in spark.catalog.listTables("own_tables_test")} == set(tables.SCHEMAS)
+        assert tables.scan(spark, "own_tables_test.news").count() == 0
+    finally:
+        spark.sql("DROP DATABASE own_tables_test CASCADE")
+
+
 def test_nearest_is_the_same_in_blocks(spark):
     rng = np.random.default_rng(6)
     rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 5)))] + [(60, None), (61, [0.0] * 5)], "id long, embedding array<double>")

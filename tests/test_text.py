@@ -94,3 +94,27 @@ def test_markers_are_prepared_like_the_text(spark):
     df = spark.createDataFrame([("Ёлки из США",)], "t string")
     assert df.select(T.marker_matches(T.lemmatized(F.col("t")), ["сша", "ЁЛКИ", "нет"])).first()[0] == ["елки", "сша"]
     assert df.select(T.is_foreign_title(F.col("t"), ["США"], ["Россия"]), T.normalize_for_keywords(F.lit("А.Б"))).first() == (True, "а б")
+
+
+def test_sparse_ranks_equal_dense_ones():
+    import numpy as np
+
+    sentences = ["завод выпустил станки сегодня утром", "завод выпустил двигатели вчера", "погода ясная и тёплая", "станки и двигатели", "123", "утром завод"]
+    w = S.weights(sentences)
+    rows = np.zeros((w.n, w.term.max() + 1))
+    rows[w.row, w.term] = w.value
+    near = rows @ rows.T
+    assert all(abs(near[i, i] - 1) < 1e-12 for i in set(w.row)) and np.allclose([w.similar(e) for e in np.eye(w.n)], near)
+    x, total = np.full(w.n, 1 / w.n), near.sum(axis=1)
+    for _ in range(200):
+        step = np.divide(near, total[:, None], out=np.zeros_like(near), where=total[:, None] > 0)
+        x = 0.85 * (x @ step + x[total == 0].sum() / w.n) + 0.15 / w.n
+    assert np.allclose(S.pagerank(w), x, atol=1e-5)
+
+
+def test_summaries_of_russian_texts():
+    news = ["Завод в Перми запустил новую линию по выпуску труб.", "Он работает уже давно и всем известен в этом крае.", "Мощность линии составит 100 тысяч тонн продукции в год.", "Мощность линии составит 100 тысяч тонн продукции в год."]
+    got = S.summarize(news, "Завод запустил линию", count=2)
+    assert got == f"{news[0]} {news[2]}"
+    assert S.summarize([], "t") == "" and S.summarize(["Короткое"], "Заголовок") == ""
+    assert S.summarize(news[:1] * 2) == news[0] and len(S.summarize([f"{c} {news[0]}" for c in "абвгд"], most=60)) <= 60
