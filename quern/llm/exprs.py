@@ -37,20 +37,6 @@ def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def without_runs(units: Column, starts: Column, length: int) -> Column:
-    """``units`` less every run of ``length`` that begins at one of ``starts`` (0-based, any
-    order, overlaps allowed).  Linear: the pieces between the runs are sliced and joined."""
-
-    def between(s: Column) -> Column:
-        def piece(end: Column, i: Column) -> Column:
-            begin = F.when(i == 0, F.lit(0)).otherwise(F.get(s, i - 1) + length)
-            return F.slice(units, begin + 1, F.greatest(end - begin, F.lit(0)))
-
-        return F.flatten(F.transform(F.concat(s, F.array(F.size(units))), piece))
-
-    return let(F.sort_array(starts), between)
-
-
 def exploded(df: DataFrame, array: Column | str, name: str) -> DataFrame:
     """A row per element, as column ``name``.  The outer form keeps the optimizer from inferring a
     filter on the array's size, for which it would work the whole array out twice more."""
