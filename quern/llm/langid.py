@@ -33,10 +33,14 @@ DIMENSIONS = 1024
 SAMPLE = 2000
 UNKNOWN = "und"
 _BLOCK, _COLUMNS = 1 << 19, 4096
+#: Vectors kept between blocks; they can be made again at any time.
+_HELD = 1 << 14
 _LETTERS: dict[tuple[int, int], np.ndarray] = {}
 
 
 def _letters(symbols: np.ndarray, dims: int) -> np.ndarray:
+    if len(_LETTERS) > _HELD:
+        _LETTERS.clear()
     for s in symbols.tolist():
         if (s, dims) not in _LETTERS:
             _LETTERS[s, dims] = np.random.default_rng((s, dims)).integers(0, 2, dims, dtype=np.int8) * 2 - 1

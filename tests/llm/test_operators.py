@@ -76,6 +76,27 @@ def test_near_duplicates_equal_brute_force(spark, size):
     assert [got[i] for i in range(len(texts))] == brute_near(texts, size, 80)
 
 
+def test_near_duplicates_of_a_large_group_equal_brute_force(spark):
+    """Copies of one text by replacing, deleting and inserting words, and copies of copies: many stay
+    outside the limit of the first text and are linked with other copies only."""
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(2000)}" for _ in range(90)]
+    copies = [base]
+    for _ in range(700):
+        copy = list(base if rnd.random() < 0.6 else rnd.choice(copies))
+        for _ in range(rnd.randrange(0, 14)):
+            at, how = rnd.randrange(len(copy)), rnd.random()
+            copy[at : at + 1] = [f"x{rnd.randrange(3000)}"] if how < 0.5 else [] if how < 0.75 else [copy[at], f"y{rnd.randrange(3000)}"]
+        copies.append(copy)
+    shared = " ".join(f"c{i}" for i in range(30))
+    others = [f"{shared} " + " ".join(f"z{rnd.randrange(400)}" for _ in range(rnd.randrange(5, 60))) for _ in range(350)]
+    texts = [" ".join(c) for c in copies] + others
+    rnd.shuffle(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2, 80).collect()}
+    want = brute_near(texts, 2, 80)
+    assert [got[i] for i in range(len(texts))] == want and 20 < len({c for _, c in want}) < len(texts)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(60)]
