@@ -26,7 +26,7 @@ K = 128
 WORDS = 5
 DIGITS = 12
 #: Documents in a bucket of neighbouring ids, and cells that ids are cut into first.
-BUCKET_ROWS, CELLS = 1024, 1 << 16
+BUCKET_ROWS, CELLS = 256, 1 << 16
 
 
 def shingle_hashes(text: Column, size: int = WORDS) -> Column:
