@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import fixed
 from quern.functions import text as T
+from quern.operators import terms as W
 from quern.plans.shared import staged
 
 
@@ -49,6 +50,19 @@ def similar_units(weights: DataFrame, group: str, unit: str, least: float = 0.0)
     return out.where(F.col("cosine") >= least)
 
 
+def similar_texts(rows: DataFrame, group: str, unit: str, max_df: float = 0.95, least: float = 0.0, most_units: int = W.MOST_UNITS, most_chars: int = W.MOST_CHARS) -> DataFrame:
+    """``similar_units`` of the texts' ``tfidf``.  Groups of up to ``most_units`` texts and ``most_chars``
+    characters meet in one task each, so no row per term is written; larger ones are joined by term."""
+    rows = rows.select(group, unit, "text").where(F.col(group).isNotNull())
+    large = W.large_groups(rows, group, most_units, most_chars)
+    if large.isEmpty():
+        out = W.similar_in_small(rows, group, unit, max_df)
+    else:
+        out = W.similar_in_small(rows.join(large, group, "left_anti"), group, unit, max_df)
+        out = out.unionByName(similar_units(tfidf(rows.join(large, group, "left_semi"), group, unit, max_df), group, unit))
+    return out.where((F.col("cosine") >= least) & F.col("a").isNotNull() & F.col("b").isNotNull())
+
+
 def summary_sentences(text: Column, least: int = 45, most: int = 420) -> Column:
     """Sentences fit for a summary; abbreviations and initials don't end one."""
     t = T.squeezed(text)

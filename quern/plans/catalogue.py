@@ -268,8 +268,7 @@ u AS (SELECT lang, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY lang, do
 SELECT a.lang AS cluster_id, a.doc_id AS a, b.doc_id AS b, round(sum(a.weight * b.weight), 6) AS cosine FROM u a JOIN u b ON a.lang = b.lang AND a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.weight * b.weight) > 0""")
 def member_similarity(spark: SparkSession, d: str) -> DataFrame:
     """How alike the (five) members of each cluster are, by TF-IDF within the cluster."""
-    weights = S.tfidf(news(spark, d), "cluster_id", "id")
-    return S.similar_units(weights, "cluster_id", "id").where("cosine > 0").select("cluster_id", "a", "b", F.round("cosine", 6).alias("cosine"))
+    return S.similar_texts(news(spark, d), "cluster_id", "id").where("cosine > 0").select("cluster_id", "a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 def _summaries(spark: SparkSession, d: str) -> DataFrame:
