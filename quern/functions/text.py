@@ -271,7 +271,7 @@ def cut_text(text: Column, most: int) -> Column:
 
 
 def normalize_filter_text(text: Column) -> Column:
-    return squeezed(F.regexp_replace(F.translate(F.lower(_or_empty(text)), "ё", "е"), r"[^а-яa-z0-9\-. ]", " "))
+    return F.btrim(F.regexp_replace(F.replace(F.lower(_or_empty(text)), F.lit("ё"), F.lit("е")), r"[^а-яa-z0-9\-.]+", " "), F.lit(" "))
 
 
 def lemmatized(text: Column, lemmas: dict[str, str] | None = None) -> Column:
@@ -295,12 +295,12 @@ def prepared_markers(markers: Sequence[str], lemmas: dict[str, str] | None = Non
 
 def marker_matches(text: Column, markers: Sequence[str], lemmas: dict[str, str] | None = None) -> Column:
     """The markers, prepared, that the lemmatised text contains, longest first."""
-    ready = prepared_markers(markers, lemmas)
-    return F.filter(F.array(*map(F.lit, ready)).cast("array<string>"), lambda m: F.contains(text, m))
+    ready = F.array(*map(F.lit, prepared_markers(markers, lemmas))).cast("array<string>")
+    return let(text, lambda t: F.filter(ready, lambda m: F.contains(t, m)))
 
 
 def contains_marker(text: Column, markers: Sequence[str], lemmas: dict[str, str] | None = None) -> Column:
-    return contains_any(text, prepared_markers(markers, lemmas))
+    return let(text, lambda t: contains_any(t, prepared_markers(markers, lemmas)))
 
 
 def is_foreign_title(title: Column, foreign: Sequence[str], home: Sequence[str], lemmas: dict[str, str] | None = None) -> Column:

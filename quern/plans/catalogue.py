@@ -345,7 +345,8 @@ def source_labels(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, array_to_string(list_sort(hits), '|') AS markers FROM (SELECT id, list_transform(hits, lambda k: trim(k)) AS hits FROM m) WHERE len(hits) > 0""")
 def marker_matches(spark: SparkSession, d: str) -> DataFrame:
     hits = T.marker_matches(T.lemmatized(F.col("text")), ["worthless", "the token", "und", "the ", "idiot"])
-    return news(spark, d).select("id", F.array_sort(hits).alias("hits")).where("size(hits) > 0").select("id", F.array_join("hits", "|").alias("markers"))
+    found = F.explode(F.filter(F.array(hits), lambda h: F.size(h) > 0))  # a filter on a column would work the hits out twice
+    return news(spark, d).select("id", found.alias("hits")).select("id", F.array_join(F.array_sort("hits"), "|").alias("markers"))
 
 
 @query(f"""WITH {NEWS_SQL}, t AS (SELECT id, {_N.replace('text', 'title')} AS t FROM news)

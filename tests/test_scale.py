@@ -28,3 +28,7 @@ def test_similar_texts_in_tasks_as_by_joins(spark):
 
 def test_similarity_of_members_makes_no_row_per_term(spark):
     assert "Generate" not in plan(catalogue.QUERIES["member_similarity"](spark, SMALL))
+
+
+def test_markers_are_looked_for_in_a_text_normalised_once(spark):
+    assert plan(catalogue.QUERIES["marker_matches"](spark, SMALL)).count("regexp_replace(") == 1
