@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.vectors import cosine, dot, unit
+from quern.functions.vectors import cosine
 
 
 def centroids(rows: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
@@ -107,21 +108,81 @@ def nearest(rows: DataFrame, centers: DataFrame, threshold: float, id_: str, vec
     return best.select(id_, F.when(good, F.col("b.center")).alias("center"), F.col("b.s").alias("score"))
 
 
-def most_similar(rows: DataFrame, queries: DataFrame, k: int, id_: str, vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+#: Queries that meet a row in one go, and rows that are scored at once or held by a task.
+QUERIES, TILE, HELD = 4096, 1024, 16384
+#: What a product of matrices may differ by from the sum that counts.
+SLACK = 1e-8
+
+
+def _units(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one as rows, and their numbers of dimensions; null ones are zero."""
+    lists = vectors.to_pylist()
+    sizes = np.array([-1 if v is None or None in v else len(v) for v in lists], np.int64)
+    out = np.zeros((len(lists), max(1, sizes.max(initial=1))))
+    for n in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == n)
+        out[at, :n] = [lists[i] for i in at]
+    length = np.sqrt(np.sum(out * out, axis=1, keepdims=True))
+    return np.divide(out, length, out=out, where=length > 0), sizes
+
+
+def _best(queries: pa.Array, q: np.ndarray, q_sizes: np.ndarray, ids: pa.Array, v: np.ndarray, v_sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the ``k`` best rows per query, by score and id.  Products of matrices name
+    the rows that may be among them; their scores are summed up alike wherever a vector stands."""
+    asked, named = np.array(queries.to_pylist(), dtype=object), np.array(ids.to_pylist(), dtype=object)
+    place = np.empty(len(named), np.int64)
+    place[np.argsort(named, kind="stable")] = np.arange(len(named))
+    dims = max(q.shape[1], v.shape[1])
+    q, v = (np.pad(m, ((0, 0), (0, dims - m.shape[1]))) for m in (q, v))
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    least, same = np.full(len(q), -np.inf), len(np.unique(np.concatenate((q_sizes, v_sizes)))) == 1
+    for start in range(0, len(v), TILE):
+        tile = slice(start, start + TILE)
+        rough = q @ v[tile].T
+        if not same:
+            rough[q_sizes[:, None] != v_sizes[None, tile]] = 0.0
+        if len(v[tile]) > k + 1:  # rows below the (k + 1)st here can't be among the best; one of them may be the query itself
+            here = np.maximum(least, np.partition(rough, len(v[tile]) - k - 1, axis=1)[:, -k - 1])
+        else:
+            here = least
+        a, b = np.nonzero(rough >= (here - SLACK)[:, None])
+        b += start
+        other = asked[a] != named[b]
+        a, b = a[other], b[other]
+        score = np.empty(len(a))
+        for i in range(0, len(a), 1 << 16):
+            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+            score[i : i + (1 << 16)] = np.where(q_sizes[x] == v_sizes[y], np.sum(q[x] * v[y], axis=1), 0.0)
+        a, b, score = (np.concatenate(x) for x in zip(held, (a, b, np.round(score, 9) + 0.0), strict=True))
+        order = np.lexsort((place[b], -score, a))
+        a, b, score = a[order], b[order], score[order]
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        least = np.full(len(q), -np.inf)
+        least[a[rank == k - 1]] = score[rank == k - 1]
+        held = [x[rank < k] for x in (a, b, score)]
+    return tuple(held)
+
+
+def most_similar(rows: DataFrame, queries: DataFrame, k: int, id_: str, vector: str = "embedding", block: int = QUERIES) -> DataFrame:
     """(query, id, score, rn): for each query the ``k`` rows of largest cosine but itself, the smaller
     id first of equal ones.
 
     Queries are cut into blocks of about ``block`` and every row meets every block, dealt over
-    several salts; each task keeps its own ``k`` of a query before the shuffle (the rank filter
-    is pushed below it).  Vectors that are null or zero have cosine 0 with all."""
+    several salts; a task scores its rows by products of matrices and keeps its own ``k`` of a query.
+    Vectors that are null or zero have cosine 0 with all."""
+    kind = dict(rows.dtypes)[id_]
     blocks = max(1, -(-queries.count() // block))
-    salts = max(1, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
-    ones = F.struct(F.col(id_).alias("q"), unit(F.col(vector)).alias("v"))
-    held = queries.groupBy(F.pmod(F.xxhash64(id_), F.lit(blocks)).alias("_block")).agg(F.collect_list(ones).alias("_c")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    asked = rows.select(F.col(id_).alias("id"), unit(F.col(vector)).alias("_v"), F.pmod(F.xxhash64(id_), F.lit(salts)).cast("int").alias("_salt"))
+    salts = max(1, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks), -(-rows.count() // HELD))
+    held = queries.select(F.col(id_).alias("q"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_), F.lit(blocks)).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    asked = rows.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_), F.lit(salts)).cast("int").alias("_salt"))
     asked = asked.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    scores = F.transform("_c", lambda c: F.struct(c["q"].alias("query"), F.round(F.coalesce(dot(F.col("_v"), c["v"]), F.lit(0.0)), 9).alias("score")))
-    pairs = asked.join(held, ["_block", "_salt"]).select("id", F.explode(scores).alias("p")).select("p.query", "id", "p.score").where("query <> id")
+
+    def met(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        ids, qs = mine.column("id").combine_chunks(), theirs.column("q").combine_chunks()
+        a, b, score = _best(qs, *_units(theirs.column("v")), ids, *_units(mine.column("v")), k)
+        return pa.table({"query": qs.take(pa.array(a)), "id": ids.take(pa.array(b)), "score": pa.array(score)})
+
+    pairs = asked.groupBy("_block", "_salt").cogroup(held.groupBy("_block", "_salt")).applyInArrow(met, f"query {kind}, id {kind}, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return pairs.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
 

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from quern.operators import clusters as C
 from quern.operators import summaries as S
 from quern.plans import catalogue
 from tests.conftest import SMALL
@@ -32,3 +33,22 @@ def test_similarity_of_members_makes_no_row_per_term(spark):
 
 def test_markers_are_looked_for_in_a_text_normalised_once(spark):
     assert plan(catalogue.QUERIES["marker_matches"](spark, SMALL)).count("regexp_replace(") == 1
+
+
+def test_most_similar_by_products_of_matrices(spark):
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (300, 3)).astype(float).tolist()
+    v[7], v[8], v[9] = None, [0.0, 0.0, 0.0], [1.0, 2.0]
+    rows = spark.createDataFrame(list(enumerate(v)), "id long, e array<double>")
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b):
+            return 0.0
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(float(np.dot(a, b) / size), 9) + 0.0 if size > 0 else 0.0
+
+    want = {(i, *x[1:], n) for i in range(0, 300, 7) for n, x in enumerate(sorted((-cosine(v[i], v[j]), j) for j in range(300) if j != i)[:4], 1)}
+    for block in (5, 4096):
+        found = C.most_similar(rows, rows.where("id % 7 = 0"), 4, "id", "e", block)
+        assert "FlatMapCoGroupsInArrow" in plan(found)
+        assert {(r["query"], r["id"], r["rn"]) for r in found.collect()} == want
