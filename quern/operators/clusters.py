@@ -193,6 +193,93 @@ def with_source(news: DataFrame, sources: DataFrame, default: str = "") -> DataF
     return news.join(names, "source_id", "left").withColumn("source_name", F.coalesce("source_name", F.lit(default)))
 
 
+#: Vectors of a sequence that are looked up together, centroids that share a bound, and those multiplied at once.
+AHEAD, SHARED, WIDE = 256, 128, 8192
+
+
+class Leaders:
+    """The clusters of one sequence.  The next vectors are multiplied with all centroids at once, in single precision,
+    which gives bounds for every ``SHARED`` centroids; a vector's scores are then worked out, from the sums as they
+    stand, for the centroids changed meanwhile and for those whose bound reaches the best score found."""
+
+    def __init__(self):
+        self.used, self.sums, self.norms, self.rough, self.leaders = 0, None, None, None, []
+
+    def put(self, k: int, total: np.ndarray) -> None:
+        n = np.linalg.norm(total)
+        self.sums[k], self.norms[k] = total, n if n > 0 else 1.0
+        self.rough[k] = total / self.norms[k]
+
+    def found(self, x: np.ndarray, leader) -> None:
+        if self.used == 0:
+            self.sums, self.norms, self.rough = np.zeros((64, len(x))), np.ones(64), np.zeros((64, len(x)), np.float32)
+        elif self.used == len(self.sums):
+            more = self.used // 2
+            self.sums, self.norms, self.rough = (np.concatenate((m, np.zeros((more, *m.shape[1:]), m.dtype))) for m in (self.sums, self.norms, self.rough))
+        self.put(self.used, x)
+        self.used += 1
+        self.leaders.append(leader)
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """For each vector (row of ``x``) the largest rough score in each ``SHARED`` centroids."""
+        parts, x = [np.zeros((0, len(x)), np.float32)], np.ascontiguousarray(x.T, dtype=np.float32)
+        for i in range(0, self.used, WIDE):
+            score = self.rough[i : min(i + WIDE, self.used)] @ x
+            parts.append(np.maximum.reduceat(score, np.arange(0, len(score), SHARED), axis=0))
+        return np.ascontiguousarray(np.concatenate(parts).T)
+
+    def scores(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.sum(self.sums[at] / self.norms[at, None] * x, axis=1)
+
+    def best(self, x: np.ndarray, bound: np.ndarray, changed: np.ndarray) -> tuple[int, float]:
+        """The first centroid of the largest cosine with the unit vector ``x``, and that."""
+        slack = 1e-5 + 2e-7 * len(x)
+        at, top, seen = -1, -np.inf, [changed] if len(changed) else []
+        open_ = bound >= -np.inf
+        if not seen:
+            seen = [self.members(int(bound.argmax()), open_)]
+        while seen:
+            for part in seen:
+                score = self.scores(part, x)
+                k = int(np.argmax(score))
+                if score[k] > top or (score[k] == top and part[k] < at):
+                    at, top = int(part[k]), float(score[k])
+            left = np.flatnonzero(open_ & (bound >= top - slack))
+            seen = [self.members(int(left[bound[left].argmax()]), open_)] if len(left) else []
+        return at, top
+
+    def members(self, group: int, open_: np.ndarray) -> np.ndarray:
+        open_[group] = False
+        per = -(-WIDE // SHARED)
+        start = group // per * WIDE + group % per * SHARED
+        return np.arange(start, min(start + SHARED, self.used))
+
+    def taken(self, keys: list, ids: list, vectors: list[np.ndarray], new: list[bool], threshold: float) -> list[tuple]:
+        size = [float(np.linalg.norm(x)) for x in vectors]
+        asked = [i for i, n in enumerate(size) if n > 0 and new[i]]
+        bound = dict(zip(asked, self.bounds(np.array([vectors[i] / size[i] for i in asked])), strict=True)) if self.used and asked else {}
+        out, base, changed = [], self.used, set()
+        for i, x in enumerate(vectors):
+            at, score = -1, 0.0
+            if new[i] and self.used and size[i] > 0:
+                moved = np.concatenate((np.fromiter(changed, np.int64, len(changed)), np.arange(base, self.used)))
+                moved.sort()
+                at, score = self.best(x / size[i], bound.get(i, np.zeros(0, np.float32)), moved)
+            if at >= 0 and score > 0 and score >= threshold:
+                self.put(at, self.sums[at] + x)
+                if at < base:
+                    changed.add(at)
+            else:
+                at = -1
+                if size[i] > 0:
+                    self.found(x, ids[i])
+                    at = self.used - 1
+                score = max(score, 0.0)
+            if new[i]:
+                out.append((keys[i], ids[i], self.leaders[at] if size[i] > 0 else ids[i], score))
+        return out
+
+
 def leader_clusters(rows: DataFrame, threshold: float, order: str, id_: str, block: str, vector: str = "embedding", existing: DataFrame | None = None) -> DataFrame:
     """(block, id, leader, score): online leader clustering in ``order`` within each block.
 
@@ -206,37 +293,21 @@ def leader_clusters(rows: DataFrame, threshold: float, order: str, id_: str, blo
     schema = rows.select(block, id_).schema.add("leader", "long").add("score", "double")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, used, sums, units, leaders = None, 0, None, None, []
+        at, state = None, None
         for pdf in batches:
-            out = []
-            for b, i, v, new in zip(pdf[block], pdf[id_], pdf[vector], pdf["_new"], strict=True):
-                if used == 0 or not (b == at or (pd.isna(b) and pd.isna(at))):
-                    at, used, leaders = b, 0, []
-                x = np.zeros(0) if v is None else np.asarray(v, dtype=float)
-                size = np.linalg.norm(x)
-                if new and used and size > 0:
-                    s = units[:used] @ x / size
-                    best = int(np.argmax(s))
-                    score = float(s[best])
-                else:
-                    best, score = -1, 0.0
-                if best >= 0 and score > 0 and score >= threshold:
-                    sums[best] += x
-                    n = np.linalg.norm(sums[best])
-                    units[best] = sums[best] / n if n > 0 else sums[best]
-                else:
-                    if size > 0:
-                        if used == 0:
-                            sums, units = np.zeros((64, len(x))), np.zeros((64, len(x)))
-                        elif used == len(sums):
-                            sums, units = np.concatenate((sums, np.zeros_like(sums))), np.concatenate((units, np.zeros_like(units)))
-                        sums[used], units[used] = x, x / size
-                        used += 1
-                        leaders.append(i)
-                        best = used - 1
-                    score = max(score, 0.0)
-                if new:
-                    out.append((b, i, leaders[best] if size > 0 else i, score))
+            out, keys = [], pdf[block].tolist()
+            same = lambda a, b: a == b or (pd.isna(a) and pd.isna(b))
+            start = 0
+            while start < len(keys):
+                end = start + 1
+                while end < len(keys) and end - start < AHEAD and same(keys[start], keys[end]):
+                    end += 1
+                if state is None or not same(at, keys[start]):
+                    at, state = keys[start], Leaders()
+                part = pdf.iloc[start:end]
+                vectors = [np.zeros(0) if v is None else np.asarray(v, dtype=float) for v in part[vector]]
+                out += state.taken(keys[start:end], part[id_].tolist(), vectors, part["_new"].tolist(), threshold)
+                start = end
             yield pd.DataFrame(out, columns=[block, id_, "leader", "score"])
 
     asked = rows.select(F.col(block), F.col(id_), F.col(order).alias("_order"), F.col(vector).cast("array<double>").alias(vector), F.lit(True).alias("_new"))

@@ -52,3 +52,27 @@ def test_most_similar_by_products_of_matrices(spark):
         found = C.most_similar(rows, rows.where("id % 7 = 0"), 4, "id", "e", block)
         assert "FlatMapCoGroupsInArrow" in plan(found)
         assert {(r["query"], r["id"], r["rn"]) for r in found.collect()} == want
+
+
+def test_leaders_by_bounds_as_one_by_one(monkeypatch):
+    """Small blocks, so that bounds, changed centroids and centroids of the same block all meet."""
+    monkeypatch.setattr(C, "AHEAD", 8), monkeypatch.setattr(C, "SHARED", 4), monkeypatch.setattr(C, "WIDE", 12)
+    rng = np.random.default_rng(3)
+    vectors = list(rng.normal(size=(600, 4)) * rng.uniform(0.5, 2, (600, 1)))
+    vectors[5], vectors[50] = np.zeros(0), np.zeros(4)
+    for threshold in (0.3, 0.9, 0.99):
+        state, got = C.Leaders(), []
+        for i in range(0, 600, 8):
+            got += state.taken([0] * 8, list(range(i, i + 8)), vectors[i : i + 8], [True] * 8, threshold)
+        sums, leaders = np.zeros((0, 4)), []
+        for i, x in enumerate(vectors):
+            n = np.linalg.norm(x)
+            s = sums @ x / n / np.linalg.norm(sums, axis=1) if n > 0 and leaders else np.zeros(0)
+            k = int(s.argmax()) if len(s) else -1
+            top = max(s[k], 0.0) if len(s) else 0.0
+            if len(s) and top > 0 and top >= threshold:
+                sums[k] += x
+            elif n > 0:
+                sums, k = np.vstack((sums, x)), len(leaders)
+                leaders.append(i)
+            assert got[i][1:3] == (i, leaders[k] if n > 0 else i) and abs(got[i][3] - top) < 1e-9
