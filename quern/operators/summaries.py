@@ -42,6 +42,11 @@ def top_terms(weights: DataFrame, group: str, unit: str, k: int) -> DataFrame:
     return weights.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
+def top_tfidf(rows: DataFrame, group: str, unit: str, k: int, max_df: float = 0.95) -> DataFrame:
+    """``top_terms`` of the texts' ``tfidf``, without making all of its rows."""
+    return W.top_weighted(rows, group, unit, k, max_df)
+
+
 def similar_units(weights: DataFrame, group: str, unit: str, least: float = 0.0) -> DataFrame:
     """(group, a, b, cosine) of units of a group that share a term."""
     a, b = weights.alias("a"), weights.alias("b")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,3 +147,90 @@ def similar_in_small(rows: DataFrame, group: str, unit: str, max_df: float) -> D
 def large_groups(rows: DataFrame, group: str, most_units: int = MOST_UNITS, most_chars: int = MOST_CHARS) -> DataFrame:
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length("text")).alias("_chars"))
     return staged(sizes.where((F.col("_n") > most_units) | (F.col("_chars") > most_chars)).select(group), "large")
+
+
+#: Characters of the texts that are worked out together, and of those whose terms are counted by one task.
+CHUNK_CHARS = 8_000_000
+
+
+def _hashes(values: list) -> np.ndarray:
+    """Two 64-bit numbers (columns) of MD5 for each value."""
+    digests = b"".join(hashlib.md5(str(v).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for v in values)
+    return np.frombuffer(digests, np.uint64).reshape(-1, 2)
+
+
+class Chunk:
+    """The terms of some texts of several groups.  ``term_of`` names each entry's (group, term); these are known to
+    other tasks by 96 bits of hashes and stand in the order of their bucket and hash."""
+
+    def __init__(self, table: pa.Table, group: str, unit: str, buckets: int):
+        g, u = codes(table.column(group)), codes(table.column(unit))
+        _, self.first, of = np.unique(joint(g, u), return_index=True, return_inverse=True)
+        self.terms = t = Terms(plain(table.column("words")), of)
+        mine = g[self.first][t.row]
+        self.n = plain(table.column("_n")).to_numpy()[self.first][t.row]
+        _, one, inverse, df = np.unique(joint(mine, t.term), return_index=True, return_inverse=True, return_counts=True)
+        named = _hashes(plain(table.column(group)).dictionary_encode().dictionary.to_pylist())[mine[one] - 1]
+        of_word = np.concatenate((np.zeros((1, 2), np.uint64), _hashes(t.vocabulary.tolist())))
+        first, second = of_word[t.term[one] // t.base + 1], of_word[t.term[one] % t.base]
+        mixed = (named ^ first * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) + second * np.uint64(0x94D049BB133111EB)
+        mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+        high, low = mixed[:, 0], (mixed[:, 1] >> np.uint64(32)).astype(np.uint32)
+        bucket = (high >> np.uint64(20)) % np.uint64(buckets)
+        order = np.lexsort((low, high, bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.term_of, self.high, self.low, self.df, self.bucket = place[inverse], high[order], low[order], df[order].astype(np.uint32), bucket[order].astype(np.int64)
+
+
+def _asked(table: pa.Table, group: str, unit: str, buckets: int) -> pa.Table:
+    c = Chunk(table, group, unit, buckets)
+    starts = np.flatnonzero(np.diff(c.bucket, prepend=-1))
+    ends = np.append(starts[1:], len(c.bucket)).astype(np.int64)
+    parts = [pa.array([x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()) for x in (c.high, c.low, c.df)]
+    chunk = pa.array(np.full(len(starts), table.column("_chunk")[0].as_py(), np.int64))
+    return pa.table([chunk, pa.array(c.bucket[starts]), *parts], names=["_chunk", "_bucket", "high", "low", "df"])
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """Document frequencies over all chunks for a bucket's terms, as every chunk asked for them."""
+    high, low, df = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]) for c, kind in (("high", np.uint64), ("low", np.uint32), ("df", np.uint32)))
+    sizes = np.array([len(x.as_buffer()) // 4 for x in table.column("low")])
+    order = np.lexsort((low, high))
+    new = np.concatenate(([True], (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)))
+    total = np.empty(len(order), np.uint32)
+    total[order] = np.add.reduceat(df[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    parts = [x.tobytes() for x in np.split(total, np.cumsum(sizes)[:-1])]
+    return pa.table([table.column("_chunk"), table.column("_bucket"), pa.array(parts, pa.binary())], names=["_chunk", "_bucket", "df"])
+
+
+def _top(table: pa.Table, answers: pa.Table, group: str, unit: str, buckets: int, max_df: float, k: int) -> pa.Table:
+    c = Chunk(table, group, unit, buckets)
+    t, parts = c.terms, answers.sort_by("_bucket").column("df").to_pylist()
+    df = np.frombuffer(b"".join(parts), np.uint32).astype(np.int64)[c.term_of]
+    kept = df <= c.n * max_df
+    row, term, count, df, n = (x[kept] for x in (t.row, t.term, t.count, df, c.n))
+    weight = weighted(row, count, df, n, len(c.first))
+    order = np.lexsort((term, -np.round(weight, 9), row))
+    row, term, weight = row[order], term[order], weight[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    row, term, weight, rank = (x[rank < k] for x in (row, term, weight, rank))
+    at = pa.array(c.first[row])
+    return pa.table([plain(table.column(group)).take(at), plain(table.column(unit)).take(at), pa.array(t.names(term), pa.string()), pa.array(weight), pa.array((rank + 1).astype(np.int32))], names=[group, unit, "term", "weight", "rn"])
+
+
+def top_weighted(rows: DataFrame, group: str, unit: str, k: int, max_df: float, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(group, unit, term, weight, rn): the ``k`` terms of largest weight of every unit.
+
+    Texts are dealt into chunks.  A chunk asks once for each of its terms, by hash and packed by bucket, how many units
+    of the group have it; a bucket's task adds up what the chunks counted and answers them.  So no row per text and term is made."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    rows = rows.select(group, unit, "text").where(F.col(group).isNotNull())
+    sizes = staged(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length("text")).alias("_chars")), "sizes")
+    parts = max(1, -(-(sizes.agg(F.sum("_chars")).first()[0] or 0) // chunk_chars))
+    dealt = rows.join(sizes.select(group, "_n"), group).withColumn("_chunk", F.pmod(F.xxhash64(group, unit), F.lit(parts))).repartition(parts, "_chunk")
+    chunks = dealt.select("_chunk", group, unit, "_n", words(F.col("text")).alias("words")).groupBy("_chunk")
+    asked = chunks.applyInArrow(lambda t: _asked(t, group, unit, parts), "_chunk long, _bucket long, high binary, low binary, df binary")
+    answers = asked.groupBy("_bucket").applyInArrow(_answered, "_chunk long, _bucket long, df binary")
+    schema = f"`{group}` {kinds[group]}, `{unit}` {kinds[unit]}, term string, weight double, rn int"
+    return chunks.cogroup(answers.groupBy("_chunk")).applyInArrow(lambda t, a: _top(t, a, group, unit, parts, max_df, k), schema)

@@ -259,7 +259,7 @@ z AS (SELECT *, round(w / sqrt(sum(w * w) OVER (PARTITION BY lang, doc_id)), 9)
 
 @query(f"WITH {_TFIDF} SELECT lang, doc_id, term, rn, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY lang, doc_id ORDER BY weight DESC, term) AS rn FROM z) WHERE rn <= 3")
 def tfidf_top_terms(spark: SparkSession, d: str) -> DataFrame:
-    top = S.top_terms(S.tfidf(table(spark, d, "documents"), "lang", "doc_id"), "lang", "doc_id", 3)
+    top = S.top_tfidf(table(spark, d, "documents"), "lang", "doc_id", 3)
     return top.select("lang", "doc_id", "term", "rn", F.round("weight", 6).alias("weight"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import clusters as C
 from quern.operators import summaries as S
+from quern.operators import terms as W
 from quern.plans import catalogue
 from tests.conftest import SMALL
 
@@ -76,3 +77,14 @@ def test_leaders_by_bounds_as_one_by_one(monkeypatch):
                 sums, k = np.vstack((sums, x)), len(leaders)
                 leaders.append(i)
             assert got[i][1:3] == (i, leaders[k] if n > 0 else i) and abs(got[i][3] - top) < 1e-9
+
+
+def test_top_terms_by_chunks_as_by_joins(spark):
+    rows = texts(spark, 2)
+    want = {(r["g"], r["id"], r["term"], r["rn"]): r["weight"] for r in S.top_terms(S.tfidf(rows, "g", "id"), "g", "id", 3).collect()}
+    assert len(want) > 100
+    for chars in (100, 1_000_000):
+        found = W.top_weighted(rows, "g", "id", 3, 0.95, chars)
+        got = {(r["g"], r["id"], r["term"], r["rn"]): r["weight"] for r in found.collect()}
+        assert got.keys() == want.keys() and all(abs(v - want[k]) < 1e-12 for k, v in got.items())
+        assert "Generate" not in plan(found)
