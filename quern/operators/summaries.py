@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions import fixed
+from quern.functions import fixed, plain
 from quern.functions import text as T
 from quern.operators import terms as W
 from quern.plans.shared import staged
@@ -82,16 +82,27 @@ def summary_sentences(text: Column, least: int = 45, most: int = 420) -> Column:
 
 
 def key(s: str) -> str:
-    return " ".join(re.sub("[^а-яa-z0-9 ]", "", s.lower().replace("ё", "е")).split())
+    raw = s.lower().replace("ё", "е").encode("cp1251", "ignore").translate(None, _NOT_KEY)
+    return b" ".join(raw.split()).decode("cp1251")
+
+
+_CYRILLIC = re.compile("[а-яё]")
+_BAD_STARTS, _PRONOUNS = tuple(fixed.BAD_STARTS), tuple(fixed.PRONOUNS)
+#: Bytes of cp1251, which holds all characters of keys, that go.
+_KEY = "абвгдежзийклмнопрстуфхцчшщъыьэюяabcdefghijklmnopqrstuvwxyz0123456789 ".encode("cp1251")
+_NOT_KEY = bytes(b for b in range(256) if b not in _KEY)
+_DIGIT = re.compile(r"\d")
 
 
 class Sentence:
     """A sentence with what its tests need, worked out once."""
 
-    def __init__(self, text: str):
-        self.text, self.low, self.key = text, text.lower(), key(text)
-        self.starts_badly = self.key.startswith(tuple(fixed.BAD_STARTS))
-        self.bad = self.starts_badly or any(p in self.low for p in fixed.BAD_CONTEXT) or self.key.startswith(tuple(fixed.PRONOUNS))
+    def __init__(self, text: str, known: str | None = None):
+        self.text, self.low, self.key = text, text.lower(), key(text) if known is None else known
+        #: All needles are Cyrillic, so a sentence without such letters holds none.
+        self.cyrillic = not self.low.isascii() and _CYRILLIC.search(self.low) is not None
+        self.starts_badly = self.cyrillic and self.key.startswith(_BAD_STARTS)
+        self.bad = self.cyrillic and (self.starts_badly or any(p in self.low for p in fixed.BAD_CONTEXT) or self.key.startswith(_PRONOUNS))
 
     @cached_property
     def words(self) -> set[str]:
@@ -100,6 +111,8 @@ class Sentence:
     @property
     def bonus(self) -> float:
         low, s = self.low, self.text
+        if not self.cyrillic:
+            return 0.04 if _DIGIT.search(s) else 0
         said = [(0.08, any(w in low for w in fixed.FACT_WORDS)), (0.04, re.search(r"\d", s)), (0.03, re.search("[А-ЯЁ][а-яё]+", s)), (-0.10, self.starts_badly), (-0.03, "сообщил" in low), (-0.04, "по словам" in low)]
         return sum(v for v, true in said if true)
 
@@ -141,17 +154,19 @@ _TERM = re.compile(r"\b\w\w+\b")
 
 def weights(sentences: list[str], max_df: float = 0.95) -> Weights | None:
     """TF-IDF of words and pairs of words; None when every term was left out."""
-    terms: dict[str, int] = {}
-    rows, ids = [], []
-    for i, s in enumerate(sentences):
+    said: list[str] = []
+    sizes = []
+    for s in sentences:
         w = _TERM.findall(s.lower())
-        for t in w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]:
-            ids.append(terms.setdefault(t, len(terms)))
-        rows.append(np.full(max(0, 2 * len(w) - 1), i))
+        said += w
+        said += map(" ".join, zip(w, w[1:], strict=False))
+        sizes.append(max(0, 2 * len(w) - 1))
+    terms = {t: i for i, t in enumerate(dict.fromkeys(said))}
     n, m = len(sentences), len(terms)
     if not m:
         return None
-    pair, count = np.unique(np.concatenate(rows) * m + np.array(ids), return_counts=True)
+    ids = np.fromiter(map(terms.__getitem__, said), np.int64, len(said))
+    pair, count = np.unique(np.repeat(np.arange(n), sizes) * m + ids, return_counts=True)
     row, term = pair // m, pair % m
     df = np.bincount(term, minlength=m)
     kept = df[term] <= max_df * n
@@ -165,8 +180,15 @@ def weights(sentences: list[str], max_df: float = 0.95) -> Weights | None:
 def pagerank(w: Weights, damping: float = 0.85, rounds: int = 100, tol: float = 1e-6) -> np.ndarray:
     n, total = w.n, w.similar(np.ones(w.n))
     alone = total <= 0
+    some = alone.any()
     x = np.full(n, 1 / n)
     for _ in range(rounds):
+        if not some:
+            new = damping * w.similar(x / total) + (1 - damping) / n
+            if np.abs(new - x).sum() < n * tol:
+                return new
+            x = new
+            continue
         share = np.divide(x, total, out=np.zeros(n), where=~alone)
         new = damping * (w.similar(share) + x[alone].sum() / n) + (1 - damping) / n
         if np.abs(new - x).sum() < n * tol:
@@ -194,19 +216,21 @@ def limited(text: str, most: int) -> str:
 
 def summarize(sentences: list[str], title: str | None = None, count: int = 4, most: int = 800) -> str:
     """The summary of a text's sentences (see ``summary_sentences``)."""
+    found = [(key(s), s) for s in sentences]
     if title:
         head, kept = key(title), []
-        for s in sentences:
-            k = key(s)
+        for k, s in found:
             if k != head:
-                s = s[len(title) :].strip() if k.startswith(head) else s
+                if k.startswith(head):
+                    s = s[len(title) :].strip()
+                    k = key(s)
                 if len(s) >= 45:
-                    kept.append(s)
-        sentences = kept
-    first: dict[str, Sentence] = {}
-    for s in map(Sentence, sentences):
-        first.setdefault(s.key, s)
-    held = list(first.values())
+                    kept.append((k, s))
+        found = kept
+    first: dict[str, str] = {}
+    for k, s in found:
+        first.setdefault(k, s)
+    held = [Sentence(s, k) for k, s in first.items()]
     if not held:
         return ""
     held = [s for s in held if not s.bad] or held
@@ -236,3 +260,14 @@ def summaries(rows: DataFrame, id_: str, count: int = 4, most: int = 800) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(id_), pa.array(out, pa.string())], names=[id_, "summary"])
 
     return rows.select(id_, "title", "sentences").mapInArrow(run, rows.select(id_).schema.add("summary", "string"))
+
+
+def text_summaries(rows: DataFrame, id_: str, count: int = 4, most: int = 800) -> DataFrame:
+    """``summaries`` of rows (id, title, text): texts are normalised and cut into sentences where they are ranked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [summarize(plain.summary_sentences(plain.normalize_article_text(t)), h, count, most) for h, t in zip(batch.column("title").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(id_), pa.array(out, pa.string())], names=[id_, "summary"])
+
+    return rows.select(id_, "title", "text").mapInArrow(run, rows.select(id_).schema.add("summary", "string"))

@@ -272,8 +272,7 @@ def member_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _summaries(spark: SparkSession, d: str) -> DataFrame:
-    rows = news(spark, d).select("id", "title", S.summary_sentences(T.normalize_article_text(F.col("text"))).alias("sentences"))
-    return S.summaries(rows, "id")
+    return S.text_summaries(news(spark, d), "id")
 
 
 @query()
