@@ -66,3 +66,33 @@ def test_summaries_normalise_where_they_rank(spark):
     news = catalogue.news(spark, SMALL)
     by_columns = S.summaries(news.select("id", "title", S.summary_sentences(T.normalize_article_text(F.col("text"))).alias("sentences")), "id")
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, by_columns.collect()))
+
+
+def articles_by_columns(pages, rules):
+    """``html.articles`` with every candidate extracted and cleaned by columns."""
+
+    def cleaned(c, head):
+        blocks, mode = F.transform(c["blocks"], T.tidy), c["mode"]
+        whole = lambda parts: T.cut_related(T.normalized_clean(F.array_join(parts, " "), head))
+        rest = F.filter(F.transform(F.filter(blocks, lambda b: ~T.is_title_fragment(b, head)), lambda b: T.remove_title_prefix(b, head)), lambda b: F.length(b) >= 40)
+        text = F.when(mode == "plain", T.tidy(F.array_join(c["blocks"], "\n"))).when(mode == "joined", whole(blocks)).when(mode == "trimmed", whole(rest))
+        return text.otherwise(whole(T.filter_paragraphs(blocks, head)))
+
+    done = html.extract(pages, rules).withColumn("head", html.page_title(F.col("title")))
+    fit = lambda acc, c: F.when(acc.isNotNull(), acc).otherwise(T.let(cleaned(c, F.col("head")), lambda t: F.when(F.length(t) >= c["least"], t)))
+    return done.select("page_id", "head", F.coalesce(F.aggregate("candidates", F.lit(None).cast("string"), fit), F.lit("")).alias("text"))
+
+
+def test_pages_are_cleaned_where_they_are_parsed(spark):
+    pages = catalogue.table(spark, SMALL, "pages")
+    assert "regexp_replace(" not in plan(html.articles(pages))
+    odd = [(i, f"https://{'abcd'[i % 4]}.ru/{i}", f"<h1>{t[:40]}</h1><article><p>{t}</p><p>{t[:40]} {u}</p><div>{u}</div><p>{u}</p></article><p>{u}</p>") for i, (t, u) in enumerate(zip(texts(300, 3), texts(300, 4), strict=True))]
+    odd += [(1000, "https://a.ru", None), (1001, None, ""), (1002, "https://b.ru", "<h1>x")]
+    rules = (
+        html.Rule("a.ru", ("article p",), 100, 10), html.Rule("b.ru", (".no", "article p"), 50, mode="joined"), html.Rule("c.ru", ("b", "article p", "div"), 60, mode="trimmed", then_generic=True),
+        html.Rule("d.ru", ("article p",), 50, mode="plain"),
+    )
+    for given, by in ((pages, (html.GENERIC,)), (spark.createDataFrame(odd, "page_id long, url string, html string"), rules)):
+        got = {r["page_id"]: (r["title"], r["text"]) for r in html.articles(given, by).collect()}
+        want = {r["page_id"]: (r["head"], r["text"]) for r in articles_by_columns(given, by).collect()}
+        assert got == want and sum(len(t) > 50 for _, t in got.values()) > 30
