@@ -15,6 +15,8 @@ from pyspark.sql.types import StringType
 from quern.functions import fixed
 
 ALPHABET = "а-яёa-z0-9"
+#: What ``(?U)\\s`` matches.
+SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _or_empty(c: Column) -> Column:
@@ -35,7 +37,7 @@ def contains_any(text: Column, needles: Sequence[str]) -> Column:
 
 
 def squeezed(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^ | $", "")
+    return F.btrim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def fix_encoding(text: Column) -> Column:
@@ -96,7 +98,7 @@ def tidy(text: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def upper_ratio(text: Column) -> Column:
@@ -267,7 +269,12 @@ def too_similar(a: Column, b: Column) -> Column:
 
 
 def cut_text(text: Column, most: int) -> Column:
-    return squeezed(F.substring(squeezed(_or_empty(text)), 1, most))
+    return cut_squeezed(squeezed(_or_empty(text)), most)
+
+
+def cut_squeezed(text: Column, most: int) -> Column:
+    """``cut_text`` of a text with single blanks."""
+    return F.btrim(F.substring(text, 1, most))
 
 
 def normalize_filter_text(text: Column) -> Column:

@@ -30,16 +30,34 @@ def unit(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
 
 
+#: Words whose hashes are kept at a time.
+MOST_WORDS = 1 << 17
+
+
+class _Codes(dict):
+    """Twice a word's dimension, and one more where its sign is positive; hashed when first met."""
+
+    def __init__(self, dims: int):
+        self.dims = dims
+
+    def __missing__(self, word: str) -> int:
+        h = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+        self[word] = code = 2 * (int(h[:7], 16) % self.dims) + (h[7] >= "8")
+        return code
+
+
 def encoder(name: Callable[[list[str]], np.ndarray] | None = None, dims: int = 256):
     """A pandas UDF that turns texts into unit vectors.  ``name`` gives the vectors of a batch of
     texts (a model's encode); by default words are hashed to signed dimensions."""
 
     def hashed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dims))
+        out, codes = np.zeros((len(texts), dims)), _Codes(dims)
         for i, t in enumerate(texts):
-            for w in (t or "").lower().split():
-                h = hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()
-                out[i, int(h[:7], 16) % dims] += 1.0 if h[7] >= "8" else -1.0
+            said = (t or "").lower().split()
+            n = np.bincount(np.fromiter(map(codes.__getitem__, said), np.int64, len(said)), minlength=2 * dims)
+            out[i] = n[1::2] - n[::2]
+            if len(codes) > MOST_WORDS:
+                codes.clear()
         return out
 
     make = name or hashed

@@ -8,19 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import fixed
-from quern.functions.text import contains_any
+from quern.functions.text import contains_any, let
 
 MIN_CHARS = 250
 
 
 def folded(c: Column) -> Column:
-    return F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё", "е")
+    return F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("ё"), F.lit("е"))
 
 
 def is_valid(titles: Sequence[str] = fixed.BAD_TITLES, urls: Sequence[str] = fixed.BAD_PAGE_URLS, content: Sequence[str] = fixed.BAD_CONTENT, least: int = MIN_CHARS) -> Column:
     """Title and url given, no bad needle in title, url or text, and a text of ``least`` characters."""
     given = (F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != "")
-    bad = contains_any(folded(F.col("title")), titles) | contains_any(folded(F.col("url")), urls) | contains_any(folded(F.col("text")), content)
+    named = lambda c, needles: let(folded(F.col(c)), lambda t: contains_any(t, needles))
+    bad = named("title", titles) | named("url", urls) | named("text", content)
     return given & (F.length(F.coalesce("text", F.lit(""))) >= least) & ~bad
 
 

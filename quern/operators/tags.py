@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import plain as P
 from quern.functions import text as T
 from quern.functions.vectors import cosine
 
@@ -66,11 +70,15 @@ def selected(scores: DataFrame, id_: str, least: float = 0.35, most: int = 2, ga
 
 def filter_text(members: DataFrame, clusters: DataFrame, most: int = 5) -> DataFrame:
     """(cluster_id, filter_text, tag_text): the texts that markers and tags are looked up in."""
-    one = F.concat_ws(" ", F.nullif("title", F.lit("")), F.nullif(T.cut_text(F.col("text"), 4000), F.lit("")), F.nullif("url", F.lit("")))
-    cut = F.when((F.col("rn") == 1) | F.col("is_primary"), T.cut_text(F.col("text"), 5000)).otherwise(T.cut_text(F.col("text"), 2500))
-    head = F.nullif(T.cut_text(F.col("title"), 500), F.lit(""))
-    tag = F.concat_ws("\n", head, head, F.nullif(cut, F.lit("")))
-    parts = members.where(F.col("rn") <= most).groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("rn", one.alias("f"), tag.alias("t")))).alias("m"))
+    def texts(squeezed: Column) -> Column:
+        cut = lambda n: F.nullif(T.cut_squeezed(squeezed, n), F.lit(""))
+        one = F.concat_ws(" ", F.nullif("title", F.lit("")), cut(4000), F.nullif("url", F.lit("")))
+        own = F.when((F.col("rn") == 1) | F.col("is_primary"), cut(5000)).otherwise(cut(2500))
+        head = F.nullif(T.cut_text(F.col("title"), 500), F.lit(""))
+        return F.struct("rn", one.alias("f"), F.concat_ws("\n", head, head, own).alias("t"))
+
+    member = T.let(T.squeezed(F.coalesce("text", F.lit(""))), texts)
+    parts = members.where(F.col("rn") <= most).select("cluster_id", member.alias("m")).groupBy("cluster_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
     title, summary = F.nullif("title", F.lit("")), F.nullif("summary_text", F.lit(""))
     h, s = T.cut_text(title, 500), T.cut_text(summary, 1500)
     full = F.concat_ws(" ", title, summary, F.array_join(F.transform("m", lambda x: x["f"]), " "))
@@ -78,6 +86,23 @@ def filter_text(members: DataFrame, clusters: DataFrame, most: int = 5) -> DataF
     return clusters.join(parts, "cluster_id", "left").select("cluster_id", F.lower(full).alias("filter_text"), tags.alias("tag_text"))
 
 
+def prepared(texts: DataFrame, foreign: Sequence[str], home: Sequence[str], banned: Sequence[str]) -> DataFrame:
+    """(cluster_id, text, vector, has_content, foreign, home, banned) of ``filter_text``'s rows with the last two before
+    them: the tag text normalised, and whether the filter text, normalised, contains a marker of each list."""
+    lists = {"foreign": T.prepared_markers(foreign), "home": T.prepared_markers(home), "banned": T.prepared_markers(banned)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tag = pa.array([P.normalize_filter_text(t) for t in batch.column("tag_text").to_pylist()], pa.string())
+            low = [P.normalize_filter_text(t) for t in batch.column("filter_text").to_pylist()]
+            hits = [pa.array([any(m in t for m in markers) for t in low], pa.bool_()) for markers in lists.values()]
+            yield pa.RecordBatch.from_arrays([batch.column("cluster_id"), tag, batch.column("vector"), batch.column("has_content"), *hits], names=["cluster_id", "text", "vector", "has_content", *lists])
+
+    kind = texts.select("cluster_id").schema["cluster_id"].dataType.simpleString()
+    schema = f"cluster_id {kind}, text string, vector array<double>, has_content boolean, foreign boolean, home boolean, banned boolean"
+    return texts.select("cluster_id", "tag_text", "filter_text", "vector", "has_content").mapInArrow(run, schema)
+
+
 def has_content(members: DataFrame, least: int = 200) -> DataFrame:
     ok = (F.coalesce("title", F.lit("")) != "") & (F.length(T.stripped(F.coalesce("text", F.lit("")))) > least)
     return members.groupBy("cluster_id").agg(F.max(ok).alias("has_content"))

@@ -11,13 +11,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions import text as T
 from quern.functions import vectors as V
 from quern.operators import articles as A
 from quern.operators import clusters as C
 from quern.operators import lifecycle as L
 from quern.operators import summaries as S
 from quern.operators import tags as G
+from quern.plans.shared import staged
 
 NEWS = "id long, source string, title string, url string, text string, published_at timestamp, collected_at timestamp, cluster_id long, is_primary boolean, embedding array<double>"
 CLUSTERS = "cluster_id long, title string, summary_text string, tags string, status string, cluster_size long, created_at timestamp, updated_at timestamp"
@@ -109,10 +109,11 @@ def summarised(clusters: DataFrame, news: DataFrame, as_of, rules: Rules) -> Dat
     due = L.to_summarize(clusters).select("cluster_id")
     mine = news.join(due, "cluster_id", "left_semi")
     part = F.concat_ws("\n", F.nullif("title", F.lit("")), F.nullif(F.substring("text", 1, MOST_MEMBER_CHARS), F.lit("")))
-    texts = C.ranked_members(mine).groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("rn", part.alias("t")))).alias("m"))
-    texts = texts.select("cluster_id", F.array_join(F.transform("m", lambda x: x["t"]), "\n").alias("t")).where("trim(t) <> ''")
-    rows = texts.join(C.titles(mine), "cluster_id").select("cluster_id", "title", S.summary_sentences(T.normalize_article_text(F.col("t"))).alias("sentences"))
-    made = S.summaries(rows, "cluster_id", rules.sentences, rules.most_chars).join(rows.select("cluster_id", F.col("title").alias("_title")), "cluster_id")
+    parts = mine.select("cluster_id", "is_primary", "published_at", "collected_at", "id", part.alias("t"))
+    texts = C.ranked_members(parts).groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("rn", "t"))).alias("m"))
+    texts = texts.select("cluster_id", F.array_join(F.transform("m", lambda x: x["t"]), "\n").alias("text")).where("trim(text) <> ''")
+    titles = C.titles(mine)
+    made = S.text_summaries(texts.join(titles, "cluster_id"), "cluster_id", rules.sentences, rules.most_chars).join(titles.withColumnRenamed("title", "_title"), "cluster_id")
     out = clusters.join(made, "cluster_id", "left")
     hit = F.col("summary").isNotNull()
     new = {"summary_text": F.coalesce("summary", "summary_text"), "title": F.when(hit, F.coalesce("_title", "title")).otherwise(F.col("title")), "updated_at": F.when(hit, F.lit(as_of).cast("timestamp")).otherwise(F.col("updated_at"))}
@@ -126,11 +127,10 @@ def tagged(clusters: DataFrame, news: DataFrame, as_of, rules: Rules, again: boo
     due = L.to_tag(clusters, again)
     members = C.ranked_members(news.join(due.select("cluster_id"), "cluster_id", "left_semi"), most=None)
     texts = G.filter_text(members, due).join(G.has_content(members), "cluster_id", "left")
-    rows = texts.select("cluster_id", T.lemmatized(F.col("tag_text")).alias("text"), encode(F.col("tag_text")).alias("vector"))
+    rows = staged(G.prepared(texts.withColumn("vector", encode(F.col("tag_text"))), rules.foreign, rules.home, rules.banned), "tagged")
     chosen = G.selected(G.scored(rows, list(rules.tags), "cluster_id"), "cluster_id", rules.least_score).select("cluster_id", F.array_join("tags", ", ").alias("_tags"))
-    hit = lambda words: F.size(T.marker_matches(F.col("_t"), words)) > 0
-    state = texts.withColumn("_t", T.lemmatized(F.col("filter_text"))).join(chosen, "cluster_id", "left")
-    state = state.select("cluster_id", "_tags", G.decision(hit(rules.foreign), hit(rules.home), F.col("has_content"), hit(rules.banned), F.col("_tags")).alias("_state"))
+    state = rows.select("cluster_id", "has_content", "foreign", "home", "banned").join(chosen, "cluster_id", "left")
+    state = state.select("cluster_id", "_tags", G.decision(F.col("foreign"), F.col("home"), F.col("has_content"), F.col("banned"), F.col("_tags")).alias("_state"))
     out = clusters.join(state, "cluster_id", "left")
     new: dict[str, Column] = {
         "tags": F.when(F.col("_state") == "ready", F.col("_tags")).otherwise(F.col("tags")), "status": F.when(F.col("status") == "published", F.col("status")).otherwise(F.coalesce("_state", "status")),

@@ -88,3 +88,53 @@ def test_top_terms_by_chunks_as_by_joins(spark):
         got = {(r["g"], r["id"], r["term"], r["rn"]): r["weight"] for r in found.collect()}
         assert got.keys() == want.keys() and all(abs(v - want[k]) < 1e-12 for k, v in got.items())
         assert "Generate" not in plan(found)
+
+
+def test_words_are_hashed_once_for_vectors(spark, monkeypatch):
+    from quern.functions import vectors as V
+
+    met = []
+    monkeypatch.setattr(V, "MOST_WORDS", 3)
+    plain_hash = V.hashlib.md5
+    monkeypatch.setattr(V.hashlib, "md5", lambda w, **k: met.append(w) or plain_hash(w, **k))
+    given = ["a b a Ab b", "", None, "é a a", "x y z", "a"]
+    got = next(V.encoder(dims=5).func(iter([given])))
+    assert len(met) == 8 and met.count(b"a") == 2  # forgotten once there were more than three
+    for t, v in zip(given, got, strict=True):
+        want = np.zeros(5)
+        for w in (t or "").lower().split():
+            h = plain_hash(w.encode()).hexdigest()
+            want[int(h[:7], 16) % 5] += 1.0 if h[7] >= "8" else -1.0
+        n = np.linalg.norm(want)
+        assert np.array_equal(v, want / n if n > 0 else want)
+
+
+def test_texts_for_tags_are_squeezed_once_and_prepared_in_one_place(spark):
+    from quern.functions import plain as P
+    from quern.functions import text as T
+    from quern.operators import tags as G
+    from tests.test_plain import texts as odd
+
+    given = [*odd(200, 21), None]
+    members = spark.createDataFrame([(i // 3, i % 3 + 1, i % 5 == 0, f"T{i}", t, f"u{i}") for i, t in enumerate(given)], "cluster_id long, rn int, is_primary boolean, title string, text string, url string")
+    clusters = members.groupBy("cluster_id").agg(F.max("title").alias("title"), F.lit(None).cast("string").alias("summary_text"))
+    found = G.filter_text(members, clusters)
+    body = plan(found).split("collect_list")[-1]
+    assert sum("regexp_replace(" in line and "coalesce(text" in line for line in body.splitlines()) == 1 and body.count("regexp_replace(coalesce(text") == 1
+    want = {}
+    for i, t in enumerate(given):
+        cut = lambda n: P.squeezed(P.squeezed(t or "")[:n])  # noqa: B023, E731
+        tag = [f"T{i}", f"T{i}", cut(5000 if i % 3 == 0 or i % 5 == 0 else 2500)]
+        want.setdefault(i // 3, ([], []))
+        want[i // 3][0].append(" ".join(x for x in (f"T{i}", cut(4000), f"u{i}") if x))
+        want[i // 3][1].append("\n".join(x for x in tag if x))
+    for r in found.join(clusters.select("cluster_id", "title"), "cluster_id").collect():
+        one, tag = want[r["cluster_id"]]
+        assert r["filter_text"] == " ".join([r["title"], *one]).lower() and r["tag_text"] == "\n".join([r["title"]] * 3 + tag)
+    lists = [["завод", "ЁТЕЛЬ"], ["new."], []]
+    ready = G.prepared(found.withColumns({"vector": F.array(F.lit(1.0)), "has_content": F.lit(True)}), *lists)
+    assert "regexp_replace(filter_text" not in plan(ready)
+    got = {r["cluster_id"]: tuple(r)[1:] for r in ready.select("cluster_id", "text", "foreign", "home", "banned").collect()}
+    hit = lambda words: F.size(T.marker_matches(T.lemmatized(F.col("filter_text")), words)) > 0
+    by_columns = found.select("cluster_id", T.lemmatized(F.col("tag_text")), *map(hit, lists))
+    assert got == {r[0]: tuple(r)[1:] for r in by_columns.collect()} and any(v[1] for v in got.values())
